@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import op04_mixing, op10_urls
+from lumenfold.llm import op03_secrets, op04_mixing, op10_urls
 
 QUERIES = {
+    "op3_secrets": op03_secrets.op3_secrets,
     "op4_mixing": op04_mixing.op4_mixing,
     "op10_url_rules": op10_urls.op10_url_rules,
 }
