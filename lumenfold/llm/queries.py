@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import op03_secrets, op04_mixing, op10_urls
+from lumenfold.llm import op03_secrets, op04_mixing, op05_neardup, op10_urls
 
 QUERIES = {
     "op3_secrets": op03_secrets.op3_secrets,
     "op4_mixing": op04_mixing.op4_mixing,
+    "op5_neardup": op05_neardup.op5_neardup,
     "op10_url_rules": op10_urls.op10_url_rules,
 }
 
