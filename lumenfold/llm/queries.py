@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import op01_pii, op03_secrets, op04_mixing, op05_neardup, op10_urls
+from lumenfold.llm import op01_pii, op02_language, op03_secrets, op04_mixing, op05_neardup, op10_urls
 
 QUERIES = {
+    "op2_language": op02_language.op2_language,
     "op1_pii": op01_pii.op1_pii,
     "op3_secrets": op03_secrets.op3_secrets,
     "op4_mixing": op04_mixing.op4_mixing,
