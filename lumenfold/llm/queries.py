@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import op01_pii, op02_language, op03_secrets, op04_mixing, op05_neardup, op06_decontamination, op09_toxicity, op10_urls
+from lumenfold.llm import op01_pii, op02_language, op03_secrets, op04_mixing, op05_neardup, op06_decontamination, op07_pages, op09_toxicity, op10_urls
 
 QUERIES = {
     "op2_language": op02_language.op2_language,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": op04_mixing.op4_mixing,
     "op5_neardup": op05_neardup.op5_neardup,
     "op6_decontamination": op06_decontamination.op6_decontamination,
+    "op7_main_text": op07_pages.op7_main_text,
     "op9_toxicity": op09_toxicity.op9_toxicity,
     "op10_url_rules": op10_urls.op10_url_rules,
 }
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op4_mixing": op04_mixing.ORACLE,
     "op6_decontamination": op06_decontamination.op6_decontamination,
+    "op7_main_text": op07_pages.op7_main_text,
     "op9_toxicity": op09_toxicity.op9_toxicity,
     "op10_url_rules": op10_urls.ORACLE,
 }
