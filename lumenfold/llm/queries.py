@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenfold.llm import op01_pii, op02_language, op03_secrets, op04_mixing, op05_neardup, op06_decontamination, op07_pages, op09_toxicity, op10_urls
+from lumenfold.llm import op01_pii, op02_language, op03_secrets, op04_mixing, op05_neardup, op06_decontamination, op07_pages, op08_topk, op09_toxicity, op10_urls
 
 QUERIES = {
     "op2_language": op02_language.op2_language,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_neardup": op05_neardup.op5_neardup,
     "op6_decontamination": op06_decontamination.op6_decontamination,
     "op7_main_text": op07_pages.op7_main_text,
+    "op8_topk": op08_topk.op8_topk,
     "op9_toxicity": op09_toxicity.op9_toxicity,
     "op10_url_rules": op10_urls.op10_url_rules,
 }
@@ -20,6 +21,8 @@ ORACLES = {
     "op4_mixing": op04_mixing.ORACLE,
     "op6_decontamination": op06_decontamination.op6_decontamination,
     "op7_main_text": op07_pages.op7_main_text,
+    "op8_topk": op08_topk.op8_topk,
     "op9_toxicity": op09_toxicity.op9_toxicity,
+    "op8_topk": op08_topk.ORACLE,
     "op10_url_rules": op10_urls.ORACLE,
 }
