@@ -205,8 +205,9 @@ def spans_text(spans: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with every found span of `text` replaced by `mark` and `n_chars` renewed. The texts are scanned twice, for the
     corpus's cut and for the spans, so that no text passes through a shuffle."""
-    cuts = thresholds(materialise(scan(docs).select("tokens")))
-    found = find(docs, cuts=cuts).withColumn("_spans", F.array_sort(F.concat("base", "extra")))
+    packed = docs.select("text", F.struct(*docs.columns).alias("row"))
+    cuts = thresholds(materialise(scan(packed.select("text")).select("tokens")))
+    found = find(packed, cuts=cuts).select("row", "text", F.array_sort(F.concat("base", "extra")).alias("spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
 
@@ -216,11 +217,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    cleaned = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(text)
-    renewed = found.withColumn("text", cleaned)
-    if "n_chars" in docs.columns:
-        renewed = renewed.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return renewed.select(*docs.columns)
+    hit = F.size("spans") > 0
+    renewed = found.withColumn("text", F.when(hit, F.aggregate("spans", start, step, rest)).otherwise(text))
+    fresh = {"text": F.col("text"), "n_chars": F.when(hit, F.length("text").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return renewed.select(*[(fresh[c] if c in fresh else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op3_secrets(spark, sf_dir):

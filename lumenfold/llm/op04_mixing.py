@@ -11,9 +11,8 @@ exactly their targets at virtual time 1, so the cut is there, and the one item o
 the cut is truncated to the words left of its queue's target.
 
 Defined results: null text has size 0 and takes nothing; a null source is a source of its own and comes last; empty
-tables give empty results; documents with equal ids are ordered by size, and equal rows are interchangeable; other
-columns of the input pass through `fair_queue` untouched unless they bear the name of a result column, in which case
-the result column replaces them.
+tables give empty results; documents with equal ids are ordered by size, and equal rows are interchangeable; further
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,6 +14,12 @@ are small, and what remains is compared on all 64 bits. Each shard reports a spa
 pairs, and connected components join the forests. A shard whose home x visitors work exceeds a bound is dealt out:
 its visitors are split by hash and its home rows copied to each part.
 
+`keep_one` drops near copies by similarity (weighted, five-word shingles, 0.8 or more), where 64 bits and radius 4
+would miss most: at similarity 0.8 each bit of a fingerprint differs with probability 0.15. It takes fingerprints of
+256 bits and the same trees on their sixteen blocks, radius 1 each, of which a pair at 0.8 shares one with probability
+0.995. Shards report minimum spanning forests by Hamming distance, which hold the components for every distance bound;
+their edges are then verified word by word.
+
 Defined results: equal texts share a fingerprint and are expanded only at the end; a null or wordless text has
 fingerprint zero and links like any other; a null doc_id keeps its row and counts for no component_id unless nothing
 else is there (then null); repeated rows stay; empty tables give empty results; extra columns are ignored.
@@ -22,14 +28,16 @@ else is there (then null); repeated rows stay; empty tables give empty results;
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.bitmaps import Bitmap, bitmap_of
 from lumenfold.operators.components import components
 from lumenfold.storage import materialise
 
@@ -44,38 +52,63 @@ MOST_DEPTH = 12
 SHARD_WORK = 1 << 32
 BLOCK = 1 << 20
 PIECE = 1 << 16
+#: For `keep_one`: similarity, 64-bit words of a fingerprint, and bits within which pairs are verified (four deviations
+#: above what the similarity gives).
+SIMILAR = 0.8
+WIDE = 4
+WIDE_RADIUS = 62
+#: Edges that a shard holds before it thins them to a forest.
+HELD_EDGES = 1 << 20
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a text, in pieces."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
-    if len(words) < width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) < width:
+        yield np.array([digest(joined, SEED)], "<u8")
+        return
     ends, at = [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
     n = len(words) - width + 1
     starts = [0, *(e + 1 for e in ends[: n - 1])]
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for k in range(0, n, PIECE):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + PIECE], ends[k + width - 1 : k + width - 1 + PIECE], strict=False)], "<u8")
-        votes += np.add.reduce(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + PIECE], ends[k + width - 1 : k + width - 1 + PIECE], strict=False)], "<u8")
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row, fp as a signed long."""
+def fingerprint(text: bytes | None, width: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """`words` x 64 bits, each set by more than half of the shingles' hashes. Words after the first are of hashes mixed
+    anew."""
+    votes, n = np.zeros((words, 64), np.int64), 0
+    for hashes in shingle_hashes(text, width):
+        n += len(hashes)
+        for w in range(words):
+            if w:
+                hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 | 1)
+                hashes ^= hashes >> np.uint64(29)
+            votes[w] += np.add.reduce(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)
+    if not n:
+        return np.zeros(words, "<u8")
+    return np.packbits(2 * votes > n, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1) -> DataFrame:
+    """(doc_id, fp, text_key) of every row: fp as bytes, text_key a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            texts = [t.as_py() for t in batch.column(1)]
+            fp = [fingerprint(t, width, words).astype(">u8").tobytes() for t in texts]
+            key = np.array([xxhash.xxh64_intdigest(b"\0" if t is None else t + b"\1", SEED) for t in texts], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), pa.array(key)], names=["doc_id", "fp", "text_key"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary, text_key long")
 
 
 class Forest:
@@ -118,28 +151,43 @@ def split(own: np.ndarray, coming: np.ndarray, node: int, radius: int) -> tuple[
     return own[d <= median], own[d > median], coming[e.astype(int) - radius <= median], coming[e.astype(int) + radius > median]
 
 
-def joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Union the pairs into `parent`, which stays flat and points to the smallest member."""
-    while True:
-        ra, rb = parent[a], parent[b]
-        apart = ra != rb
-        if not apart.any():
-            return
-        ra, rb = ra[apart], rb[apart]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges (a, b) of length d form a minimum spanning forest over n nodes."""
+    parent, chosen = np.arange(n), []
+    for level in np.unique(d):
+        left = np.nonzero(d == level)[0]
         while True:
-            up = parent[parent]
-            if (up == parent).all():
+            ra, rb = parent[a[left]], parent[b[left]]
+            apart = ra != rb
+            if not apart.any():
                 break
-            parent[:] = up
-        a, b = a[apart], b[apart]
-
-
-def shard_links(fps: np.ndarray, owned: np.ndarray, coming: np.ndarray, quarter: int, radius: int = RADIUS) -> np.ndarray:
-    """`parent` over `fps`: owned rows (indices) against coming ones, pruned by further vantage points."""
-    parent = np.arange(len(fps))
-    part = ((fps >> np.uint64(BITS * quarter)) & np.uint64(0xFFFF)).astype(np.uint16)
-    stack, near = [(owned, coming, 1 << 20, 0)], radius // QUARTERS
+            left, high, low = left[apart], np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart]
+            roots, first = np.unique(high, return_index=True)  # each root is hung up once, on a smaller one
+            chosen.append(left[first])
+            parent[roots] = low[first]
+            while True:
+                up = parent[parent]
+                if (up == parent).all():
+                    break
+                parent = up
+    return np.concatenate(chosen) if chosen else np.zeros(0, int)
+
+
+def shard_links(fps: np.ndarray, owned: np.ndarray, coming: np.ndarray, block: int, limit: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the links between owned and coming rows of `fps` (rows x words): ends and distance.
+
+    Further vantage points on the block's bits prune until the rest is small enough to compare."""
+    word, shift = divmod(block * BITS, 64)
+    part = ((fps[:, word] >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
+    stack: list[tuple] = [(owned, coming, 1 << 20, 0)]
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def thin() -> None:
+        a, b, d = (np.concatenate(x) for x in zip(*held, strict=True))
+        keep = forest(a, b, d, len(fps))
+        held[:] = [(a[keep], b[keep], d[keep])]
+
+    count = 0
     while stack:
         own, visit, node, level = stack.pop()
         if not len(own) or not len(visit):
@@ -150,65 +198,81 @@ def shard_links(fps: np.ndarray, owned: np.ndarray, coming: np.ndarray, quarter:
             median = int(np.sort(d)[(len(d) - 1) // 2])
             median -= median == d.max()
             if d.min() <= median:
-                stack += [(own[d <= median], visit[e - near <= median], 2 * node, level + 1), (own[d > median], visit[e + near > median], 2 * node + 1, level + 1)]
+                stack += [(own[d <= median], visit[e - radius <= median], 2 * node, level + 1), (own[d > median], visit[e + radius > median], 2 * node + 1, level + 1)]
             else:  # all at one distance: another vantage point
-                stack.append((own, visit[abs(e - d[0]) <= near], 2 * node + 1, level + 1))
+                stack.append((own, visit[abs(e - d[0]) <= radius], 2 * node + 1, level + 1))
             continue
         step = max(1, BLOCK // len(own))
         for k in range(0, len(visit), step):
             some = visit[k : k + step]
-            i, j = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[own][None, :]) <= radius)
+            away = np.bitwise_count(fps[some, 0][:, None] ^ fps[own, 0][None, :])
+            if fps.shape[1] > 1:
+                away = away.astype(np.uint16)
+                for w in range(1, fps.shape[1]):
+                    away += np.bitwise_count(fps[some, w][:, None] ^ fps[own, w][None, :])
+            i, j = np.nonzero(away <= limit)
             if len(i):
-                joined(parent, some[i], own[j])
-    return parent
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """(src, dst): a spanning forest, shard by shard, of all links between the distinct fingerprints `fp`."""
+                held.append((some[i], own[j], away[i, j]))
+                count += len(i)
+                if count > HELD_EDGES:
+                    thin()
+                    count = len(held[0][0])
+    if not held:
+        none = np.zeros(0, int)
+        return none, none, none
+    thin()
+    return held[0]
+
+
+def links(fps: DataFrame, limit: int = RADIUS, words: int = 1) -> DataFrame:
+    """(src, dst, bits): spanning forests, shard by shard, of all links within `limit` bits that meet in a block, between
+    the distinct fingerprints `fp`. With limit < 2 * (4 * words) all links meet."""
     spark = fps.sparkSession
     n = fps.count()
+    blocks, radius = QUARTERS * words, RADIUS // QUARTERS
     depth = min(MOST_DEPTH, max(1, math.ceil(math.log2(max(2, n / SHARD_ROWS)))))
-    tree = Forest(depth)
-    shards = QUARTERS * tree.leaves
+    tree = Forest(depth, radius)
     held = spark.sparkContext.broadcast((tree.home, tree.first, tree.later))  # 65,536 points and their visits
+    width = (1 << BITS) + 1
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, first, later = held.value
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view("<u8")
-            for q in range(QUARTERS):
-                part = ((fp >> np.uint64(BITS * q)) & np.uint64(0xFFFF)).astype(np.int64)
+            fps = batch.column(0)
+            data = np.frombuffer(b"".join(fps.to_pylist()), ">u8").astype("<u8").reshape(-1, words)
+            for q in range(blocks):
+                word, shift = divmod(q * BITS, 64)
+                part = ((data[:, word] >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64)
                 times = first[part + 1] - first[part]
                 at = np.repeat(first[part] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-                shard = q * (len(home) + 1) + np.concatenate([home[part], later[at]])
-                own = np.concatenate([np.ones(len(fp), bool), np.zeros(len(at), bool)])
-                both = np.concatenate([fp, np.repeat(fp, times)]).view("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(own), pa.array(both)], names=["shard", "own", "fp"])
+                shard = q * width + np.concatenate([home[part], later[at]])
+                own = np.concatenate([np.ones(len(data), bool), np.zeros(len(at), bool)])
+                row = np.concatenate([np.arange(len(data)), np.repeat(np.arange(len(data)), times)])
+                for k in range(0, len(row), PIECE):
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[k : k + PIECE].astype(np.int32)), pa.array(own[k : k + PIECE]), fps.take(pa.array(row[k : k + PIECE]))], names=["shard", "own", "fp"])
 
-    placed = fps.select("fp").mapInArrow(place, "shard int, own boolean, fp long")
+    placed = fps.select("fp").mapInArrow(place, "shard int, own boolean, fp binary")
     counted = placed.groupBy("shard").agg(F.count_if("own").alias("own"), F.count("*").alias("all"))
     heavy = {r["shard"]: math.ceil(r["own"] * r["all"] / SHARD_WORK) for r in counted.where(F.col("own") * F.col("all") > SHARD_WORK).collect()}  # at most one entry a shard
     parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv]), F.col("shard")), F.lit(1)) if heavy else F.lit(1)
     mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
     dealt = placed.withColumn("mine", mine).withColumn("part", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("mine"))))
-    dealt = dealt.select(F.col("shard"), "part", "own", (F.col("mine") == F.col("part")).alias("visits"), "fp")
-    width = (1 << BITS) + 1
+    dealt = dealt.select("shard", "part", "own", (F.col("mine") == F.col("part")).alias("visits"), "fp")
 
     def search(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches))
-        fp = got.column("fp").to_numpy().view("<u8")
+        fps = got.column("fp").combine_chunks()
+        data = np.frombuffer(b"".join(fps.to_pylist()), ">u8").astype("<u8").reshape(-1, words)
         own, visits = (np.nonzero(got.column(c).to_numpy())[0] for c in ("own", "visits"))
-        parent = shard_links(fp, own, visits, key[0].as_py() // width)
-        child = np.nonzero(parent != np.arange(len(parent)))[0]
-        a = fp.view("<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(a[child]), pa.array(a[parent[child]])], names=["src", "dst"])
+        a, b, d = shard_links(data, own, visits, key[0].as_py() // width, limit, radius)
+        yield pa.RecordBatch.from_arrays([fps.take(pa.array(a)), fps.take(pa.array(b)), pa.array(d.astype(np.int32))], names=["src", "dst", "bits"])
 
-    assert shards < QUARTERS * width
-    return dealt.groupBy("shard", "part").applyInArrow(search, "src long, dst long").distinct()
+    found = dealt.groupBy("shard", "part").applyInArrow(search, "src binary, dst binary, bits int")
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "bits").where("src <> dst").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+    """(doc_id, fp, component_id) of every row, fp as bytes, the highest bits first."""
     prints = materialise(fingerprints(docs, width))
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     root = components(links(distinct))
@@ -219,6 +283,79 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _similar(pairs: DataFrame, width: int, similar: float) -> DataFrame:
+    """The rows of (src, dst, one, two), texts as bytes, whose weighted shingles are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = one.as_py(), two.as_py()
+                if last[0] != one:
+                    last = (one, Counter(h for piece in shingle_hashes(one, width) for h in piece.tolist()))
+                a, b = last[1], Counter(h for piece in shingle_hashes(two, width) for h in piece.tolist())
+                common = sum(min(k, b[h]) for h, k in a.items() if h in b)
+                total = sum(a.values()) + sum(b.values()) - common
+                keep.append(not total or common >= similar * total)
+            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "src binary, dst binary")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similar: float = SIMILAR) -> DataFrame:
+    """`docs` without near copies: of each group the row of the smallest doc_id stays (a null doc_id comes last; among
+    equal ids the text decides, and of equal rows one stays)."""
+    prints = materialise(fingerprints(docs, width, WIDE))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    distinct = materialise(prints.groupBy("fp").agg(F.min(order).alias("first")))
+    edges = materialise(links(distinct, WIDE_RADIUS, WIDE).select("src", "dst"))
+    text = F.col("text").cast("binary")
+    ends = materialise(edges.select(F.col("src").alias("fp")).union(edges.select(F.col("dst").alias("fp"))).distinct().join(distinct, "fp"))
+    # texts of the ends only, one a fingerprint; others stop at the bitmap and are not shuffled
+    named = ends.select("fp", "first.doc_id", "first.text_key")
+    candidates = admitted(docs.select("doc_id", "text"), bitmap_of(named, "text_key"), True).select("doc_id", text.alias("text"), text_key().alias("text_key"))
+    match = candidates.doc_id.eqNullSafe(named.doc_id) & (candidates.text_key == named.text_key)
+    texts = materialise(named.join(candidates, match).select("fp", "text").dropDuplicates(["fp"]))
+    pairs = edges.join(texts.select(F.col("fp").alias("src"), F.col("text").alias("one")), "src").join(texts.select(F.col("fp").alias("dst"), F.col("text").alias("two")), "dst")
+    root = components(_similar(pairs.select("src", "dst", "one", "two"), width, similar))
+    rooted = materialise(distinct.join(root, distinct.fp == root.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root")))
+    winners = materialise(rooted.groupBy("root").agg(F.min("first").alias("winner")))
+    stays = materialise(rooted.join(winners, "root").select("fp", "winner"))
+    keyed = prints.select("fp", "doc_id", "text_key").join(stays, "fp")
+    lost = keyed.where(~(F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("text_key") == F.col("winner.text_key"))))
+    again = prints.groupBy("doc_id", "text_key").count().where("count > 1")  # rows that repeat id and text
+    lost = materialise(lost.select("doc_id", "text_key", F.lit(True).alias("lost")).distinct().unionByName(again.select("doc_id", "text_key", F.lit(False).alias("lost"))))
+    bitmap = bitmap_of(lost, "text_key")
+    own_id = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    keys = lost.select(own_id("doc_id").alias("id"), F.col("text_key").alias("key"), "lost")
+    gone, repeated = keys.where("lost").drop("lost"), keys.where("NOT lost").drop("lost")
+    doubtful = admitted(docs, bitmap, True).select(own_id("doc_id").alias("id"), text_key().alias("key"), F.struct(*docs.columns).alias("row"))
+    doubtful = doubtful.join(gone, ["id", "key"], "left_anti")
+    single = doubtful.join(repeated, ["id", "key"], "left_anti")
+    once = doubtful.join(repeated, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    return admitted(docs, bitmap, False).unionByName(single.select("row.*")).unionByName(once.select("row.*"))
+
+
+def admitted(docs: DataFrame, bitmap: Bitmap, wanted: bool) -> DataFrame:
+    """The rows of `docs` whose text's key the bitmap admits, or the others."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.array([xxhash.xxh64_intdigest(b"\0" if t is None else t.encode() + b"\1", SEED) for t in (x.as_py() for x in batch.column(place))], "<u8")
+            yield batch.filter(pa.array(held.value.admits(keys) == wanted, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def text_key() -> Column:
+    """The hash of a text that `fingerprints` makes, in SQL."""
+    raw = F.col("text").cast("binary")
+    return F.xxhash64(F.when(F.col("text").isNull(), F.lit(b"\0")).otherwise(F.concat(raw, F.lit(b"\1"))))
+
+
 def op5_neardup(spark, sf_dir):
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

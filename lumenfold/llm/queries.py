@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lumenfold.llm import op01_pii, op02_language, op03_secrets, op04_mixing, op05_neardup, op06_decontamination, op07_pages, op08_topk, op09_toxicity, op10_urls
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op2_language": op02_language.op2_language,
     "op1_pii": op01_pii.op1_pii,
     "op3_secrets": op03_secrets.op3_secrets,
