@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.sampling import hashed_sample
+
 HIDDEN = 12
 WINDOW = 128
 SAMPLE_ROWS = 3000
@@ -234,9 +236,10 @@ def sample(docs: DataFrame) -> list[tuple[str, bytes]]:
     """At most SAMPLE_ROWS rows reach the driver, each with SAMPLE_BYTES bytes."""
     raw = F.col("text").cast("binary")
     place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.greatest(F.length(raw) - SAMPLE_BYTES, F.lit(1))).cast("int")
-    rows = docs.where((remainder(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    rows = rows.select("lang", F.substring(raw, place + 1, F.lit(SAMPLE_BYTES)).alias("piece"), F.xxhash64("doc_id").alias("h"), "doc_id")
-    return [(r["lang"], bytes(r["piece"])) for r in rows.orderBy("h", "doc_id", "piece").limit(SAMPLE_ROWS).collect()]
+    rows = docs.where((remainder(F.col("doc_id")) != 2) & F.col("lang").isNotNull())
+    total = rows.count()
+    pieces = rows.where(F.length("text") > 0).select("doc_id", "lang", F.substring(raw, place + 1, F.lit(SAMPLE_BYTES)).alias("piece"))
+    return [(r["lang"], bytes(r["piece"])) for r in hashed_sample(pieces, SAMPLE_ROWS, "doc_id", "lang", "piece", total=total).collect()]
 
 
 def label_documents(docs: DataFrame, net: Network | None) -> DataFrame:
