@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.sampling import hashed_sample
 from lumenfold.storage import materialise
 
 SAMPLE_ROWS = 20_000
@@ -154,7 +155,7 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and (doc_id, terms, times) of every document, written once."""
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    chosen = usable.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE_ROWS).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = hashed_sample(usable.select("doc_id", "toxic"), SAMPLE_ROWS, "doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = materialise(chosen)  # at most SAMPLE_ROWS small rows, so the broadcast below is bounded
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
