@@ -38,6 +38,13 @@ def _drop_all() -> None:
         drop_table(spark, path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """The path of a new folder that all executors share; it goes when the session's process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
@@ -45,7 +52,6 @@ def materialise(df: DataFrame) -> DataFrame:
     process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
