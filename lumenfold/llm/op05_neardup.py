@@ -46,7 +46,7 @@ RADIUS = 4
 SEED = 42
 QUARTERS, BITS = 4, 16
 #: About so many home rows in a shard; the depth of the trees follows from it.
-SHARD_ROWS = 1000
+SHARD_ROWS = 16_000
 MOST_DEPTH = 12
 #: Comparisons that one task makes in one shard at most, before pruning.
 SHARD_WORK = 1 << 32
