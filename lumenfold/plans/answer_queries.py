@@ -52,7 +52,8 @@ CHUNKS = WALK + """, ce AS (SELECT DISTINCT l_orderkey AS chunk_id, l_suppkey AS
 ck AS (SELECT chunk_id, min((hop, entity_id, nth)) AS k FROM fw GROUP BY chunk_id ORDER BY k, chunk_id LIMIT 20), pl AS (SELECT chunk_id, (row_number() OVER (ORDER BY k, chunk_id))::INT AS place FROM ck)"""
 
 
-@query("v15_chunk_collection", CHUNKS + " SELECT * FROM pl")
+@query("v15_chunk_collection", CHUNKS + """, fi AS (SELECT o_orderkey AS chunk_id, row_number() OVER (ORDER BY o_orderkey) AS nth FROM (SELECT DISTINCT o_orderkey FROM orders) WHERE o_orderkey NOT IN (SELECT chunk_id FROM pl))
+SELECT chunk_id, place FROM pl UNION ALL SELECT chunk_id, (nth + (SELECT count(*) FROM pl))::INT FROM fi WHERE nth + (SELECT count(*) FROM pl) <= 20""")
 def v15(spark, sf_dir):
     chosen = retrieval.collect_chunks(walk(spark, sf_dir), chunk_entities(spark, sf_dir))
     return retrieval.filled(chosen, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id")))
