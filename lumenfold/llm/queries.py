@@ -21,10 +21,6 @@ QUERIES = {
 
 ORACLES = {
     "op4_mixing": op04_mixing.ORACLE,
-    "op6_decontamination": op06_decontamination.op6_decontamination,
-    "op7_main_text": op07_pages.op7_main_text,
-    "op8_topk": op08_topk.op8_topk,
-    "op9_toxicity": op09_toxicity.op9_toxicity,
     "op8_topk": op08_topk.ORACLE,
     "op10_url_rules": op10_urls.ORACLE,
 }
