@@ -50,7 +50,7 @@ SHARD_ROWS = 16_000
 MOST_DEPTH = 12
 #: Comparisons that one task makes in one shard at most, before pruning.
 SHARD_WORK = 1 << 32
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 PIECE = 1 << 16
 #: For `keep_one`: similarity, 64-bit words of a fingerprint, and bits within which pairs are verified (four deviations
 #: above what the similarity gives).
@@ -58,7 +58,7 @@ SIMILAR = 0.8
 WIDE = 4
 WIDE_RADIUS = 62
 #: Edges that a shard holds before it thins them to a forest.
-HELD_EDGES = 1 << 20
+HELD_EDGES = 1 << 18
 
 
 def shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
@@ -102,10 +102,13 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            fp = [fingerprint(t, width, words).astype(">u8").tobytes() for t in texts]
-            key = np.array([xxhash.xxh64_intdigest(b"\0" if t is None else t + b"\1", SEED) for t in texts], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), pa.array(key)], names=["doc_id", "fp", "text_key"])
+            fp, keys = [], []
+            for value in batch.column(1):  # one text at a time is a Python object
+                text = value.as_py()
+                fp.append(fingerprint(text, width, words).astype(">u8").tobytes())
+                keys.append(xxhash.xxh64_intdigest(b"\0" if text is None else text + b"\1", SEED))
+            key = pa.array(np.array(keys, "<u8").view("<i8"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), key], names=["doc_id", "fp", "text_key"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary, text_key long")
@@ -212,7 +215,7 @@ def shard_links(fps: np.ndarray, owned: np.ndarray, coming: np.ndarray, block: i
                     away += np.bitwise_count(fps[some, w][:, None] ^ fps[own, w][None, :])
             i, j = np.nonzero(away <= limit)
             if len(i):
-                held.append((some[i], own[j], away[i, j]))
+                held.append((some[i].astype(np.int32), own[j].astype(np.int32), away[i, j].astype(np.uint8)))
                 count += len(i)
                 if count > HELD_EDGES:
                     thin()
