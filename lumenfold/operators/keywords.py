@@ -34,19 +34,20 @@ def stopped(word: Column) -> Column:
 def candidates(docs: DataFrame, key: str = "doc_id", body: str = "text", drop_numbers: bool = True) -> DataFrame:
     """(key, pos, phrase, n_words): maximal runs of words that hold no stop word, number or break.
 
-    Runs are numbered by a running count of breaks within each document.
+    A row's words are joined with a line end for each stop word or break and split again, so runs are found within the row
+    and nothing is shuffled; pos counts the ends before a run.
     """
     pieces = F.split(F.lower(text(body)), BREAKS)
     marked = F.flatten(F.transform(pieces, lambda p: F.concat(F.regexp_extract_all(p, F.lit(r"([\p{L}\p{N}_\-]+)"), F.lit(1)), F.array(F.lit("")))))
-    words = docs.select(key, F.posexplode(marked).alias("at", "word"))
-    ends = (F.col("word") == "") | F.col("word").isin(STOP_WORDS)
-    if drop_numbers:
-        ends = ends | F.col("word").rlike(r"^\d+$")
-    inside = Window.partitionBy(key).orderBy("at")
-    runs = words.withColumn("ends", ends).withColumn("run", F.sum(F.col("ends").cast("int")).over(inside)).where("NOT ends")
-    phrases = runs.groupBy(key, "run").agg(F.min("at").alias("pos"), F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
-    named = phrases.select(key, "pos", F.array_join(F.col("w.word"), " ").alias("phrase"), F.size("w").alias("n_words"))
-    return named.where((F.col("n_words") <= MAX_WORDS) & (F.length("phrase") >= MIN_CHARS))
+
+    def coded(word: Column) -> Column:
+        ends = (word == "") | word.isin(STOP_WORDS)
+        return F.when(ends | word.rlike(r"^\d+$") if drop_numbers else ends, "\n").otherwise(word)
+
+    runs = F.split(F.array_join(F.transform(marked, coded), " "), "\n")
+    placed = docs.select(key, F.posexplode(F.transform(runs, lambda r: F.trim(r))).alias("pos", "phrase"))
+    sized = placed.where(F.length("phrase") >= MIN_CHARS).withColumn("n_words", F.size(F.split("phrase", " ")))
+    return sized.where(F.col("n_words") <= MAX_WORDS)
 
 
 def word_scores(phrases: DataFrame, key: str = "doc_id") -> DataFrame:

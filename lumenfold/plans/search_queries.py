@@ -14,7 +14,7 @@ PHRASES = rf"""WITH p AS (SELECT doc_id, list_transform(string_split_regex(lower
 w AS (SELECT doc_id, unnest(flatten(parts)) AS word, generate_subscripts(flatten(parts), 1) - 1 AS at_ FROM p),
 e AS (SELECT *, word = '' OR word IN {_STOPS} OR regexp_matches(word, '^\d+$') AS ends FROM w),
 r AS (SELECT *, sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY at_) AS run FROM e),
-phrases AS (SELECT doc_id, min(at_)::INT AS pos, string_agg(word, ' ' ORDER BY at_) AS phrase, count(*)::INT AS n_words FROM r WHERE NOT ends
+phrases AS (SELECT doc_id, run::INT AS pos, string_agg(word, ' ' ORDER BY at_) AS phrase, count(*)::INT AS n_words FROM r WHERE NOT ends
             GROUP BY doc_id, run HAVING count(*) <= 4 AND length(string_agg(word, ' ' ORDER BY at_)) >= 2)"""
 
 
