@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 
 from pyspark.sql import functions as F
 
@@ -104,6 +106,29 @@ def s9(spark, sf_dir):
     return parsed.select("path", "title", F.array_join("authors", "|").alias("authors"), "abstract", F.size("sections").alias("n_sections"))
 
 
+_DOCX = (
+    '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'
+    '<w:p><w:pPr><w:pStyle w:val="Title"/></w:pPr><w:r><w:t>{0}</w:t></w:r></w:p><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Results</w:t></w:r></w:p>'
+    "<w:p><w:r><w:t>{1}</w:t></w:r></w:p></w:body></w:document>"
+)
+
+
+@query("s10_office_documents", "SELECT '/n/' || n_nationkey || '.docx' AS path, n_name AS title, 'Results' AS heading, 2 AS level, 'results' AS section_type, 'region ' || n_regionkey || chr(10) AS content FROM nation")
+def s10(spark, sf_dir):
+    def pack(batches):
+        for batch in batches:
+            held = []
+            for name, region in zip(batch["n_name"], batch["n_regionkey"], strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr("word/document.xml", _DOCX.format(name, f"region {region}"))
+                held.append(out.getvalue())
+            yield batch.assign(content=held)[["path", "content"]]
+
+    named = table(spark, sf_dir, "nation").withColumn("path", F.concat(F.lit("/n/"), F.col("n_nationkey").cast("string"), F.lit(".docx")))
+    return sections(files.parse_office(named.mapInPandas(pack, "path string, content binary")))
+
+
 @query("s11_layout_elements")
 def s11(spark, sf_dir):
     kind = F.when(F.col("turn") == 0, "title").when(F.col("role") == "user", "heading").otherwise("text")
@@ -245,6 +270,16 @@ def r1(spark, sf_dir):
     return updates.answer_stream(ranked, "As the sources say [1] it is so [2]")
 
 
+@query("r5_word_stream", """SELECT conv_id, turn, unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS word, generate_subscripts(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), 1)::INT - 1 AS pos FROM conversations""")
+def r5(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(X.tokens(F.col("text"))).alias("pos", "word"))
+
+
+@query("r6_completion_order", "SELECT event_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id))::INT AS nth FROM events")
+def r6(spark, sf_dir):
+    return updates.first_answers(table(spark, sf_dir, "events"), "event_type", "event_id").select("event_id", "nth")
+
+
 @query("r3_token_buffer")
 def r3(spark, sf_dir):
     tokens = docs(spark, sf_dir).where("doc_id < 200").select(F.col("doc_id").alias("answer_id"), F.posexplode(X.tokens(F.col("text"))).alias("pos", "token"))
