@@ -5,12 +5,13 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import external_key, normalise_title, reference_doi, title_guess
 
 SIMILAR = 0.85
+RARE_WORDS = 1
 
 
 def doi_index(docs: DataFrame) -> DataFrame:
@@ -26,21 +27,19 @@ def title_index(docs: DataFrame) -> DataFrame:
 def fuzzy_matches(wanted: DataFrame, docs: DataFrame, least: float = SIMILAR, measure: str = "levenshtein") -> DataFrame:
     """(ref_id, match, similarity): the most similar title at or above `least`; ties to the smaller document.
 
-    Blocked, never a nested loop: pairs share a word and a bucket of lengths. The length bound loses nothing (similarity
-    at least s needs lengths within a ratio of s); that a word is shared is part of this operator's definition. `measure`
-    is `levenshtein` (inside the JVM) or `sequence` (difflib's ratio, in an Arrow function).
+    Blocked, never a nested loop: a wanted title meets the titles that have its rarest known word (by how many titles have
+    it; RARE_WORDS words if set higher) and whose length allows the similarity. That a rare word is shared is part of this operator's
+    definition. `measure` is `levenshtein` (inside the JVM) or `sequence` (difflib's ratio, in an Arrow function).
     """
     left = wanted.select("ref_id", "doc_id", normalise_title(F.col("title")).alias("a")).where("a <> ''")
     right = docs.select(F.col("doc_id").alias("match"), normalise_title(F.col("title")).alias("b")).where("b <> ''")
-    # similarity s = 1 - edits / longer >= least means shorter >= least * longer
-    width = 4
-    reach = lambda c: F.sequence(F.floor(F.length(c) * least / width).cast("int"), F.floor(F.length(c) / least / width).cast("int"))
-    left = left.withColumn("bucket", F.explode(reach("a")))
-    right = right.withColumn("bucket", F.floor(F.length("b") / width).cast("int"))
-    shared = left.withColumn("word", F.explode(F.array_distinct(F.split("a", " ")))).join(right.withColumn("word", F.explode(F.array_distinct(F.split("b", " ")))), ["bucket", "word"])
-    pairs = shared.where("doc_id <> match").select("ref_id", "match", "a", "b").distinct()
+    held = right.withColumn("word", F.explode(F.array_distinct(F.split("b", " "))))
+    often = held.groupBy("word").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("ref_id").orderBy("df", "word"))
+    asked = left.withColumn("word", F.explode(F.array_distinct(F.split("a", " ")))).join(often, "word").withColumn("nth", rank).where(F.col("nth") <= RARE_WORDS)
+    longest, shortest = F.greatest(F.length("a"), F.length("b")), F.least(F.length("a"), F.length("b"))
+    pairs = asked.join(held, "word").where((F.col("doc_id") != F.col("match")) & (shortest >= least * longest)).select("ref_id", "match", "a", "b").distinct()
     if measure == "levenshtein":
-        longest = F.greatest(F.length("a"), F.length("b"))
         scored = pairs.withColumn("similarity", 1 - F.levenshtein("a", "b") / longest)
     else:
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import WORD, text, word_set
+from lumenfold.storage import materialise
 
 
 def overlap(query: str, body: Column) -> Column:
@@ -41,9 +42,11 @@ def bm25(docs: DataFrame, query: str, k: int = 10, k1: float = 1.2, b: float = 0
     """(key, score): Okapi BM25 over the corpus. Only the query's words leave a task, with the document's length; corpus
     counts are one aggregate row. (V8)"""
     words = F.regexp_extract_all(F.lower(text(body)), F.lit(f"({WORD})"), F.lit(1))
-    sized = docs.select(key, words.alias("w")).select(key, F.size("w").alias("n"), "w")
     wanted = word_set(F.lit(query))
-    counts = sized.select(key, "n", F.explode(F.filter(F.transform(wanted, lambda t: F.struct(t.alias("term"), F.size(F.filter(F.col("w"), lambda x: x == t)).alias("tf"))), lambda s: s["tf"] > 0)).alias("hit")).select(key, "n", "hit.*")
+    listed = docs.select(key, words.alias("w")).select(key, F.size("w").alias("n"), F.filter("w", lambda x: F.array_contains(wanted, x)).alias("w"))
+    hits = F.filter(F.transform(wanted, lambda t: F.struct(t.alias("term"), F.size(F.filter(F.col("w"), lambda x: x == t)).alias("tf"))), lambda s: s["tf"] > 0)
+    sized = materialise(listed.select(key, "n", hits.alias("hits")))  # the texts are read once
+    counts = sized.select(key, "n", F.explode("hits").alias("hit")).select(key, "n", "hit.*")
     corpus = sized.agg(F.count("*").alias("total"), F.avg("n").alias("mean"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     joined = counts.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))  # one row a query word, and one row

@@ -227,8 +227,11 @@ g AS (SELECT *, lower(nullif(regexp_replace(regexp_extract(reference, '(10\.\d{{
 n AS (SELECT *, {_NORMAL("coalesce(guess, '')")} AS title FROM g),
 di AS (SELECT lower(doi) AS doi, max(doc_id) AS m FROM d WHERE doi IS NOT NULL GROUP BY 1), ti AS (SELECT {_NORMAL("title")} AS title, max(doc_id) AS m FROM d GROUP BY 1),
 h AS (SELECT n.*, CASE WHEN di.m <> n.doc_id THEN di.m END AS m_doi, CASE WHEN ti.m <> n.doc_id THEN ti.m END AS m_title FROM n LEFT JOIN di USING (doi) LEFT JOIN ti ON ti.title = n.title),
-f AS (SELECT h.ref_id, d2.doc_id AS m, 1 - levenshtein(h.title, d2.t) / greatest(length(h.title), length(d2.t)) AS similarity FROM h JOIN (SELECT doc_id, {_NORMAL("title")} AS t FROM d) d2
-   ON len(list_intersect(string_split(h.title, ' '), string_split(d2.t, ' '))) > 0 WHERE h.m_doi IS NULL AND h.m_title IS NULL AND h.doc_id <> d2.doc_id AND h.title <> '' AND 1 - levenshtein(h.title, d2.t) / greatest(length(h.title), length(d2.t)) >= 0.85),
+dt AS (SELECT doc_id, {_NORMAL("title")} AS t FROM d), tw AS (SELECT doc_id, t, unnest(list_distinct(string_split(t, ' '))) AS word FROM dt WHERE t <> ''), wf AS (SELECT word, count(*) AS df FROM tw GROUP BY word),
+aw AS (SELECT ref_id, doc_id, title, unnest(list_distinct(string_split(title, ' '))) AS word FROM h WHERE m_doi IS NULL AND m_title IS NULL AND title <> ''),
+rw AS (SELECT aw.* FROM aw JOIN wf USING (word) QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY df, word) <= 1),
+f AS (SELECT DISTINCT rw.ref_id, tw.doc_id AS m, 1 - levenshtein(rw.title, tw.t) / greatest(length(rw.title), length(tw.t)) AS similarity FROM rw JOIN tw USING (word)
+   WHERE rw.doc_id <> tw.doc_id AND 1 - levenshtein(rw.title, tw.t) / greatest(length(rw.title), length(tw.t)) >= 0.85),
 b AS (SELECT ref_id, first(m ORDER BY similarity DESC, m) AS m, round(max(similarity), 6)::DOUBLE AS similarity FROM f GROUP BY ref_id),
 x AS (SELECT h.ref_id, h.doc_id, reference, coalesce(m_doi, m_title, b.m) AS match, CASE WHEN m_doi IS NOT NULL THEN 'matched_doi' WHEN m_title IS NOT NULL THEN 'matched_title' WHEN b.m IS NOT NULL THEN 'matched_fuzzy' ELSE 'unresolved' END AS status,
   CASE WHEN m_doi IS NOT NULL OR m_title IS NOT NULL THEN 1.0 ELSE coalesce(b.similarity, 0) END::DOUBLE AS confidence FROM h LEFT JOIN b USING (ref_id))"""
