@@ -12,7 +12,7 @@ from lumenfold.functions import text as X
 from lumenfold.operators.chunking import section_chunks, token_chunks
 from lumenfold.plans.catalog import query, table
 from lumenfold.plans.graph_queries import PARTS_SQL, parts
-from lumenfold.plans.search_queries import lists
+from lumenfold.plans.search_queries import LISTS, lists
 from lumenfold.plans.text_queries import _chunks_sql
 from lumenfold.sources import files
 from lumenfold.sources.store import Store, export_documents, export_graph, graphml, read_graphml
@@ -257,7 +257,7 @@ def r7(spark, sf_dir):
     return store.read("state").select("document_id", "content_hash")
 
 
-@query("r2_stream_merge", None)
+@query("r2_stream_merge", LISTS + "SELECT id, max(score)::DOUBLE AS score FROM lists GROUP BY id ORDER BY score DESC, id LIMIT 10")
 def r2(spark, sf_dir):
     from lumenfold.operators.fusion import stream_merge
 
