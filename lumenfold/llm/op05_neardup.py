@@ -17,8 +17,10 @@ its visitors are split by hash and its home rows copied to each part.
 `keep_one` drops near copies by similarity (weighted, five-word shingles, 0.8 or more), where 64 bits and radius 4
 would miss most: at similarity 0.8 each bit of a fingerprint differs with probability 0.15. It takes fingerprints of
 256 bits and the same trees on their sixteen blocks, radius 1 each, of which a pair at 0.8 shares one with probability
-0.995. Shards report minimum spanning forests by Hamming distance, which hold the components for every distance bound;
-their edges are then verified word by word.
+0.995. Shards report minimum spanning forests by Hamming distance, whose edges are verified word by word. Where edges
+fail, a forest says nothing about the pairs it left out, so the groups at failed edges are taken together as families,
+and within a family every pair within the bits, the nearest first, is verified until its groups are joined. No pair is
+missed: a pair of a shard is joined by a path of its forest, which goes from group to group by edges that failed.
 
 Defined results: equal texts share a fingerprint and are expanded only at the end; a null or wordless text has
 fingerprint zero and links like any other; a null doc_id keeps its row and counts for no component_id unless nothing
@@ -59,6 +61,8 @@ WIDE = 4
 WIDE_RADIUS = 62
 #: Edges that a shard holds before it thins them to a forest.
 HELD_EDGES = 1 << 18
+#: A family is dealt out in parts of about so many texts, and every two parts meet in a task.
+FAMILY_ROWS = 512
 
 
 def shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
@@ -303,7 +307,101 @@ def _similar(pairs: DataFrame, width: int, similar: float) -> DataFrame:
                 keep.append(not total or common >= similar * total)
             yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "src binary, dst binary")
+    kind = pairs.schema["src"].dataType.simpleString()
+    return pairs.mapInArrow(run, f"src {kind}, dst {kind}")
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of `nodes` (node, first). Texts of other rows stop at the bitmap and are not shuffled."""
+    named = materialise(nodes.select("node", "first.doc_id", "first.text_key"))
+    text = F.col("text").cast("binary")
+    candidates = admitted(docs.select("doc_id", "text"), bitmap_of(named, "text_key"), True).select("doc_id", text.alias("text"), text_key().alias("text_key"))
+    match = candidates.doc_id.eqNullSafe(named.doc_id) & (candidates.text_key == named.text_key)
+    return materialise(named.join(candidates, match).select("node", "text").dropDuplicates(["node"]))
+
+
+def _bag(text: bytes | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of a text, sorted, and how often each occurs."""
+    pieces = list(shingle_hashes(text, width))
+    return np.unique(np.concatenate(pieces) if pieces else np.zeros(0, "<u8"), return_counts=True)
+
+
+def family_links(fps: np.ndarray, roots: np.ndarray, owned: np.ndarray, coming: np.ndarray, texts: list, width: int, similar: float) -> list[tuple[int, int]]:
+    """Similar pairs between owned and coming rows that join the groups `roots` as far as all of their similar pairs do."""
+    parent = list(range(int(roots.max()) + 1))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    joined = []
+    away = np.zeros((len(coming), len(owned)), np.uint16)
+    for w in range(fps.shape[1]):
+        away += np.bitwise_count(fps[coming, w][:, None] ^ fps[owned, w][None, :])
+    i, j = np.nonzero((away <= WIDE_RADIUS) & (roots[coming][:, None] != roots[owned][None, :]))
+    nearest = np.argsort(away[i, j], kind="stable")
+    for a, b in zip(coming[i[nearest]].tolist(), owned[j[nearest]].tolist(), strict=True):
+        one, two = top(int(roots[a])), top(int(roots[b]))
+        if one == two:
+            continue
+        for x in (a, b):
+            if x not in bags:
+                bags[x] = _bag(texts[x].as_py(), width)
+        (u, k), (v, m) = bags[a], bags[b]
+        if not len(u) or not len(v):
+            common = 0
+        else:
+            at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+            common = int(np.minimum(k, m[at])[v[at] == u].sum())
+        total = int(k.sum() + m.sum()) - common
+        if not total or common >= similar * total:
+            parent[max(one, two)] = min(one, two)
+            joined.append((a, b))
+    return joined
+
+
+def family_pairs(members: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
+    """(src, dst): similar pairs that join the groups of each family of `members` (node, fp, root, family)."""
+    sizes = materialise(members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("parts")))
+    rows = members.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(texts, "node")
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("family", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "fp", "root", "text")
+    kind = members.schema["node"].dataType.simpleString()
+
+    def search(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches))
+        nodes = got.column("node").combine_chunks()
+        data = np.frombuffer(b"".join(got.column("fp").to_pylist()), ">u8").astype("<u8").reshape(got.num_rows, -1)
+        roots = got.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        mine = got.column("mine").to_numpy()
+        ends = family_links(data, roots, np.nonzero(mine == key[1].as_py())[0], np.nonzero(mine == key[2].as_py())[0], got.column("text"), width, similar)
+        yield pa.RecordBatch.from_arrays([nodes.take(pa.array([e[k] for e in ends], pa.int64())) for k in (0, 1)], names=["src", "dst"])
+
+    return dealt.groupBy("family", "low", "high").applyInArrow(search, f"src {kind}, dst {kind}")
+
+
+def similar_groups(docs: DataFrame, nodes: DataFrame, edges: DataFrame, width: int, similar: float) -> DataFrame:
+    """(node, component) of the similar pairs among `nodes` (node, fp, first), of which `edges` are forests."""
+    ends = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    texts = _texts(docs, ends.join(nodes, "node"))
+    pairs = edges.join(texts.select(F.col("node").alias("dst"), F.col("text").alias("two")), "dst").join(texts.select(F.col("node").alias("src"), F.col("text").alias("one")), "src")
+    good = materialise(_similar(pairs.select("src", "dst", "one", "two"), width, similar))
+    root = components(good)
+    rooted = materialise(nodes.join(root, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("root")))
+    apart = edges.join(good, ["src", "dst"], "left_anti")
+    for c in ("src", "dst"):
+        apart = apart.join(rooted.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c)
+    apart = materialise(apart.select("src_root", "dst_root").where("src_root <> dst_root").distinct())
+    if apart.isEmpty():
+        return root
+    family = components(apart, "src_root", "dst_root").select(F.col("node").alias("root"), F.col("component").alias("family"))
+    members = materialise(rooted.join(family, "root"))
+    # a node without an edge has no pair within the bits
+    more = materialise(family_pairs(members, texts, width, similar))
+    return components(good.union(more))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similar: float = SIMILAR) -> DataFrame:
@@ -311,21 +409,13 @@ def keep_one(docs: DataFrame, width: int = 5, similar: float = SIMILAR) -> DataF
     equal ids the text decides, and of equal rows one stays)."""
     prints = materialise(fingerprints(docs, width, WIDE))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    distinct = materialise(prints.groupBy("fp").agg(F.min(order).alias("first")))
+    distinct = materialise(prints.groupBy("fp").agg(F.min(order).alias("first")).withColumn("node", F.col("fp")))
     edges = materialise(links(distinct, WIDE_RADIUS, WIDE).select("src", "dst"))
-    text = F.col("text").cast("binary")
-    ends = materialise(edges.select(F.col("src").alias("fp")).union(edges.select(F.col("dst").alias("fp"))).distinct().join(distinct, "fp"))
-    # texts of the ends only, one a fingerprint; others stop at the bitmap and are not shuffled
-    named = ends.select("fp", "first.doc_id", "first.text_key")
-    candidates = admitted(docs.select("doc_id", "text"), bitmap_of(named, "text_key"), True).select("doc_id", text.alias("text"), text_key().alias("text_key"))
-    match = candidates.doc_id.eqNullSafe(named.doc_id) & (candidates.text_key == named.text_key)
-    texts = materialise(named.join(candidates, match).select("fp", "text").dropDuplicates(["fp"]))
-    pairs = edges.join(texts.select(F.col("fp").alias("src"), F.col("text").alias("one")), "src").join(texts.select(F.col("fp").alias("dst"), F.col("text").alias("two")), "dst")
-    root = components(_similar(pairs.select("src", "dst", "one", "two"), width, similar))
-    rooted = materialise(distinct.join(root, distinct.fp == root.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root")))
+    root = similar_groups(docs, distinct, edges, width, similar)
+    rooted = materialise(distinct.join(root, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root")))
     winners = materialise(rooted.groupBy("root").agg(F.min("first").alias("winner")))
-    stays = materialise(rooted.join(winners, "root").select("fp", "winner"))
-    keyed = prints.select("fp", "doc_id", "text_key").join(stays, "fp")
+    stays = materialise(rooted.join(winners, "root").select("node", "winner"))
+    keyed = prints.select(F.col("fp").alias("node"), "doc_id", "text_key").join(stays, "node")
     lost = keyed.where(~(F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("text_key") == F.col("winner.text_key"))))
     again = prints.groupBy("doc_id", "text_key").count().where("count > 1")  # rows that repeat id and text
     lost = materialise(lost.select("doc_id", "text_key", F.lit(True).alias("lost")).distinct().unionByName(again.select("doc_id", "text_key", F.lit(False).alias("lost"))))

@@ -167,6 +167,39 @@ def test_keep_one(spark):
     assert kept == {min(g) for g in same}
 
 
+def plain_kept(rows, width=5, similar=0.8):
+    """The smallest id of every group that pairs of weighted similarity 0.8 connect."""
+
+    def grams(text):
+        words = text.lower().split()
+        return collections.Counter(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+
+    held = [grams(t) for _, t in rows]
+    near = []
+    for i, a in enumerate(held):
+        for j in range(i):
+            common = sum((a & held[j]).values())
+            if common >= similar * (a.total() + held[j].total() - common):
+                near.append((i, j))
+    return {rows[g[0]][0] for g in groups(len(rows), near)}
+
+
+def test_keep_one_about_the_bound(spark):
+    """Variants whose similarities lie about 0.8: pairs a little nearer in bits fail, others a little further hold."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for _ in range(12):
+        base = [word() for _ in range(300)]
+        for _ in range(20):
+            near = list(base)
+            for k in rng.sample(range(300), 4):
+                near[k] = word()
+            rows.append((len(rows), " ".join(near)))
+    kept = {r["doc_id"] for r in op05_neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == plain_kept(rows)
+
+
 def test_keep_one_awkward(spark):
     docs = awkward(spark)
     kept = op05_neardup.keep_one(docs)
