@@ -21,8 +21,10 @@ would miss most: at similarity 0.8 each bit of a fingerprint differs with probab
 fail, a forest says nothing about the pairs it left out, so the groups at failed edges are taken together as families,
 and within a family every pair within the bits, the nearest first, is verified until its groups are joined. No pair is
 missed: a pair of a shard is joined by a path of its forest, which goes from group to group by edges that failed.
+Equal fingerprints prove nothing, since the majority vote ignores lengths and minorities: only texts of the same words
+are one node from the start, and pairs whose lengths alone rule the similarity out are left out.
 
-Defined results: equal texts share a fingerprint and are expanded only at the end; a null or wordless text has
+Defined results: equal texts share a fingerprint and are expanded only at the end (`keep_one`: texts of equal words); a null or wordless text has
 fingerprint zero and links like any other; a null doc_id keeps its row and counts for no component_id unless nothing
 else is there (then null); repeated rows stay; empty tables give empty results; extra columns are ignored.
 """
@@ -102,20 +104,24 @@ def fingerprint(text: bytes | None, width: int = SHINGLE, words: int = 1) -> np.
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1) -> DataFrame:
-    """(doc_id, fp, text_key) of every row: fp as bytes, text_key a hash of the text."""
+    """(doc_id, fp, text_key, node, shingles) of every row: fp as bytes, text_key a hash of the text, node a hash of its
+    words, which all texts with the same sequence of shingles share, and the number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, keys = [], []
+            fp, keys, nodes, sizes = [], [], [], []
             for value in batch.column(1):  # one text at a time is a Python object
                 text = value.as_py()
                 fp.append(fingerprint(text, width, words).astype(">u8").tobytes())
                 keys.append(xxhash.xxh64_intdigest(b"\0" if text is None else text + b"\1", SEED))
-            key = pa.array(np.array(keys, "<u8").view("<i8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), key], names=["doc_id", "fp", "text_key"])
+                spoken = (text or b"").lower().split()
+                nodes.append(xxhash.xxh64_intdigest(b" ".join(spoken), SEED))
+                sizes.append(max(len(spoken) - width + 1, 1 if spoken else 0))
+            key, node = (pa.array(np.array(x, "<u8").view("<i8")) for x in (keys, nodes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), key, node, pa.array(sizes, pa.int32())], names=["doc_id", "fp", "text_key", "node", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary, text_key long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary, text_key long, node long, shingles int")
 
 
 class Forest:
@@ -180,8 +186,9 @@ def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(chosen) if chosen else np.zeros(0, int)
 
 
-def shard_links(fps: np.ndarray, owned: np.ndarray, coming: np.ndarray, block: int, limit: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shard_links(fps: np.ndarray, owned: np.ndarray, coming: np.ndarray, block: int, limit: int, radius: int, sizes: np.ndarray | None = None, similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A minimum spanning forest of the links between owned and coming rows of `fps` (rows x words): ends and distance.
+    If `sizes` are given, only of those whose sizes allow the similarity.
 
     Further vantage points on the block's bits prune until the rest is small enough to compare."""
     word, shift = divmod(block * BITS, 64)
@@ -218,6 +225,10 @@ def shard_links(fps: np.ndarray, owned: np.ndarray, coming: np.ndarray, block: i
                 for w in range(1, fps.shape[1]):
                     away += np.bitwise_count(fps[some, w][:, None] ^ fps[own, w][None, :])
             i, j = np.nonzero(away <= limit)
+            if sizes is not None:
+                some_sizes, own_sizes = sizes[some][i], sizes[own][j]
+                fit = np.minimum(some_sizes, own_sizes) >= similar * np.maximum(some_sizes, own_sizes)
+                i, j = i[fit], j[fit]
             if len(i):
                 held.append((some[i].astype(np.int32), own[j].astype(np.int32), away[i, j].astype(np.uint8)))
                 count += len(i)
@@ -231,9 +242,10 @@ def shard_links(fps: np.ndarray, owned: np.ndarray, coming: np.ndarray, block: i
     return held[0]
 
 
-def links(fps: DataFrame, limit: int = RADIUS, words: int = 1) -> DataFrame:
+def links(fps: DataFrame, limit: int = RADIUS, words: int = 1, similar: float = SIMILAR) -> DataFrame:
     """(src, dst, bits): spanning forests, shard by shard, of all links within `limit` bits that meet in a block, between
-    the distinct fingerprints `fp`. With limit < 2 * (4 * words) all links meet."""
+    the distinct fingerprints `fp`; or, if there are columns `node` and `shingles`, between nodes whose numbers of shingles
+    allow the similarity. With limit < 2 * (4 * words) all links meet."""
     spark = fps.sparkSession
     n = fps.count()
     blocks, radius = QUARTERS * words, RADIUS // QUARTERS
@@ -241,12 +253,15 @@ def links(fps: DataFrame, limit: int = RADIUS, words: int = 1) -> DataFrame:
     tree = Forest(depth, radius)
     held = spark.sparkContext.broadcast((tree.home, tree.first, tree.later))  # 65,536 points and their visits
     width = (1 << BITS) + 1
+    name = "node" if "node" in fps.columns else "fp"
+    carried = fps.select("fp", *(["node", "shingles"] if name == "node" else []))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried.schema)
+    kind = carried.schema[name].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, first, later = held.value
         for batch in batches:
-            fps = batch.column(0)
-            data = np.frombuffer(b"".join(fps.to_pylist()), ">u8").astype("<u8").reshape(-1, words)
+            data = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").astype("<u8").reshape(-1, words)
             for q in range(blocks):
                 word, shift = divmod(q * BITS, 64)
                 part = ((data[:, word] >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64)
@@ -256,31 +271,32 @@ def links(fps: DataFrame, limit: int = RADIUS, words: int = 1) -> DataFrame:
                 own = np.concatenate([np.ones(len(data), bool), np.zeros(len(at), bool)])
                 row = np.concatenate([np.arange(len(data)), np.repeat(np.arange(len(data)), times)])
                 for k in range(0, len(row), PIECE):
-                    yield pa.RecordBatch.from_arrays([pa.array(shard[k : k + PIECE].astype(np.int32)), pa.array(own[k : k + PIECE]), fps.take(pa.array(row[k : k + PIECE]))], names=["shard", "own", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[k : k + PIECE].astype(np.int32)), pa.array(own[k : k + PIECE]), *[c.take(pa.array(row[k : k + PIECE])) for c in batch.columns]], names=["shard", "own", *batch.schema.names])
 
-    placed = fps.select("fp").mapInArrow(place, "shard int, own boolean, fp binary")
+    placed = carried.mapInArrow(place, f"shard int, own boolean, {kinds}")
     counted = placed.groupBy("shard").agg(F.count_if("own").alias("own"), F.count("*").alias("all"))
     heavy = {r["shard"]: math.ceil(r["own"] * r["all"] / SHARD_WORK) for r in counted.where(F.col("own") * F.col("all") > SHARD_WORK).collect()}  # at most one entry a shard
     parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv]), F.col("shard")), F.lit(1)) if heavy else F.lit(1)
-    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    mine = F.pmod(F.xxhash64(name), parts).cast("int")
     dealt = placed.withColumn("mine", mine).withColumn("part", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("mine"))))
-    dealt = dealt.select("shard", "part", "own", (F.col("mine") == F.col("part")).alias("visits"), "fp")
+    dealt = dealt.select("shard", "part", "own", (F.col("mine") == F.col("part")).alias("visits"), *carried.columns)
 
     def search(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches))
-        fps = got.column("fp").combine_chunks()
-        data = np.frombuffer(b"".join(fps.to_pylist()), ">u8").astype("<u8").reshape(-1, words)
+        names = got.column(name).combine_chunks()
+        data = np.frombuffer(b"".join(got.column("fp").to_pylist()), ">u8").astype("<u8").reshape(-1, words)
+        sizes = got.column("shingles").to_numpy() if name == "node" else None
         own, visits = (np.nonzero(got.column(c).to_numpy())[0] for c in ("own", "visits"))
-        a, b, d = shard_links(data, own, visits, key[0].as_py() // width, limit, radius)
-        yield pa.RecordBatch.from_arrays([fps.take(pa.array(a)), fps.take(pa.array(b)), pa.array(d.astype(np.int32))], names=["src", "dst", "bits"])
+        a, b, d = shard_links(data, own, visits, key[0].as_py() // width, limit, radius, sizes, similar)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(d.astype(np.int32))], names=["src", "dst", "bits"])
 
-    found = dealt.groupBy("shard", "part").applyInArrow(search, "src binary, dst binary, bits int")
+    found = dealt.groupBy("shard", "part").applyInArrow(search, f"src {kind}, dst {kind}, bits int")
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "bits").where("src <> dst").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) of every row, fp as bytes, the highest bits first."""
-    prints = materialise(fingerprints(docs, width))
+    prints = materialise(fingerprints(docs, width).select("doc_id", "fp"))
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     root = components(links(distinct))
     rooted = distinct.join(root, distinct.fp == root.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
@@ -326,7 +342,7 @@ def _bag(text: bytes | None, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(pieces) if pieces else np.zeros(0, "<u8"), return_counts=True)
 
 
-def family_links(fps: np.ndarray, roots: np.ndarray, owned: np.ndarray, coming: np.ndarray, texts: list, width: int, similar: float) -> list[tuple[int, int]]:
+def family_links(fps: np.ndarray, roots: np.ndarray, owned: np.ndarray, coming: np.ndarray, sizes: np.ndarray, texts: pa.ChunkedArray, width: int, similar: float) -> list[tuple[int, int]]:
     """Similar pairs between owned and coming rows that join the groups `roots` as far as all of their similar pairs do."""
     parent = list(range(int(roots.max()) + 1))
 
@@ -341,7 +357,9 @@ def family_links(fps: np.ndarray, roots: np.ndarray, owned: np.ndarray, coming:
     away = np.zeros((len(coming), len(owned)), np.uint16)
     for w in range(fps.shape[1]):
         away += np.bitwise_count(fps[coming, w][:, None] ^ fps[owned, w][None, :])
-    i, j = np.nonzero((away <= WIDE_RADIUS) & (roots[coming][:, None] != roots[owned][None, :]))
+    near = (away <= WIDE_RADIUS) & (roots[coming][:, None] != roots[owned][None, :])
+    one, two = sizes[coming][:, None], sizes[owned][None, :]
+    i, j = np.nonzero(near & (np.minimum(one, two) >= similar * np.maximum(one, two)))
     nearest = np.argsort(away[i, j], kind="stable")
     for a, b in zip(coming[i[nearest]].tolist(), owned[j[nearest]].tolist(), strict=True):
         one, two = top(int(roots[a])), top(int(roots[b]))
@@ -364,11 +382,11 @@ def family_links(fps: np.ndarray, roots: np.ndarray, owned: np.ndarray, coming:
 
 
 def family_pairs(members: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
-    """(src, dst): similar pairs that join the groups of each family of `members` (node, fp, root, family)."""
+    """(src, dst): similar pairs that join the groups of each family of `members` (node, fp, shingles, root, family)."""
     sizes = materialise(members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("parts")))
     rows = members.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(texts, "node")
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("family", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "fp", "root", "text")
+    dealt = dealt.select("family", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "fp", "shingles", "root", "text")
     kind = members.schema["node"].dataType.simpleString()
 
     def search(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,20 +395,20 @@ def family_pairs(members: DataFrame, texts: DataFrame, width: int, similar: floa
         data = np.frombuffer(b"".join(got.column("fp").to_pylist()), ">u8").astype("<u8").reshape(got.num_rows, -1)
         roots = got.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
         mine = got.column("mine").to_numpy()
-        ends = family_links(data, roots, np.nonzero(mine == key[1].as_py())[0], np.nonzero(mine == key[2].as_py())[0], got.column("text"), width, similar)
+        ends = family_links(data, roots, np.nonzero(mine == key[1].as_py())[0], np.nonzero(mine == key[2].as_py())[0], got.column("shingles").to_numpy(), got.column("text"), width, similar)
         yield pa.RecordBatch.from_arrays([nodes.take(pa.array([e[k] for e in ends], pa.int64())) for k in (0, 1)], names=["src", "dst"])
 
     return dealt.groupBy("family", "low", "high").applyInArrow(search, f"src {kind}, dst {kind}")
 
 
 def similar_groups(docs: DataFrame, nodes: DataFrame, edges: DataFrame, width: int, similar: float) -> DataFrame:
-    """(node, component) of the similar pairs among `nodes` (node, fp, first), of which `edges` are forests."""
+    """(node, component) of the similar pairs among `nodes` (node, fp, shingles, first), of which `edges` are forests."""
     ends = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     texts = _texts(docs, ends.join(nodes, "node"))
     pairs = edges.join(texts.select(F.col("node").alias("dst"), F.col("text").alias("two")), "dst").join(texts.select(F.col("node").alias("src"), F.col("text").alias("one")), "src")
     good = materialise(_similar(pairs.select("src", "dst", "one", "two"), width, similar))
     root = components(good)
-    rooted = materialise(nodes.join(root, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("root")))
+    rooted = materialise(nodes.join(root, "node", "left").select("node", "fp", "shingles", F.coalesce("component", "node").alias("root")))
     apart = edges.join(good, ["src", "dst"], "left_anti")
     for c in ("src", "dst"):
         apart = apart.join(rooted.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c)
@@ -409,13 +427,13 @@ def keep_one(docs: DataFrame, width: int = 5, similar: float = SIMILAR) -> DataF
     equal ids the text decides, and of equal rows one stays)."""
     prints = materialise(fingerprints(docs, width, WIDE))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    distinct = materialise(prints.groupBy("fp").agg(F.min(order).alias("first")).withColumn("node", F.col("fp")))
-    edges = materialise(links(distinct, WIDE_RADIUS, WIDE).select("src", "dst"))
+    distinct = materialise(prints.groupBy("node").agg(F.min(order).alias("first"), F.min("fp").alias("fp"), F.min("shingles").alias("shingles")))
+    edges = materialise(links(distinct, WIDE_RADIUS, WIDE, similar).select("src", "dst"))
     root = similar_groups(docs, distinct, edges, width, similar)
     rooted = materialise(distinct.join(root, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root")))
     winners = materialise(rooted.groupBy("root").agg(F.min("first").alias("winner")))
     stays = materialise(rooted.join(winners, "root").select("node", "winner"))
-    keyed = prints.select(F.col("fp").alias("node"), "doc_id", "text_key").join(stays, "node")
+    keyed = prints.select("node", "doc_id", "text_key").join(stays, "node")
     lost = keyed.where(~(F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("text_key") == F.col("winner.text_key"))))
     again = prints.groupBy("doc_id", "text_key").count().where("count > 1")  # rows that repeat id and text
     lost = materialise(lost.select("doc_id", "text_key", F.lit(True).alias("lost")).distinct().unionByName(again.select("doc_id", "text_key", F.lit(False).alias("lost"))))

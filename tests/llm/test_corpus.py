@@ -200,6 +200,18 @@ def test_keep_one_about_the_bound(spark):
     assert kept == plain_kept(rows)
 
 
+def test_keep_one_of_equal_fingerprints(spark):
+    """Repeated words and lines outvote the rest of a text; only the texts' words decide."""
+    line = "one line of nine words that is said again"
+    many = [f"{'same ' * 120}{' '.join(f'{k}w{i}' for i in range(80))}" for k in "abc"]
+    texts = [*many, many[1] + " end", many[2].upper(), " ".join([line] * 10), " ".join([line] * 100), " ".join([line] * 101), " ".join([line] * 11)]
+    rows = list(enumerate(texts))
+    prints = {r["doc_id"]: bytes(r["fp"]) for r in op05_neardup.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 5, op05_neardup.WIDE).collect()}
+    assert prints[0] == prints[1] and prints[5] == prints[6]
+    kept = {r["doc_id"] for r in op05_neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == plain_kept(rows) == {0, 1, 2, 5, 6}
+
+
 def test_keep_one_awkward(spark):
     docs = awkward(spark)
     kept = op05_neardup.keep_one(docs)
