@@ -3,7 +3,7 @@
 Everything is a DataFrame expression: no Python runs on the executors.
 
 Battery. A candidate is a run of 20 or more characters of an encoding's alphabet. Its encoding is inferred (hex,
-base32, base62, base64; plain digits are left to other operators). Three tests ask whether its symbols look drawn at
+base32 and base36 in either case, base62, base64; plain digits are left to other operators). Three tests ask whether its symbols look drawn at
 random: chi-squared uniformity over the alphabet, the runs test about the alphabet's middle, and lag-one serial
 correlation. A candidate passes if no test rejects at `ALPHA` / 3.
 
@@ -44,7 +44,7 @@ LENGTH_STEPS = (32, 48, 96)
 PRIOR_CHANGES, PRIOR_PAIRS = 100, 1000
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-ALPHABETS = {"hex": DIGITS + "abcdef", "base32": UPPER + "234567", "base62": DIGITS + UPPER + LOWER, "base64": DIGITS + UPPER + LOWER + "+/"}
+ALPHABETS = {"hex": DIGITS + "abcdef", "base32": UPPER + "234567", "lower32": LOWER + "234567", "upper36": DIGITS + UPPER, "lower36": DIGITS + LOWER, "base62": DIGITS + UPPER + LOWER, "base64": DIGITS + UPPER + LOWER + "+/"}
 
 
 def _placed(text: Column, pattern: str, keep: Column | None = None) -> Column:
@@ -84,6 +84,9 @@ def _battery(tokens: Column) -> Column:
         F.when(s(t).rlike("^[0-9_-]+$"), None)
         .when(s(t).rlike("^([0-9a-f-]+|[0-9A-F-]+)$"), "hex")
         .when(s(t).rlike("^[A-Z2-7]+=*$"), "base32")
+        .when(s(t).rlike("^[a-z2-7]+=*$"), "lower32")
+        .when(s(t).rlike("^[A-Z0-9_-]+=*$"), "upper36")
+        .when(s(t).rlike("^[a-z0-9_-]+=*$"), "lower36")
         .when(s(t).rlike("[+/]"), "base64")
         .otherwise("base62")
     )

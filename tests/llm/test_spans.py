@@ -104,6 +104,21 @@ def test_random_tokens(spark):
     assert found[2]["extra"] == []
 
 
+def test_random_keys_of_every_alphabet(spark):
+    """The battery passes random keys of each alphabet, short and long, and long ones are reported."""
+    rng = random.Random(5)
+    kinds = {"base32": op03_secrets.UPPER + "234567", "lower32": op03_secrets.LOWER + "234567", "upper36": op03_secrets.DIGITS + op03_secrets.UPPER, "lower36": op03_secrets.DIGITS + op03_secrets.LOWER, "base62": op03_secrets.DIGITS + op03_secrets.UPPER + op03_secrets.LOWER, "base64": op03_secrets.DIGITS + op03_secrets.UPPER + op03_secrets.LOWER + "+/"}
+    rows = [(f"{kind} {n}", "".join(rng.choice(letters) for _ in range(n))) for kind, letters in kinds.items() for n in (20, 32, 64, 96, 128, 256) for _ in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    passed = {r["doc_id"]: r["rate"] for r in op03_secrets.scan(docs).selectExpr("doc_id", "double(exists(tokens, t -> t.passes)) AS v").groupBy("doc_id").agg({"v": "avg"}).withColumnRenamed("avg(v)", "rate").collect()}
+    assert {k: v for k, v in passed.items() if v < 0.95} == {}
+    plain = [("plain", f"internationalizationstandards another_snake_case_identifier_name some-page-of-2024-about-words SOME_CONSTANT_NAME_OF_A_LIBRARY {i}") for i in range(200)]
+    found = op03_secrets.find(spark.createDataFrame([r for r in rows if len(r[1]) >= 64] + plain, "doc_id string, text string")).collect()
+    missed = [r["doc_id"] for r in found if r["doc_id"] != "plain" and not r["extra"] and not r["base"]]
+    assert len(missed) <= 0.02 * len(rows)
+    assert not any(r["extra"] for r in found if r["doc_id"] == "plain")
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é token = 'abcdef0123456789' z", 29, "k"), (2, None, None, "k"), (3, "clean", 5, "k")], "doc_id long, text string, n_chars long, base string")
     out = {r["doc_id"]: r for r in op03_secrets.redact(docs).collect()}
