@@ -1,135 +1,154 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and, for longer words, their first STEM letters with a star. Of all terms in a bounded sample of
-labelled rows (SAMPLE_ROWS rows, in the order of a hash of their id) those are kept that mark toxic rows beyond what
-chance gives among so many terms (log-likelihood ratio above 2 ln(terms) + MARGIN), at most MOST_TERMS by that
-ratio. Their document frequencies are counted over all documents. A document's vector holds its kept terms, weighted
-(1 + ln tf) * idf and normed.
-
-The examples' vectors stand in a block-max inverted index: posting lists cut into blocks of examples, each with its
-largest weight. A query bounds every block by its terms' block maxima, visits blocks from the highest bound on, and
-stops when no bound reaches its K-th similarity, so the K nearest are exact. They vote with weight
+Terms are all words of the labelled examples, a bounded sample of the labelled rows of both classes (SAMPLE_ROWS rows,
+in the order of a hash of their id). A document's vector holds every known term, weighted
+
+    (1 + ln tf) * idf * (max(0, G - 2 ln(terms)) + SMOOTH)
+
+with idf from counts over all documents and G the two-sided log-likelihood ratio of term and class in the examples,
+beyond what chance gives among so many terms: a term that both classes use alike weighs little, one that marks either
+class weighs much. Without G the nearest examples share topic and language, not toxicity.
+
+The examples stand in a block-max inverted index: posting lists cut into blocks of BLOCK examples, each with its
+largest weight. A query adds up its short lists, bounds every block by the largest sum so far and the block maxima of
+its long lists, visits blocks from the highest bound on, and stops when no bound reaches its K-th similarity, so the K
+nearest are exact. They vote with weight
 1 / (1 - cosine + SOFTEN), against one pseudo-vote of the base rate, and an isotonic map fitted on the examples'
 leave-one-out votes turns the vote into a calibrated score. The nearest examples and the terms shared are evidence.
 
-Defined results: a text without kept terms (a null or empty one too) scores the rate of toxic rows among examples
-without kept terms; a null doc_id counts as not held out and is not learned from; equal rows give equal results;
-without labels every score is 0; empty tables give empty results; extra columns are ignored, and pass through `keep`.
+Defined results: a text without known terms (a null or empty one too) has no neighbours and scores the rate of toxic
+rows among examples without terms, smoothed by the base rate; a null doc_id counts as not held out and is not learned
+from; of a labelled id that is repeated every row may be sampled, with the largest label; equal rows give equal
+results; without labels every score is 0; empty tables give empty results; extra columns are ignored, and pass through
+`keep`.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.sampling import hashed_sample
 from lumenfold.storage import materialise
 
-SAMPLE_ROWS = 20_000
-MOST_TERMS = 5_000
-LEAST_DOCS = 5
-MARGIN = 6.0
-STEM = 4
-NEAREST = 15
+SAMPLE_ROWS = 4096
+SMOOTH = 0.01
+NEAREST = 25
 SOFTEN = 0.05
 BLOCK = 64
-#: Query vectors whose votes a worker remembers.
-REMEMBERED = 100_000
+#: A list is long that holds more than 1 / LONG of the examples.
+LONG = 16
+#: Texts whose results a worker remembers.
+REMEMBERED = 50_000
+#: Terms that a task counts before it hands its counts on.
+HELD_TERMS = 200_000
 WORD = re.compile(r"\w+")
 
 
 def terms_of(text: str | None) -> Counter[str]:
-    words = Counter(WORD.findall((text or "").lower()))
-    stems: Counter[str] = Counter()
-    for w, n in words.items():
-        if len(w) > STEM:
-            stems[w[:STEM] + "*"] += n
-    words.update(stems)
-    return words
+    return Counter(WORD.findall((text or "").lower()))
 
 
-@dataclass
 class Index:
-    """Examples by their vectors, in blocks of BLOCK; similar ones stand together."""
-
-    ids: list
-    labels: np.ndarray
-    vectors: list[dict[int, float]]
-    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for i, v in enumerate(self.vectors):
-            for t, w in v.items():
-                lists.setdefault(t, []).append((i, w))
-        for t, found in lists.items():
-            at, weight = np.array([i for i, _ in found]), np.array([w for _, w in found])
-            block, first = np.unique(at // BLOCK, return_index=True)
-            self.postings[t] = (at, weight, block, np.append(first, len(at)), np.maximum.reduceat(weight, first))
-
-    def nearest(self, query: dict[int, float], k: int = NEAREST, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of highest cosine, ties to the earlier one; only those that share a term."""
-        lists = [(q, self.postings[t]) for t, q in query.items() if t in self.postings]
-        if not lists:
-            return []
-        bound = np.zeros((len(self.vectors) + BLOCK - 1) // BLOCK)
-        for q, (_, _, block, _, most) in lists:
-            bound[block] += q * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[0][0] - 1e-9):
-                break
-            score = np.zeros(BLOCK)
-            for q, (at, weight, block, first, _) in lists:
-                p = np.searchsorted(block, b)
-                if p < len(block) and block[p] == b:
-                    part = slice(first[p], first[p + 1])
-                    score[at[part] - b * BLOCK] += q * weight[part]
-            for i in np.nonzero(score > 0)[0]:
-                item = (round(float(score[i]), 9), -int(b * BLOCK + i))
-                if -item[1] == without:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+    """Examples by their vectors, in blocks of BLOCK; those with the same heaviest terms stand together.
+
+    A term's posting list is short (kept as places and weights) or long, of more than 1 / LONG of the examples (kept by
+    block, with the block's largest weight)."""
+
+    def __init__(self, ids: list, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], size: int) -> None:
+        self.count, self.blocks = len(ids), -(-len(ids) // BLOCK)
+        order = sorted(range(len(ids)), key=lambda i: (tuple(vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:3]].tolist()), i))
+        self.ids, self.labels, self.vectors = [ids[i] for i in order], np.asarray(labels, float)[order], [vectors[i] for i in order]
+        place = np.repeat(np.arange(self.count), [len(t) for t, _ in self.vectors])
+        terms, weights = (np.concatenate([v[k] for v in self.vectors]) if self.count else np.zeros(0, kind) for k, kind in enumerate((np.int64, float)))
+        length = np.bincount(terms, minlength=size)
+        long = length > self.count / LONG
+        self.row = np.where(long, np.cumsum(long) - 1, -1)
+        self.long = np.zeros((self.blocks, BLOCK, int(long.sum())))
+        some = long[terms]
+        self.long[place[some] // BLOCK, place[some] % BLOCK, self.row[terms[some]]] = weights[some]
+        self.most = self.long.max(1) if self.blocks else np.zeros((0, self.long.shape[2]))
+        by = np.nonzero(~some)[0][np.argsort(terms[~some], kind="stable")]
+        self.place, self.weight = place[by], weights[by]
+        self.post = np.concatenate([[0], np.cumsum(np.where(long, 0, length))])
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples, ties to the earlier one; only those that share a term."""
+        places, scores, least, width = np.zeros(0, np.int64), np.zeros(0), 0.0, 4
+        if not len(terms) or not self.count:
+            return places, scores
+        low, times = self.post[terms], self.post[terms + 1] - self.post[terms]
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+        sums = np.bincount(self.place[at], np.repeat(weights, times) * self.weight[at], self.blocks * BLOCK).reshape(-1, BLOCK)
+        query, row = np.zeros(self.long.shape[2]), self.row[terms]
+        query[row[row >= 0]] = weights[row >= 0]
+        bound = sums.max(1) + self.most @ query
+        left = np.argsort(-bound, kind="stable")
+        left = left[bound[left] > 0]
+        while len(left):
+            chosen = left[:width]
+            found = np.round(sums[chosen] + self.long[chosen] @ query, 9)
+            own = chosen[:, None] * BLOCK + np.arange(BLOCK)
+            hit = (found > 0) & (found >= least) & (own != without)
+            places, scores = np.concatenate([places, own[hit]]), np.concatenate([scores, found[hit]])
+            if len(scores) > k:
+                best = np.lexsort((places, -scores))[:k]
+                places, scores = places[best], scores[best]
+            if len(scores) == k:
+                least = scores.min()
+            left, width = left[width:], 2 * width
+            left = left[bound[left] >= least - 1e-8]
+        best = np.lexsort((places, -scores))
+        return places[best], scores[best]
 
 
 @dataclass
 class Model:
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray
     index: Index
     rate: float
     base: float
     knots: tuple[np.ndarray, np.ndarray]
 
-    def vector(self, counts: Counter[int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()} if norm else {}
-
-    def kept(self, text: str | None) -> Counter[int]:
+    def vector(self, counts: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms in order, and their weights, of norm 1."""
         vocabulary = self.vocabulary
-        return Counter({vocabulary[t]: n for t, n in terms_of(text).items() if t in vocabulary})
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        weights = [1 / (1 - min(s, 1.0) + SOFTEN) for s, _ in near]
-        return (self.rate + sum(w * self.index.labels[i] for w, (_, i) in zip(weights, near, strict=True))) / (1 + sum(weights))
-
-    def score(self, counts: Counter[int]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(self.vector(counts)) if counts else []
-        return (float(np.interp(self.vote(near), *self.knots)) if near else self.base), near
+        held = sorted((vocabulary[t], n) for t, n in counts.items() if t in vocabulary)
+        terms, times = np.array([t for t, _ in held], np.int64), np.array([n for _, n in held], float)
+        raw = (1 + np.log(times)) * self.weight[terms]
+        norm = math.sqrt(float(raw @ raw))
+        return (terms, raw / norm) if norm else (terms[:0], raw[:0])
+
+    def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
+        weights = 1 / (1 - np.minimum(cosines, 1.0) + SOFTEN)
+        return float((self.rate + weights @ self.index.labels[places]) / (1 + weights.sum()))
+
+    def score(self, text: str | None) -> tuple[float, float, str]:
+        """Score, vote and evidence."""
+        terms, weights = self.vector(terms_of(text))
+        places, cosines = self.index.nearest(terms, weights)
+        if not len(places):
+            return self.base, self.base, ""
+        vote = self.vote(places, cosines)
+        near = "; ".join(f"{self.index.ids[i]} ({self.index.labels[i]:.0f}, {s:.3f})" for i, s in zip(places[:3].tolist(), cosines[:3].tolist(), strict=True))
+        heavy = terms[np.argsort(-weights, kind="stable")[:8]].tolist()
+        return min(1.0, max(0.0, float(np.interp(vote, *self.knots)))), vote, f"{near}: {' '.join(self.words[t] for t in heavy)}"
+
+    @property
+    def words(self) -> list[str]:
+        if "_words" not in self.__dict__:
+            self.__dict__["_words"] = sorted(self.vocabulary, key=self.vocabulary.get)
+        return self.__dict__["_words"]
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +157,7 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
         return np.array([0.0, 1.0]), np.array([0.0, 1.0])
     order = np.argsort(votes, kind="stable")
     groups: list[list[float]] = []  # labels, rows, votes
-    for part in np.array_split(order, max(1, min(20, len(order) // 10))):
+    for part in np.array_split(order, max(1, min(100, len(order) // 10))):
         groups.append([float(labels[part].sum()), float(len(part)), float(votes[part].sum())])
         while len(groups) > 1 and groups[-2][0] / groups[-2][1] >= groups[-1][0] / groups[-1][1]:
             last = groups.pop()
@@ -148,105 +167,133 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([[0.0], x, [1.0]]), np.concatenate([[0.0], np.maximum.accumulate(y), [1.0]])
 
 
+def association(n: np.ndarray, toxic: np.ndarray, rows: float, all_toxic: float) -> np.ndarray:
+    """G of term and class: n of `rows` examples hold the term, `toxic` of them of `all_toxic` toxic ones."""
+    if not 0 < all_toxic < rows:
+        return np.zeros(len(n))
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
+
+    p = all_toxic / rows
+    with_term = part(toxic, n * p) + part(n - toxic, n * (1 - p))
+    without = part(all_toxic - toxic, (rows - n) * p) + part(rows - all_toxic - n + toxic, (rows - n) * (1 - p))
+    return np.maximum(2 * (with_term + without), 0.0)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and (doc_id, terms, times) of every document, written once."""
-    usable = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    chosen = hashed_sample(usable.select("doc_id", "toxic"), SAMPLE_ROWS, "doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = materialise(chosen)  # at most SAMPLE_ROWS small rows, so the broadcast below is bounded
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, toxic = [], []
-            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                terms = terms_of(text.as_py())
-                found += terms
-                toxic += [y] * len(terms)
-                if len(found) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(toxic, pa.int32())], names=["term", "toxic"])
-                    found, toxic = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(toxic, pa.int32())], names=["term", "toxic"])
-
-    counted = sample.select("text", "toxic").mapInArrow(spell, "term string, toxic int").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where(F.col("n") >= LEAST_DOCS)
-    counted = materialise(counted)
-    size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1")).first()
-    total, toxic = float(size["n"]), float(size["n1"])
-    p = toxic / total if total else 0.0
-    xlog = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
-    ratio = 2 * (xlog(F.col("n1"), F.col("n") * p) + xlog(F.col("n") - F.col("n1"), F.col("n") * (1 - p))) if 0 < p < 1 else F.lit(0.0)
-    level = 2 * math.log(max(2, counted.count())) + MARGIN
-    marks = counted.withColumn("ratio", ratio).where((F.col("n1") > F.col("n") * p) & (F.col("ratio") >= level))
-    vocabulary = {r["term"]: i for i, r in enumerate(marks.orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).collect())}
+def document_counts(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
+    """In how many documents each term occurs. What reaches the driver is one number a term."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = held.value
+        counts: Counter[int] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+
         for batch in batches:
-            rows = [sorted((vocabulary[t], n) for t, n in terms_of(text.as_py()).items() if t in vocabulary) if vocabulary else [] for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[t for t, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "terms", "times"])
+            for text in batch.column(0):
+                counts.update({vocabulary[w] for w in set(WORD.findall((text.as_py() or "").lower())) if w in vocabulary})
+                if len(counts) > HELD_TERMS:
+                    yield out()
+                    counts.clear()
+        yield out()
 
+    out = np.zeros(len(vocabulary))
+    for r in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r["term"]] = r["n"]
+    return out
+
+
+def examples(docs: DataFrame, labels: DataFrame) -> list:
+    """(doc_id, toxic, terms, times) of at most SAMPLE_ROWS labelled rows, in order."""
+    usable = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    chosen = hashed_sample(usable.select("doc_id", "toxic"), SAMPLE_ROWS, "doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = materialise(chosen)  # at most SAMPLE_ROWS small rows, so the broadcast below is bounded
     kind = docs.schema["doc_id"].dataType.simpleString()
-    vectors = materialise(docs.select("doc_id", "text").mapInArrow(weigh, f"doc_id {kind}, terms array<int>, times array<int>"))
-    n = vectors.count()
-    seen = {r["term"]: r["count"] for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
-    idf = np.array([math.log((1 + n) / (1 + seen.get(i, 0))) + 1 for i in range(len(vocabulary))])
-    examples = vectors.join(F.broadcast(chosen), "doc_id").select("doc_id", "terms", "times", "toxic").collect()  # at most SAMPLE_ROWS, short rows
-    bare = [r["toxic"] for r in examples if not r["terms"]]
-    base = (sum(bare) + p) / (len(bare) + 1)
-    model = Model(vocabulary, idf, Index([], np.zeros(0), []), p, base, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    marked = sorted((r for r in examples if r["terms"]), key=lambda r: (r["terms"], r["times"], r["doc_id"]))
-    counts = [Counter(dict(zip(r["terms"], r["times"], strict=True))) for r in marked]
-    model.index = Index([r["doc_id"] for r in marked], np.array([r["toxic"] for r in marked], float), [model.vector(c) for c in counts])
-    votes = np.array([model.vote(model.index.nearest(v, without=i)) for i, v in enumerate(model.index.vectors)])
-    model.knots = isotonic(votes, model.index.labels)
-    return model, vectors
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(2)):
+                counts = terms_of(text.as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], batch.column(1)[i : i + 1], pa.array([list(counts.keys())], pa.list_(pa.string())), pa.array([list(counts.values())], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "times"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    spelt = materialise(rows.mapInArrow(spell, f"doc_id {kind}, toxic int, terms array<string>, times array<int>").withColumn("key", F.xxhash64(F.array_sort(F.arrays_zip("terms", "times")))))
+    return sorted(hashed_sample(spelt, SAMPLE_ROWS, "doc_id", "key").collect(), key=lambda r: (r["doc_id"], r["key"]))
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    rows = examples(docs, labels)
+    counts = [Counter(dict(zip(r["terms"], r["times"], strict=True))) for r in rows]
+    toxic = np.array([r["toxic"] for r in rows], float)
+    vocabulary = {t: i for i, t in enumerate(sorted({t for c in counts for t in c}))}
+    size = len(vocabulary)
+    held = [np.fromiter((vocabulary[t] for t in c), np.int64, len(c)) for c in counts]
+    n = sum((np.bincount(h, minlength=size) for h in held), np.zeros(size))
+    n1 = sum((np.bincount(h, minlength=size) for h, y in zip(held, toxic, strict=True) if y), np.zeros(size))
+    idf = np.log((1 + docs.count()) / (1 + document_counts(docs, vocabulary))) + 1 if size else np.zeros(0)
+    rate = float(toxic.mean()) if len(toxic) else 0.0
+    bare = [y for c, y in zip(counts, toxic, strict=True) if not c]
+    beyond = np.maximum(association(n, n1, float(len(rows)), float(toxic.sum())) - 2 * math.log(max(1, size)), 0.0)
+    model = Model(vocabulary, idf * (beyond + SMOOTH), Index([], np.zeros(0), [], size), rate, float((sum(bare) + rate) / (len(bare) + 1)), isotonic(np.zeros(0), np.zeros(0)))
+    marked = [i for i, c in enumerate(counts) if c]
+    model.index = Index([rows[i]["doc_id"] for i in marked], toxic[marked], [model.vector(counts[i]) for i in marked], size)
+    index = model.index
+    votes = [model.vote(*index.nearest(*v, without=i)) for i, v in enumerate(index.vectors)]
+    model.knots = isotonic(np.array(votes), index.labels)
+    index.vectors = []
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score, predicted, evidence) of every row; evidence names the three nearest examples."""
-    model, vectors = learn(docs, labels)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """(doc_id, score, predicted, vote, evidence) of every row; evidence names the three nearest examples."""
+    held = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        words = {i: t for t, i in model.vocabulary.items()}
-        known: dict[tuple, tuple[float, str]] = {}
+        known = Known(held.value)
         for batch in batches:
-            out = []
-            for terms, times in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = (tuple(terms), tuple(times))
-                if key not in known:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    value, near = model.score(Counter(dict(zip(terms, times, strict=True))))
-                    said = "; ".join(f"{model.index.ids[i]} ({model.index.labels[i]:.0f}, {s:.3f})" for s, i in near[:3])
-                    known[key] = (min(1.0, max(0.0, value)), f"{said}: {' '.join(words[t] for t in terms[:8])}" if near else "")
-                out.append(known[key])
-            scores = [s for s, _ in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([e for _, e in out], pa.string())], names=["doc_id", "score", "predicted", "evidence"])
+            out = [known(t.as_py()) for t in batch.column(1)]
+            scores = [s for s, _, _ in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([v for _, v, _ in out], pa.float64()), pa.array([e for _, _, e in out], pa.string())], names=["doc_id", "score", "predicted", "vote", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return vectors.mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, vote double, evidence string")
+
+
+class Known:
+    """A model that remembers the results of up to REMEMBERED texts, so that copies cost little."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.held = model, {}
+
+    def __call__(self, text: str | None) -> tuple[float, float, str]:
+        key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+        if key not in self.held:
+            if len(self.held) >= REMEMBERED:
+                self.held.clear()
+            self.held[key] = self.model.score(text)
+        return self.held[key]
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that score below 0.5, as they are."""
-    model, _ = learn(docs, labels)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        known = Known(held.value)
         for batch in batches:
-            yield batch.filter(pa.array([model.score(model.kept(t.as_py()))[0] < 0.5 for t in batch.column(place)], pa.bool_()))
+            yield batch.filter(pa.array([known(t.as_py())[0] < 0.5 for t in batch.column(place)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op9_toxicity(spark, sf_dir):
     found = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "vote", "evidence")

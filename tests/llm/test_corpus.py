@@ -1,8 +1,10 @@
 """Mixing, near copies, decontamination, toxicity, and the pipeline."""
 
 import collections
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -270,25 +272,75 @@ def test_decontamination_awkward(spark):
     assert op06_decontamination.clean(nothing(spark), benchmark).count() == 0
 
 
-def plain_nearest(index, query, k, without=-1):
-    scored = sorted((-round(sum(w * v.get(t, 0) for t, w in query.items()), 9), i) for i, v in enumerate(index.vectors) if i != without and any(t in v for t in query))
-    return [(-s, i) for s, i in scored[:k] if -s > 0]
-
-
 def test_block_max_search_is_exact():
     rng = random.Random(3)
 
     def vector():
-        raw = {t: rng.choice([0.5, 1.0, 2.0]) for t in rng.sample(range(30), rng.randint(1, 6))}
-        norm = sum(w * w for w in raw.values()) ** 0.5
+        terms = sorted(rng.sample(range(40), rng.randint(1, 9)))
+        raw = np.array([rng.choice([0.5, 1.0, 2.0]) * (5 if t > 30 else 1) for t in terms])
+        return np.array(terms), raw / np.linalg.norm(raw)
+
+    vectors = [vector() for _ in range(700)]
+    index = op09_toxicity.Index(list(range(700)), np.zeros(700), vectors, 40)
+    dense = np.zeros((700, 40))
+    for row, i in enumerate(index.ids):
+        dense[row, vectors[i][0]] = vectors[i][1]
+    for _ in range(200):
+        terms, weights = vector()
+        cosines = np.round(dense[:, terms] @ weights, 9)
+        expected = [i for i in np.lexsort((np.arange(700), -cosines))[:9] if cosines[i] > 0]
+        places, found = index.nearest(terms, weights, 9)
+        assert found == pytest.approx(cosines[expected], abs=2e-9)
+        sure = cosines[expected] > cosines[expected].min() + 1e-8
+        assert places[sure].tolist() == np.array(expected)[sure].tolist()
+        assert 3 not in index.nearest(terms, weights, 9, without=3)[0]
+
+
+def plain_votes(docs, labels):
+    """Vote of every text, from all cosines over plain dictionaries."""
+    spoken = {i: collections.Counter(re.findall(r"\w+", (t or "").lower())) for i, t in docs.items()}
+    learnt = sorted(i for i in labels if i in docs and zlib.crc32(str(i).encode()) % 5)
+    n1 = collections.Counter(t for i in learnt if labels[i] for t in spoken[i])
+    n = collections.Counter(t for i in learnt for t in spoken[i])
+    df = collections.Counter(t for c in spoken.values() for t in c)
+    size, toxic = len(learnt), sum(labels[i] for i in learnt)
+
+    def weight(t):
+        g = 0.0
+        for seen, rows, share in ((n1[t], n[t], toxic), (n[t] - n1[t], n[t], size - toxic), (toxic - n1[t], size - n[t], toxic), (size - toxic - n[t] + n1[t], size - n[t], size - toxic)):
+            if seen:
+                g += 2 * seen * math.log(seen * size / (rows * share))
+        return (math.log((1 + len(docs)) / (1 + df[t])) + 1) * (max(0.0, g - 2 * math.log(len(n))) + 0.01)
+
+    weights = {t: weight(t) for t in n}
+
+    def vector(counts):
+        raw = {t: (1 + math.log(k)) * weights[t] for t, k in counts.items() if t in weights}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / norm for t, w in raw.items()}
 
-    index = op09_toxicity.Index(list(range(500)), np.zeros(500), [vector() for _ in range(500)])
-    for _ in range(200):
-        q = vector()
-        got, expected = index.nearest(q, 9), plain_nearest(index, q, 9)
-        assert [i for _, i in got] == [i for _, i in expected]
-        assert [s for s, _ in got] == pytest.approx([s for s, _ in expected])
+    held = {i: vector(spoken[i]) for i in learnt}
+    out = {}
+    for i, counts in spoken.items():
+        v = vector(counts)
+        near = sorted(((sum(w * held[e].get(t, 0.0) for t, w in v.items()), e) for e in learnt), reverse=True)
+        near = [(s, e) for s, e in near[:25] if s > 1e-9]
+        share = [1 / (1 - min(s, 1.0) + 0.05) for s, _ in near]
+        out[i] = (toxic / size + sum(w * labels[e] for w, (_, e) in zip(share, near, strict=True))) / (1 + sum(share)) if near else None
+    return out
+
+
+def test_toxicity_query_against_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    found = {r["doc_id"]: r for r in op09_toxicity.op9_toxicity(spark, FOLDER).collect()}
+    expected = plain_votes(docs, labels)
+    assert found.keys() == expected.keys()
+    scored = [i for i, v in expected.items() if v is not None]
+    assert len(scored) > 0.95 * len(docs)
+    assert {i for i, r in found.items() if r["evidence"]} == set(scored)
+    off = [i for i in scored if abs(found[i]["vote"] - expected[i]) > 1e-6]
+    assert len(off) <= 0.02 * len(scored)  # equal cosines at the last place may be either example
 
 
 def test_toxicity_held_out(spark):
@@ -308,6 +360,10 @@ def test_toxicity_awkward(spark):
     assert op09_toxicity.keep(docs, labels.limit(0)).exceptAll(docs).count() == 0
     assert op09_toxicity.keep(docs, labels.limit(0)).count() == 8
     assert op09_toxicity.score(nothing(spark), labels).count() == 0
+    many = spark.range(300).selectExpr("1L AS doc_id", "concat('word', id % 3) AS text")  # one labelled id on every row
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(op09_toxicity, "SAMPLE_ROWS", 50)
+        assert len(op09_toxicity.examples(many, spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int"))) == 50
 
 
 def test_pipeline(spark, tmp_path):
