@@ -1,6 +1,8 @@
 """Personal data, secrets and language."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 
@@ -93,14 +95,14 @@ def test_secrets_against_plain_regex(spark):
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(300)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in op03_secrets.scan(docs).collect():
-        assert [(x["start"], x["kind"], x["end"]) for x in r["base"]] == secret_spans(r["text"]), r["text"]
+        assert [(x["start"], x["kind"], x["end"]) for x in r["base"]] == secret_spans(r["row"]["text"]), r["row"]["text"]
 
 
 def test_random_tokens(spark):
     random_ones = ["ghp_A8dk3Kd93kfLs0dkQ2mZx8Vb1Nq7Rt5Yp", "q7Zp3LkX9vTb2MnR8wYc5HdJ"]
     rows = [(1, f"x {random_ones[0]} /usr/local/lib/python/site-packages internationalizationstandards {random_ones[1]}"), (2, "SomeVeryLongCamelCaseIdentifierName another_snake_case_identifier_name 12345678901234567890123")]
-    found = {r["doc_id"]: r for r in op03_secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [found[1]["text"][x["start"] : x["end"]] for x in found[1]["extra"]] == random_ones
+    found = {r["row"]["doc_id"]: r for r in op03_secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[1]["row"]["text"][x["start"] : x["end"]] for x in found[1]["extra"]] == random_ones
     assert found[2]["extra"] == []
 
 
@@ -110,17 +112,124 @@ def test_random_keys_of_every_alphabet(spark):
     kinds = {"base32": op03_secrets.UPPER + "234567", "lower32": op03_secrets.LOWER + "234567", "upper36": op03_secrets.DIGITS + op03_secrets.UPPER, "lower36": op03_secrets.DIGITS + op03_secrets.LOWER, "base62": op03_secrets.DIGITS + op03_secrets.UPPER + op03_secrets.LOWER, "base64": op03_secrets.DIGITS + op03_secrets.UPPER + op03_secrets.LOWER + "+/"}
     rows = [(f"{kind} {n}", "".join(rng.choice(letters) for _ in range(n))) for kind, letters in kinds.items() for n in (20, 32, 64, 96, 128, 256) for _ in range(100)]
     docs = spark.createDataFrame(rows, "doc_id string, text string")
-    passed = {r["doc_id"]: r["rate"] for r in op03_secrets.scan(docs).selectExpr("doc_id", "double(exists(tokens, t -> t.passes)) AS v").groupBy("doc_id").agg({"v": "avg"}).withColumnRenamed("avg(v)", "rate").collect()}
+    passed = {r["doc_id"]: r["rate"] for r in op03_secrets.scan(docs).selectExpr("row.doc_id", "double(exists(tokens, t -> t.passes)) AS v").groupBy("doc_id").agg({"v": "avg"}).withColumnRenamed("avg(v)", "rate").collect()}
     assert {k: v for k, v in passed.items() if v < 0.95} == {}
     plain = [("plain", f"internationalizationstandards another_snake_case_identifier_name some-page-of-2024-about-words SOME_CONSTANT_NAME_OF_A_LIBRARY {i}") for i in range(200)]
     found = op03_secrets.find(spark.createDataFrame([r for r in rows if len(r[1]) >= 64] + plain, "doc_id string, text string")).collect()
-    missed = [r["doc_id"] for r in found if r["doc_id"] != "plain" and not r["extra"] and not r["base"]]
+    missed = [r["row"]["doc_id"] for r in found if r["row"]["doc_id"] != "plain" and not r["extra"] and not r["base"]]
     assert len(missed) <= 0.02 * len(rows)
-    assert not any(r["extra"] for r in found if r["doc_id"] == "plain")
+    assert not any(r["extra"] for r in found if r["row"]["doc_id"] == "plain")
+
+
+def tail(z):
+    upper = 0.5 * math.exp(-0.717 * abs(z) - 0.416 * z * z)
+    return upper if z >= 0 else 1 - upper
+
+
+def plain_battery(token):
+    """Encoding, stratum, verdict and statistics of a token, or None."""
+    if re.fullmatch("[0-9_-]+", token):
+        return None
+    names = [("hex", "[0-9a-f-]+|[0-9A-F-]+"), ("base32", "[A-Z2-7]+=*"), ("lower32", "[a-z2-7]+=*"), ("upper36", "[A-Z0-9_-]+=*"), ("lower36", "[a-z0-9_-]+=*"), ("base64", ".*[+/].*"), ("base62", ".*")]
+    name = next(n for n, p in names if re.fullmatch(p, token))
+    letters = op03_secrets.ALPHABETS[name]
+    body = re.sub("[-_=]", "", token.lower() if name == "hex" else token)
+    n, a = len(body), len(letters)
+    if n < 8:
+        return None
+    x = [letters.index(c) + 1 for c in body]
+    kind = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s" for c in body]
+    changes = sum(p != q for p, q in zip(kind, kind[1:], strict=False))
+    chi2 = a * sum(v * v for v in collections.Counter(x).values()) / n - n
+    mean = sum(x) / n
+    var, cov = sum((v - mean) ** 2 for v in x), sum((v - mean) * (w - mean) for v, w in zip(x, x[1:], strict=False))
+    shares = [sum(c in some for c in letters) / a for some in (op03_secrets.DIGITS, op03_secrets.LOWER, op03_secrets.UPPER, "+/")]
+    d = 1 - sum(p * p for p in shares)
+    two = sum(p * (1 - p) ** 2 for p in shares)
+    k = 2 / (9 * (a - 1))
+    serial = cov / var if var else 1.0
+    ps = [
+        tail(((chi2 / (a - 1)) ** (1 / 3) - (1 - k)) / k**0.5),
+        2 * tail(abs(changes - (n - 1) * d) / ((n - 1) * d * (1 - d) + 2 * (n - 2) * (two - d * d)) ** 0.5),
+        2 * tail(abs(serial + 1 / n) * n**0.5),
+    ]
+    return {"name": name, "stratum": (name, sum(n >= s for s in (32, 48, 96))), "passes": min(ps) >= 0.001 / 3, "changes": changes, "n": n, "a": a, "excess": (chi2 - (a - 1)) / n, "serial": serial}
+
+
+def plain_random_spans(texts):
+    """Random tokens of every text by the battery and Benjamini-Hochberg, without regard to base spans."""
+    found = [(i, m.start(), m.end(), plain_battery(m[0])) for i, t in enumerate(texts) for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", t)]
+    found = [x for x in found if x[3]]
+    for x in found:
+        b = x[3]
+        same = [y[3] for y in found if y[3]["name"] == b["name"] and not y[3]["passes"]]
+        prior = max(b["a"] * 0.066 - 1, 0.5)
+        n = len(same) + 20
+        rate = min(max((sum(y["changes"] for y in same) + 100) / (sum(y["n"] - 1 for y in same) + 1000), 0.02), 0.3)
+        excess = (sum(y["excess"] for y in same) + 20 * prior) / n
+        excess_var = (sum(y["excess"] ** 2 for y in same) + 25 * prior * prior) / n - excess**2
+        serial = sum(y["serial"] for y in same) / n
+        serial_var = (sum(y["serial"] ** 2 for y in same) + 20 * 0.0625) / n - serial**2
+        share, pairs = b["changes"] / (b["n"] - 1), b["n"] - 1
+        if share <= rate:
+            runs = 1.0
+        else:
+            runs = math.exp(-pairs * (share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0)))
+        uniform = tail((excess - b["excess"]) / (2 * ((b["a"] - 1) / b["n"] + 2 * excess) / b["n"] + excess_var) ** 0.5)
+        correlation = tail((serial - abs(b["serial"])) / (1 / b["n"] + serial_var) ** 0.5)
+        b["p"] = min(1.0, 3 * min(runs, uniform, correlation)) if b["passes"] else 1.0
+    out = []
+    for stratum in {x[3]["stratum"] for x in found}:
+        own = sorted((x for x in found if x[3]["stratum"] == stratum), key=lambda x: x[3]["p"])
+        bins = [math.floor(-math.log10(max(x[3]["p"], 1e-300)) / 0.1 + 1e-9) for x in own]
+        last = max((k + 1 for k, b in enumerate(bins) if 10 ** (-0.1 * min(b, 400)) <= 0.01 * (k + 1) / len(own)), default=0)
+        out += own[:last]
+    return sorted((i, a, b) for i, a, b, _ in out)
+
+
+def test_battery_and_control_against_plain_python(spark):
+    rng = random.Random(17)
+    syllables = "the an in er ion ed to ha re on at en nd st es or ti".split()
+    texts = []
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            kind = rng.random()
+            if kind < 0.25:
+                letters = rng.choice(list(op03_secrets.ALPHABETS.values()))
+                parts.append("".join(rng.choice(letters) for _ in range(rng.randint(20, 110))))
+            elif kind < 0.5:
+                parts.append("".join(rng.choice(syllables) for _ in range(rng.randint(8, 20))))
+            elif kind < 0.75:
+                parts.append(rng.choice("_-/").join(rng.choice(syllables).capitalize() + rng.choice(["", "1", "2024"]) for _ in range(rng.randint(5, 14))))
+            else:
+                parts.append("é short words")
+        texts.append(" ".join(parts))
+    expected = [(i, a, b) for i, a, b in plain_random_spans(texts) if not any(s < b and a < e for s, _, e in secret_spans(texts[i]))]
+    found = op03_secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(expected) > 100
+    assert sorted((r["row"]["doc_id"], x["start"], x["end"]) for r in found for x in r["extra"]) == expected
+
+
+def test_many_secrets_in_one_text(spark):
+    rng = random.Random(3)
+    words = ["%032x" % rng.getrandbits(128) if k % 2 else "".join(rng.choice(op03_secrets.ALPHABETS["base62"]) for _ in range(40)) for k in range(6000)]
+    text = " é".join(words)
+    docs = spark.createDataFrame([(1, text), (2, "x" * 70_000), (3, "0" * 70_000)], "doc_id long, text string")
+    found = {r["row"]["doc_id"]: r for r in op03_secrets.find(docs).collect()}
+    assert [(x["start"], x["kind"], x["end"]) for x in found[1]["base"]] == secret_spans(text)
+    assert all(text[x["start"] : x["end"]] in words for x in found[1]["extra"]) and len(found[1]["extra"]) > 2500
+    gone = sorted((x["start"], x["end"]) for x in [*found[1]["base"], *found[1]["extra"]])
+    expected, at = "", 0
+    for a, b in gone:
+        expected, at = (expected + text[at:a] + "[SECRET]", b) if a >= at else (expected, max(at, b))
+    out = {r["doc_id"]: r["text"] for r in op03_secrets.redact(docs).collect()}
+    assert out == {1: expected + text[at:], 2: "x" * 70_000, 3: "[SECRET]"}
 
 
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é token = 'abcdef0123456789' z", 29, "k"), (2, None, None, "k"), (3, "clean", 5, "k")], "doc_id long, text string, n_chars long, base string")
+    assert sorted((r["row"]["base"], len(r["base"])) for r in op03_secrets.find(docs).collect()) == [("k", 0), ("k", 0), ("k", 2)]
     out = {r["doc_id"]: r for r in op03_secrets.redact(docs).collect()}
     assert out[1]["text"] == "é [SECRET]' z" and out[1]["n_chars"] == 13
     assert out[2]["text"] is None and out[3]["text"] == "clean" and out[1]["base"] == "k"
