@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -31,6 +32,10 @@ def text_of(page):
         ("<main><nav>m</nav><p>x</p></main><p>out</p>", "x"),
         ("text only\n  lines", "text only lines"),
         ("<p>cut <a href='x", "cut"),
+        ("<article><div class='social-science'><p>body text</p></div></article>", "body text"),
+        ("<article><section class='search-theory'>a</section><p id='comment'>b</p><div class='comments'>c</div></article>", "a b"),
+        ("<article><p>teaser</p></article><p>the long text of the page stands outside of it</p>", "teaser the long text of the page stands outside of it"),
+        ("<b><i>x</b></i><p>y</i>z</p></table>w", "x yz w"),
     ],
 )
 def test_reading(page, text):
@@ -50,8 +55,47 @@ def test_templates(spark):
     found = {r["page_id"]: r["text"] for r in op07_pages.main_text(spark.createDataFrame(rows, PAGE)).collect()}
     assert found[1] == "story 1 itself"
     assert found[0] == "page 0 Read our other stories"  # on three pages of its host only
-    quoted = [(i, "http://q.x/", "<article><p>same words</p></article>", None, None) for i in range(20)]
-    assert {r["text"] for r in op07_pages.main_text(spark.createDataFrame(quoted, PAGE)).collect()} == {"same words"}
+    quoted = [(i, "http://q.x/", f"<article><p>same words</p><p>{i}</p></article>", None, None) for i in range(20)]
+    assert {r["text"] for r in op07_pages.main_text(spark.createDataFrame(quoted, PAGE)).collect()} == {f"same words {i}" for i in range(20)}
+    copies = [(i, "http://q.x/", "<div><div>all of it</div></div>", None, None) for i in range(200)]
+    assert {r["text"] for r in op07_pages.main_text(spark.createDataFrame(copies, PAGE)).collect()} == {"all of it"}  # copies count once
+
+
+def test_only_templates_tell_menu_from_text(spark, monkeypatch):
+    """Unlabelled blocks of sites and of their sections, against a plain count of the blocks of each host."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, blocks = [], {}
+    for h, n in enumerate((400, 90, 30, 6)):
+        menus = [f"<div><div>{' '.join(word() for _ in range(6))}</div><ul><li>{word()}<li>{word()}</ul></div>" for _ in range(3)]
+        quotes = [f"<div>{word()} {word()}</div>" for _ in range(6)]
+        for i in range(n):
+            own = [menus[i % 3], f"<div>{h} {i} {word()} {word()}</div>", rng.choice(quotes) if rng.random() < 0.1 else f"<div>{word()} {i}</div>"]
+            rng.shuffle(own)
+            blocks[len(rows)] = own
+            rows.append((len(rows), f"http://h{h}.x/{i}", "<html><body>" + "".join(own) + "</body>", None, None))
+            if rng.random() < 0.2:  # a copy
+                blocks[len(rows)] = own
+                rows.append((len(rows), *rows[-1][1:]))
+    seen = {}
+    for i, url, page, *_ in rows:
+        seen.setdefault(url.split("/")[2], {})[page] = blocks[i]
+    expected = {}
+    for i, url, *_ in rows:
+        pages = seen[url.split("/")[2]].values()
+        often = lambda b, pages=pages: sum(b in p for p in pages) >= max(5, len(pages) ** 0.5)
+        expected[i] = " ".join(" ".join(re.sub("<[^>]*>", " ", b).split()) for b in blocks[i] if not often(b))
+    df = spark.createDataFrame(rows, PAGE)
+    assert {r["page_id"]: r["text"] for r in op07_pages.main_text(df).collect()} == expected
+    monkeypatch.setattr(op07_pages, "BROADCAST_TEMPLATES", 0)
+    assert {r["page_id"]: r["text"] for r in op07_pages.main_text(df).collect()} == expected
+
+
+def test_deep_pages():
+    for page in ("<div>x" * 100_000, "<b>x" * 100_000, "<div>" * 50_000 + "x" + "</div>" * 50_000, "<div><b>" + "</i></p>" * 50_000, "<p><i>" * 50_000):
+        began = time.process_time()
+        op07_pages.read(page)
+        assert time.process_time() - began < 4
 
 
 def test_pages_awkward(spark):
