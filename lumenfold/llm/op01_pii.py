@@ -7,16 +7,19 @@ away is measured on the corpus. With probabilities from document counts,
 
 a term t that is seen near an entity e discloses it when PMI(t; e) >= DISCLOSURE * IC(e): knowing t then yields at
 least that share of the information that e itself holds. Near means within WINDOW words of a mention. A pair counts
-only if at least MIN_CONTEXTS different wordings show it, so copies of one text prove nothing. Spans of disclosing
-terms are added next to mentions of the entity they disclose; `sanitise` replaces base spans by their kind, and
-disclosing terms by a class (a number, a name) or, if they have none, removes them.
+only if at least MIN_CONTEXTS different wordings show it, so copies of one text prove nothing. A term that discloses an
+entity is marked wherever it stands, in documents that do not name the entity too, since there it discloses what base
+patterns do not catch. `sanitise` replaces base spans by their kind, and disclosing terms by a class (a number, a name)
+or, if they have none, removes them.
 
 Passes over the texts: one finds entities and the terms near them; one counts n(t) over all documents, for terms that
-a bitmap of bounded size admits. Pairs grow with mentions, not with their square. Counts are combined
-before they are shuffled, and hot pairs meet only in equi-joins of written tables, which adaptive execution splits.
+a bitmap of bounded size admits; one marks the disclosing terms, if there are any, admitted by a bitmap and then joined
+exactly. Pairs grow with mentions, not with their square. Counts are combined before they are shuffled, and hot pairs
+meet only in equi-joins of written tables, which adaptive execution splits.
 
-Defined results: null text counts as empty; equal rows give equal results; empty tables give empty results; extra
-columns are ignored by `disclosures` and pass through `sanitise`.
+Defined results: null text counts as empty; a document's spans depend on its text alone, so rows of null or repeated
+doc_id are rows like others, and equal rows give equal results; empty tables give empty results; extra columns are
+ignored by `spans` and pass through `sanitise`, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,6 +54,8 @@ MIN_CONTEXTS = 2
 MIN_LETTERS = 3
 #: Terms that a task counts before it hands its counts on.
 HELD_TERMS = 200_000
+#: Marked texts are broadcast to `sanitise` while they hold no more spans than this; beyond it texts are shuffled.
+BROADCAST_SPANS = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -121,11 +126,15 @@ def _words_around(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tupl
         yield entity(kind, text[start:end]), _key(" ".join(t for _, _, t in terms)), terms
 
 
+def text_key(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+
+
 def spans_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-FOUND = "doc_id {id}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, entities array<long>, near array<struct<e:long,t:long,w:long,start:int,end:int>>"
+FOUND = "doc_id {id}, text_key binary, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, entities array<long>, near array<struct<e:long,t:long,w:long,start:int,end:int>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -133,9 +142,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "near")}
+            rows: dict[str, list] = {k: [] for k in ("text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "near")}
             for value in batch.column(1):
                 text = value.as_py() or ""
+                rows["text_key"].append(text_key(text))
                 spans = base_spans(text)
                 counts = Counter(k for _, k, _ in spans)
                 for k, kind in enumerate(KINDS):
@@ -148,7 +158,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     near += [{"e": e, "t": _key(t), "w": w, "start": a, "end": b} for a, b, t in terms]
                 rows["entities"].append(sorted(seen))
                 rows["near"].append(near)
-            types = {"base": pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])), "entities": pa.list_(pa.int64()), "near": pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("w", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])), "base_sha256": pa.string()}
+            types = {"base": pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])), "entities": pa.list_(pa.int64()), "near": pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("w", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])), "base_sha256": pa.string(), "text_key": pa.binary()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, types.get(k, pa.int64())) for k, v in rows.items())], names=["doc_id", *rows])
 
     return docs.select("doc_id", "text").mapInArrow(run, FOUND.format(id=docs.schema["doc_id"].dataType.simpleString()))
@@ -183,49 +193,78 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The scanned documents (with `row`), and (e, t, pmi, ic) of every term that discloses an entity."""
-    found = materialise(scan(docs).withColumn("row", F.monotonically_increasing_id()))
+    """The scanned documents, and (e, t, n_et, n_e, n_t, pmi, ic) of every term that discloses an entity."""
+    found = materialise(scan(docs))
     total = found.count()
     pair = F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"), x["w"].alias("w"))))).alias("p")
-    pairs = found.select("row", pair).select("row", "p.*")
     # rows of one (e, t, w) are documents that show the pair in this wording
-    wordings = pairs.groupBy("e", "t", "w").agg(F.count("*").alias("n"))
+    wordings = found.select(pair).select("p.*").groupBy("e", "t", "w").agg(F.count("*").alias("n"))
     candidates = materialise(wordings.groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.count("*").alias("wordings")).where(F.col("wordings") >= MIN_CONTEXTS))
     n_e = materialise(found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")))
     n_t = materialise(document_counts(docs, candidates.select("t").distinct()))
-    scored = candidates.join(n_e, "e").join(n_t, "t")
-    n_et = F.least("n_et", "n_t", "n_e")  # a document may show a pair in two wordings
-    scored = scored.withColumn("pmi", F.log(F.lit(float(total)) * n_et / (F.col("n_t") * F.col("n_e")))).withColumn("ic", F.log(F.lit(float(total)) / F.col("n_e")))
-    return found, materialise(scored.where(F.col("pmi") >= DISCLOSURE * F.col("ic")).where("ic > 0").select("e", "t", "pmi", "ic"))
+    scored = candidates.join(n_e, "e").join(n_t, "t").withColumn("n_et", F.least("n_et", "n_t", "n_e"))  # a document may show a pair in two wordings
+    scored = scored.withColumn("pmi", F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_t") * F.col("n_e")))).withColumn("ic", F.log(F.lit(float(total)) / F.col("n_e")))
+    return found, materialise(scored.where(F.col("pmi") >= DISCLOSURE * F.col("ic")).where("ic > 0").drop("wordings"))
+
+
+def marked(docs: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """(text_key, terms): where disclosing terms stand in each text that holds some, outside of base spans."""
+    terms = materialise(disclosing.select("t").distinct())
+    none = docs.sparkSession.createDataFrame([], "text_key binary, terms array<struct<start:int,end:int>>")
+    if terms.isEmpty():
+        return none
+    held = docs.sparkSession.sparkContext.broadcast(bitmap_of(terms, "t"))
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for value in batch.column(0):
+                text = value.as_py() or ""
+                words = [w for w in set(WORD.findall(text.lower())) if len(w) >= MIN_LETTERS]
+                hashes = np.fromiter((digest(w.encode()) for w in words), np.uint64, len(words))
+                admitted = held.value.admits(hashes) if words else np.zeros(0, bool)
+                if admitted.any():
+                    wanted = {w for w, hit in zip(words, admitted.tolist(), strict=True) if hit}
+                    base, k, reach = base_spans(text), 0, 0
+                    for m in WORD.finditer(text):
+                        if m[0].lower() in wanted:
+                            while k < len(base) and base[k][0] < m.end():
+                                reach, k = max(reach, base[k][2]), k + 1
+                            if reach <= m.start():
+                                for column, v in zip(out, (text_key(text), _key(m[0].lower()), m.start(), m.end()), strict=True):
+                                    column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["text_key", "t", "start", "end"])
+
+    places = docs.select("text").mapInArrow(run, "text_key binary, t long, start int, end int").distinct()
+    return materialise(materialise(places).join(terms, "t").groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms")))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, base counts and digest, `base`, and `terms`: array<struct<start,end>> of disclosing terms."""
     found, disclosing = disclosures(docs)
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.e", "x.t", "x.start", "x.end")
-    hit = near.join(disclosing.select("e", "t"), ["e", "t"]).select("row", F.struct("start", "end").alias("span"))
-    terms = materialise(hit.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("terms")))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return found.drop("near", "entities").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", none)).drop("row")
+    return found.drop("near", "entities").join(marked(docs, disclosing), "text_key", "left").withColumn("terms", F.coalesce("terms", none)).drop("text_key")
 
 
-def sanitise(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """`docs` with `text` sanitised: base spans become `[KIND]`, disclosing terms `[NUMBER]` or `[NAME]` or nothing.
-    Needs distinct doc_ids."""
-    found = spans(docs) if found is None else found
-    wide = docs.join(found.select("doc_id", "base", "terms"), "doc_id")
-    names = docs.columns
-    place = names.index("text")
+def sanitise(docs: DataFrame) -> DataFrame:
+    """`docs` with `text` sanitised: base spans become `[KIND]`, disclosing terms `[NUMBER]` or `[NAME]` or nothing."""
+    places = marked(docs, disclosures(docs)[1])
+    if (places.agg(F.sum(F.size("terms"))).first()[0] or 0) <= BROADCAST_SPANS:
+        places = F.broadcast(places)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"))
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = batch.to_pylist()
+            columns = batch.column(0).flatten()
             out = []
-            for row in table:
-                text = row["text"]
+            for value, terms in zip(columns[place], batch.column(1), strict=True):
+                text = value.as_py()
                 if text is not None:
-                    cuts = [(x["start"], x["end"], f"[{KINDS[x['kind']].upper()}]") for x in row["base"]]
-                    for x in row["terms"]:
+                    cuts = [(a, b, f"[{KINDS[k].upper()}]") for a, k, b in base_spans(text)]
+                    for x in terms.as_py() or ():
                         word = text[x["start"] : x["end"]]
                         cuts.append((x["start"], x["end"], "[NUMBER]" if any(c.isdigit() for c in word) else "[NAME]" if word[:1].isupper() else ""))
                     parts, at = [], 0
@@ -235,11 +274,11 @@ def sanitise(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
                             at = b
                     text = "".join([*parts, text[at:]])
                 out.append(text)
-            arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            arrays[place] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            columns[place] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
 
-    return wide.select(*names, "base", "terms").mapInArrow(run, docs.schema)
+    docs_names = docs.columns
+    return packed.join(places, "text_key", "left").select("row", "terms").mapInArrow(run, docs.schema)
 
 
 def op1_pii(spark, sf_dir):

@@ -52,14 +52,71 @@ def test_pii_query(spark):
         assert found[i]["n_email"] == sum(k == 0 for _, k, _ in spans)
 
 
-def test_disclosing_terms(spark):
-    rows = [(i, f"Please {'abcdefgh'[i]}{'abcdefgh'[i]}x write to Brandon Quimby at bq@corp.com about it") for i in range(6)]
-    rows += [(100 + i, f"The other text please write about {'abcdefgh'[i % 8]}y today") for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    cleaned = {r["doc_id"]: r["text"] for r in op01_pii.sanitise(docs).collect()}
-    assert cleaned[0].startswith("Please aax write") and "[EMAIL]" in cleaned[0]
-    assert "Quimby" not in cleaned[0] and "Brandon" not in cleaned[0]
-    assert cleaned[100] == rows[6][1]
+def plain_disclosing(rows):
+    """(term, entity) pairs by plain counts of documents."""
+    entities, pairs, wordings, spoken = collections.Counter(), collections.Counter(), collections.defaultdict(set), collections.Counter()
+    for text in rows:
+        spans = plain_spans(text)
+        words = [(m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+        spoken.update({text[a:b].lower() for a, b in words})
+        named, seen = set(), set()
+        for a, k, b in spans:
+            e = (k, text[a:b].lower() if k < 2 else re.sub("[^0-9]", "", text[a:b]))
+            near = [w for w in words if w[1] <= a][-8:] + [w for w in words if w[0] >= b][:8]
+            terms = [text[x:y].lower() for x, y in near if y - x >= 3 and not any(x < q and p < y for p, _, q in spans)]
+            named.add(e)
+            seen |= {(e, t, " ".join(terms)) for t in terms}
+        entities.update(named)
+        for e, t, w in seen:
+            pairs[e, t] += 1
+            wordings[e, t].add(w)
+    n, out = len(rows), set()
+    for (e, t), k in pairs.items():
+        together = min(k, spoken[t], entities[e])
+        ic = math.log(n / entities[e])
+        if len(wordings[e, t]) >= 2 and ic > 0 and math.log(n * together / (spoken[t] * entities[e])) >= 0.8 * ic - 1e-12:
+            out.add((t, e))
+    return out
+
+
+def test_disclosure_against_plain_counts(spark):
+    rng = random.Random(6)
+    people = [("Brandon Quimby", "bq@corp.com"), ("Zelda Orvik", "+49 30 1234567"), ("unit77 gateway", "10.20.30.40")]
+    filler = [f"w{k}ord" for k in range(40)] + ["the", "and", "write", "about"]
+    texts = []
+    for _ in range(400):
+        words = [rng.choice(filler) for _ in range(rng.randint(0, 30))]
+        who = rng.choice(people)
+        if rng.random() < 0.1:
+            words.insert(rng.randint(0, len(words)), rng.choice(["{0} at {1} x", "{1} is of {0}", "{0} only", "mail {1} now {0}"]).format(*who))
+        texts.append(" ".join(words))
+    expected = plain_disclosing(texts)
+    names = {t for t, _ in expected}
+    assert {"quimby", "orvik", "gateway"} <= names and "the" not in names
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, found = op01_pii.disclosures(docs)
+    assert {(r["t"], r["e"]) for r in found.collect()} == {(op01_pii._key(t), op01_pii._key(f"{PII[k][0]}:{v}")) for t, (k, v) in expected}
+    for r in op01_pii.spans(docs).collect():  # every occurrence, also in texts that do not name the entity
+        text = texts[r["doc_id"]]
+        base = plain_spans(text)
+        marks = [(m.start(), m.end()) for m in re.finditer(r"\w+", text) if m[0].lower() in names and not any(m.start() < q and p < m.end() for p, _, q in base)]
+        assert [(x["start"], x["end"]) for x in r["terms"]] == marks
+
+
+def test_disclosing_terms(spark, monkeypatch):
+    rows = [(i, f"Please {'abcdefgh'[i]}{'abcdefgh'[i]}x write to Brandon Quimby at bq@corp.com about it", "b", "t") for i in range(6)]
+    rows += [(100 + i, f"The other text please write about {'abcdefgh'[i % 8]}y today", "b", "t") for i in range(60)]
+    rows += [(None, "Said Quimby", None, None), (None, "Said Quimby", None, None), (7, "Quimby here", "b", "t"), (7, None, "b", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string, terms string")
+    cleaned = op01_pii.sanitise(docs).collect()
+    assert len(cleaned) == len(rows) and cleaned[0].__fields__ == docs.columns
+    first = {r["doc_id"]: r["text"] for r in cleaned}
+    assert first[0].startswith("Please aax write") and "[EMAIL]" in first[0]
+    assert "Quimby" not in first[0] and "Brandon" not in first[0]
+    assert first[100] == rows[6][1]
+    assert sorted((r["text"] or "-", r["base"] or "-") for r in cleaned if r["doc_id"] in (None, 7)) == [("-", "b"), ("Said [NAME]", "-"), ("Said [NAME]", "-"), ("[NAME] here", "b")]
+    monkeypatch.setattr(op01_pii, "BROADCAST_SPANS", -1)
+    assert sorted(map(str, op01_pii.sanitise(docs).collect())) == sorted(map(str, cleaned))
     alone = spark.createDataFrame([(1, "Brandon Quimby at bq@corp.com")] * 3, "doc_id long, text string")  # one wording proves nothing
     assert [r["terms"] for r in op01_pii.spans(alone).collect()] == [[], [], []]
 
@@ -69,6 +126,8 @@ def test_pii_awkward(spark):
     assert len(found) == 8
     assert all(r["base"] == [] and r["terms"] == [] for r in found)
     assert op01_pii.spans(nothing(spark)).count() == 0
+    assert op01_pii.sanitise(awkward(spark)).exceptAll(awkward(spark)).count() == 0
+    assert op01_pii.sanitise(nothing(spark)).count() == 0
 
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
