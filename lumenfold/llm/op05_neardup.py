@@ -11,8 +11,8 @@ the data.
 A leaf is a shard. A fingerprint has one home leaf in each tree and also visits the leaves that its ball overlaps,
 of those only the later ones, since a pair needs to meet once. Inside a shard the tree goes on to prune until blocks
 are small, and what remains is compared on all 64 bits. Each shard reports a spanning forest of its links, never all
-pairs, and connected components join the forests. A shard whose home x visitors work exceeds a bound is dealt out:
-its visitors are split by hash and its home rows copied to each part.
+pairs, and connected components join the forests. A shard whose home x visitors work exceeds a bound is dealt out as a
+grid: home rows and visitors are split by hash, and each piece of the ones meets each piece of the others in a task.
 
 `keep_one` drops near copies by similarity (weighted, five-word shingles, 0.8 or more), where 64 bits and radius 4
 would miss most: at similarity 0.8 each bit of a fingerprint differs with probability 0.15. It takes fingerprints of
@@ -275,11 +275,19 @@ def links(fps: DataFrame, limit: int = RADIUS, words: int = 1, similar: float =
 
     placed = carried.mapInArrow(place, f"shard int, own boolean, {kinds}")
     counted = placed.groupBy("shard").agg(F.count_if("own").alias("own"), F.count("*").alias("all"))
-    heavy = {r["shard"]: math.ceil(r["own"] * r["all"] / SHARD_WORK) for r in counted.where(F.col("own") * F.col("all") > SHARD_WORK).collect()}  # at most one entry a shard
-    parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv]), F.col("shard")), F.lit(1)) if heavy else F.lit(1)
-    mine = F.pmod(F.xxhash64(name), parts).cast("int")
-    dealt = placed.withColumn("mine", mine).withColumn("part", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("mine"))))
-    dealt = dealt.select("shard", "part", "own", (F.col("mine") == F.col("part")).alias("visits"), *carried.columns)
+    cells = F.ceil(F.col("own") * F.col("all") / F.lit(float(SHARD_WORK)))
+    rows = F.ceil(F.sqrt(cells * F.col("own") / F.col("all")))
+    # a row for each shard that is dealt out, of which there are at most blocks x leaves
+    heavy = materialise(counted.where(F.col("own") * F.col("all") > SHARD_WORK).select("shard", rows.cast("int").alias("rows"), F.ceil(cells / rows).cast("int").alias("columns")))
+    split_up = placed.join(F.broadcast(heavy), "shard", "left")
+    mine = lambda parts, seed: F.pmod(F.xxhash64(name, F.lit(seed)), F.coalesce(parts, F.lit(1))).cast("int")
+    places = split_up.withColumn("row", mine(F.col("rows"), 1)).withColumn("column", mine(F.col("columns"), 2))
+    every = lambda parts: F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)
+    cell = lambda row, column: F.struct(row.alias("row"), column.alias("column"))
+    as_home = F.when(F.col("own"), F.transform(every(F.col("columns")), lambda c: cell(F.col("row"), c)))
+    as_visitor = F.transform(every(F.col("rows")), lambda r: cell(r, F.col("column")))
+    dealt = places.withColumn("cell", F.explode(F.array_union(F.coalesce(as_home, F.array().cast("array<struct<row:int,column:int>>")), as_visitor)))
+    dealt = dealt.select("shard", F.col("cell.row").alias("at_row"), F.col("cell.column").alias("at_column"), (F.col("own") & (F.col("cell.row") == F.col("row"))).alias("own"), (F.col("cell.column") == F.col("column")).alias("visits"), *carried.columns)
 
     def search(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches))
@@ -290,7 +298,7 @@ def links(fps: DataFrame, limit: int = RADIUS, words: int = 1, similar: float =
         a, b, d = shard_links(data, own, visits, key[0].as_py() // width, limit, radius, sizes, similar)
         yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(d.astype(np.int32))], names=["src", "dst", "bits"])
 
-    found = dealt.groupBy("shard", "part").applyInArrow(search, f"src {kind}, dst {kind}, bits int")
+    found = dealt.groupBy("shard", "at_row", "at_column").applyInArrow(search, f"src {kind}, dst {kind}, bits int")
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "bits").where("src <> dst").distinct()
 
 
