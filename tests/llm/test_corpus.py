@@ -1,6 +1,8 @@
 """Mixing, near copies, decontamination, toxicity, and the pipeline."""
 
 import collections
+import hashlib
+import heapq
 import math
 import random
 import re
@@ -53,11 +55,58 @@ def test_mixing(spark):
     assert [r["virtual_finish"] for r in order] == sorted(r["virtual_finish"] for r in order)
 
 
+def served_in_turn(sizes, queues, quota, budget):
+    """Words of each row, served one by one: always the word that finishes first."""
+    taken = [0] * len(sizes)
+    heap = []
+    for k, (name, order) in enumerate(queues.items()):
+        words = [i for _ in range(2) for i in order for _ in range(sizes[i])]
+        if words:
+            heapq.heappush(heap, (1 / quota[name], k, 0, words, quota[name]))
+    for _ in range(budget):
+        _, k, at, words, target = heapq.heappop(heap)
+        taken[words[at]] += 1
+        if at + 1 < len(words):
+            heapq.heappush(heap, ((at + 2) / target, k, at + 1, words, target))
+    return taken
+
+
+@pytest.mark.parametrize(("part", "crowd"), [(1.0, 200_000), (1.0, 5), (0.37, 200_000)])
+def test_mixing_against_a_queue_served_in_turn(spark, monkeypatch, part, crowd):
+    monkeypatch.setattr(op04_mixing, "RANGE_ROWS", crowd)
+    monkeypatch.setattr(op04_mixing, "RANGE_DIGITS", 1)
+    rng = random.Random(12)
+    rows = [(i if i % 3 else 7, "w " * rng.randint(0, 30), rng.choice(["a", "b", "c", "d", None])) for i in range(300)]
+    sizes = [len(t.split()) for _, t, _ in rows]
+    order = sorted(range(300), key=lambda i: (hashlib.md5(str(rows[i][0]).encode()).hexdigest(), sizes[i]))
+    names = ["a", "b", "c", "d", None]
+    queues = {n: [i for i in order if rows[i][2] == n] for n in names}
+    quota = dict(zip(names, op04_mixing.targets([sum(sizes[i] for i in queues[n]) for n in names]), strict=True))
+    budget = sum(math.floor(part * q + 1e-6) for q in quota.values())
+    taken = served_in_turn(sizes, queues, quota, budget)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = op04_mixing.fair_queue(docs, budget=None if part == 1.0 else round(part * sum(quota.values()))).collect()
+    got = collections.Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in found)
+    expected = collections.Counter((rows[i][0], rows[i][2], sizes[i], taken[i]) for i in range(300))
+    if part == 1.0:
+        assert got == expected
+    else:  # the budget is met but for less than a word of each source
+        assert abs(sum(r["taken"] for r in found) - budget) <= len(names)
+        assert sum((got - expected).values()) <= len(names)
+    if part == 1.0 and crowd > 5:
+        mixed = op04_mixing.mix(docs).collect()
+        assert collections.Counter((r["doc_id"], r["source"], r["text"], r["taken"]) for r in mixed) == collections.Counter((rows[i][0], rows[i][2], rows[i][1], taken[i]) for i in range(300) if taken[i])
+        assert [r["virtual_finish"] for r in mixed] == sorted(r["virtual_finish"] for r in mixed)
+
+
 def test_mixing_awkward(spark):
     found = op04_mixing.fair_queue(awkward(spark)).collect()
     assert len(found) == 8
     assert all(r["taken"] == 0 for r in found if r["size"] == 0)
     assert op04_mixing.fair_queue(nothing(spark)).count() == 0
+    mixed = op04_mixing.mix(awkward(spark)).collect()
+    assert {r["doc_id"] for r in mixed} == {1, 4} and all(r["_id"] == "y" and r["base"] == "z" and r["taken"] <= 2 * r["size"] for r in mixed)
+    assert op04_mixing.mix(nothing(spark)).count() == 0
 
 
 def plain_fingerprint(text):
