@@ -445,4 +445,18 @@ def test_pipeline(spark, tmp_path):
     assert set(after.doc_id) <= set(before.doc_id)
     for stage in list(plain)[:-1]:
         assert list(plain[stage][1].columns) == list(plain["toxicity"][0].columns)
-    assert corpus_pipeline.run(spark, FOLDER).select("doc_id", "taken").exceptAll(docs.select("doc_id", "taken")).count() == 0
+    assert set(docs.columns) == {*plain["toxicity"][0].columns, "size", "source_size", "target", "taken", "virtual_finish"}
+    whole = corpus_pipeline.run(spark, FOLDER)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_pipeline_awkward(spark, tmp_path):
+    """Null, empty, repeated and clashing rows, and an empty table, through all stages."""
+    for name, docs in (("awkward", awkward(spark)), ("nothing", nothing(spark))):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "a text of nobody at all"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert [(r["doc_id"], r["_id"], r["base"]) for r in out if r["doc_id"] == 1] == ([(1, "y", "z")] if name == "awkward" else [])
+        assert {r["doc_id"] for r in out} == ({1, 4} if name == "awkward" else set())
