@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +15,8 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where no setting exists (local runs, tests)."""
+    """The folder named by spark.checkpoint.dir. Where nothing is set a temporary one in local runs; elsewhere executors would
+    each write to a disk of their own, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
@@ -21,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -45,6 +50,18 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+@contextlib.contextmanager
+def passing_tables() -> Iterator[None]:
+    """Tables that are materialised inside go when it ends, so what is computed from them must have been written by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written[before:]:
+            drop_table(spark, path)
+        del _written[before:]
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
