@@ -6,6 +6,7 @@ import heapq
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -279,6 +280,8 @@ def plain_matches(text, items):
         if not words or not target:
             continue
         n = min(len(target), len(words))
+        if len(words) < len(target) and len(words) < 5:
+            continue
         grams = op06_decontamination.shingles(target)
         if max(op06_decontamination.similarity(op06_decontamination.shingles(words[i : i + n]), grams) for i in range(len(words) - n + 1)) >= 0.8:
             out.add(key)
@@ -294,15 +297,66 @@ def test_decontamination_against_brute_force(spark):
         for _ in range(rng.randint(0, 3)):
             words[rng.randrange(len(words))] = f"other{rng.randrange(999)}"
         texts.append(" ".join([f"p{rng.randrange(999)}" for _ in range(rng.randint(0, 30))] + words + [f"q{rng.randrange(999)}" for _ in range(rng.randint(0, 30))]))
+    short = [(500, "alpha beta"), (501, "gamma"), (502, "one two three four"), (None, "delta eps")]
+    texts += ["x alpha beta y z w v", "alpha gamma beta", "a b c d one two three four e f", "one two three", "the delta eps of it"]
     docs = spark.createDataFrame([*enumerate(texts), (900, None), (901, ""), (902, "one two")], "doc_id long, text string")
-    benchmark = spark.createDataFrame([*items, (None, "x"), (77, None), (78, "")], "item_id long, text string")
+    items += short
+    benchmark = spark.createDataFrame([*items, (77, None), (78, "")], "item_id long, text string")
     got = collections.defaultdict(set)
     for r in op06_decontamination.contaminated(docs, benchmark).collect():
         got[r["doc_id"]].add(r["item_id"])
     for i, t in enumerate(texts):
         assert got[i] == plain_matches(t, items)
     clean = {r["doc_id"] for r in op06_decontamination.clean(docs, benchmark).collect()}
-    assert clean == {i for i in [*range(120), 900, 901, 902] if not got[i]}
+    assert clean == {i for i in [*range(len(texts)), 900, 901, 902] if not got[i]}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(op06_decontamination, "ITEM_BLOCK", 9)
+        assert {r["doc_id"] for r in op06_decontamination.clean(docs, benchmark).collect()} == clean
+
+
+def test_windows_about_the_bound():
+    """Recall and selectivity of fingerprints and blocks, for items that are changed to just above 0.8 in several ways."""
+    rng = random.Random(20)
+    word = lambda: f"w{rng.randrange(4000)}"
+    items = [(k, " ".join(word() for _ in range(rng.choice([24, 40, 41, 120])))) for k in range(300)]
+    held = op06_decontamination.prepare(items)
+    caught = total = 0
+    for key, item in items:
+        words = item.split()
+        for _ in range(4):
+            new = list(words)
+            while True:
+                tried, at = list(new), rng.randrange(len(new))
+                tried[at : at + 1] = rng.choice([[word()], [word()], [new[at], word()], []])
+                text = " ".join([word() for _ in range(20)] + tried + [word() for _ in range(20)])
+                if key not in plain_matches(text, [(key, item)]):
+                    break
+                new, kept = tried, text
+                if len(new) > 2 * len(words):
+                    break
+            if new != words:
+                total += 1
+                caught += key in {m[0] for m in op06_decontamination.matches(kept, held)}
+    assert total > 400
+    assert caught >= 0.99 * total
+    listed = pairs = 0
+    for group in held.by_length.values():
+        other = np.random.default_rng(1).integers(0, 256, (200, op06_decontamination.BLOCKS), np.uint8)
+        listed += len(group.listed(other)[0])
+        pairs += 200 * len(group.keys)
+    assert listed < 0.005 * pairs
+
+
+def test_long_document_of_many_items():
+    rng = random.Random(2)
+    items = [(k, " ".join(f"w{rng.randrange(9000)}" for _ in range(50))) for k in range(2000)]
+    held = op06_decontamination.prepare(items)
+    text = " ".join(items[k][1] for k in range(400))
+    tracemalloc.start()
+    found = {m[0] for m in op06_decontamination.matches(text, held)}
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    assert found == set(range(400))
 
 
 def test_items_in_blocks(spark, monkeypatch):
