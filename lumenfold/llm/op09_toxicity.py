@@ -1,11 +1,11 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are all words of the labelled examples, a bounded sample of the labelled rows of both classes (SAMPLE_ROWS rows,
-in the order of a hash of their id). A document's vector holds every known term, weighted
+Terms are all words of a bounded sample of the labelled rows of both classes (SAMPLE_ROWS rows, in the order of a hash of
+their id), of which EXAMPLES, again by hash, are the examples of the index. A document's vector holds every known term, weighted
 
     (1 + ln tf) * idf * (max(0, G - 2 ln(terms)) + SMOOTH)
 
-with idf from counts over all documents and G the two-sided log-likelihood ratio of term and class in the examples,
+with idf from counts over all documents and G the two-sided log-likelihood ratio of term and class in the sample,
 beyond what chance gives among so many terms: a term that both classes use alike weighs little, one that marks either
 class weighs much. Without G the nearest examples share topic and language, not toxicity.
 
@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,16 +42,18 @@ from lumenfold.llm.sampling import hashed_sample
 from lumenfold.storage import materialise
 
 SAMPLE_ROWS = 4096
+#: Of these rows, so many stand in the index; the others only help to weigh terms.
+EXAMPLES = 2048
 SMOOTH = 0.01
 NEAREST = 25
 SOFTEN = 0.05
-BLOCK = 64
+BLOCK = 32
+#: Blocks that are visited first, before others are ruled out.
+FIRST_BLOCKS = 8
 #: A list is long that holds more than 1 / LONG of the examples.
-LONG = 16
+LONG = 4
 #: Texts whose results a worker remembers.
 REMEMBERED = 50_000
-#: Terms that a task counts before it hands its counts on.
-HELD_TERMS = 200_000
 WORD = re.compile(r"\w+")
 
 
@@ -58,56 +61,70 @@ def terms_of(text: str | None) -> Counter[str]:
     return Counter(WORD.findall((text or "").lower()))
 
 
+def known_terms(text: str | None, vocabulary: dict[str, int]) -> list[tuple[int, int]]:
+    """(term, times) of the known terms of a text, in order."""
+    find = vocabulary.get
+    return sorted((t, n) for t, n in ((find(w), n) for w, n in terms_of(text).items()) if t is not None)
+
+
 class Index:
-    """Examples by their vectors, in blocks of BLOCK; those with the same heaviest terms stand together.
+    """Examples by their vectors, in blocks of BLOCK; those with the same heaviest frequent terms stand together.
 
     A term's posting list is short (kept as places and weights) or long, of more than 1 / LONG of the examples (kept by
     block, with the block's largest weight)."""
 
     def __init__(self, ids: list, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], size: int) -> None:
         self.count, self.blocks = len(ids), -(-len(ids) // BLOCK)
-        order = sorted(range(len(ids)), key=lambda i: (tuple(vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:3]].tolist()), i))
+        length = np.bincount(np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64), minlength=size)
+        long = length > self.count / LONG
+
+        def profile(i: int) -> tuple:
+            terms, weights = vectors[i]
+            some = long[terms]
+            return (*terms[some][np.argsort(-weights[some], kind="stable")[:3]].tolist(), -1, i)
+
+        order = sorted(range(len(ids)), key=profile)
         self.ids, self.labels, self.vectors = [ids[i] for i in order], np.asarray(labels, float)[order], [vectors[i] for i in order]
         place = np.repeat(np.arange(self.count), [len(t) for t, _ in self.vectors])
         terms, weights = (np.concatenate([v[k] for v in self.vectors]) if self.count else np.zeros(0, kind) for k, kind in enumerate((np.int64, float)))
-        length = np.bincount(terms, minlength=size)
-        long = length > self.count / LONG
         self.row = np.where(long, np.cumsum(long) - 1, -1)
-        self.long = np.zeros((self.blocks, BLOCK, int(long.sum())))
+        self.long = np.zeros((int(long.sum()), self.blocks, BLOCK))
         some = long[terms]
-        self.long[place[some] // BLOCK, place[some] % BLOCK, self.row[terms[some]]] = weights[some]
-        self.most = self.long.max(1) if self.blocks else np.zeros((0, self.long.shape[2]))
+        self.long[self.row[terms[some]], place[some] // BLOCK, place[some] % BLOCK] = weights[some]
+        self.most = self.long.max(2, initial=0.0)
         by = np.nonzero(~some)[0][np.argsort(terms[~some], kind="stable")]
-        self.place, self.weight = place[by], weights[by]
+        self.place, self.weight = place[by].astype(np.intp), weights[by]
         self.post = np.concatenate([[0], np.cumsum(np.where(long, 0, length))])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, ties to the earlier one; only those that share a term."""
-        places, scores, least, width = np.zeros(0, np.int64), np.zeros(0), 0.0, 4
         if not len(terms) or not self.count:
-            return places, scores
+            return np.zeros(0, np.int64), np.zeros(0)
         low, times = self.post[terms], self.post[terms + 1] - self.post[terms]
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        sums = np.bincount(self.place[at], np.repeat(weights, times) * self.weight[at], self.blocks * BLOCK).reshape(-1, BLOCK)
-        query, row = np.zeros(self.long.shape[2]), self.row[terms]
-        query[row[row >= 0]] = weights[row >= 0]
-        bound = sums.max(1) + self.most @ query
-        left = np.argsort(-bound, kind="stable")
-        left = left[bound[left] > 0]
-        while len(left):
+        at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+        sums = np.bincount(self.place[at], np.repeat(weights, times) * self.weight[at], self.blocks * BLOCK).astype(float).reshape(-1, BLOCK)
+        spread = self.row[terms] >= 0
+        rows, shares = self.row[terms[spread]], weights[spread]
+        bound = sums.max(1) + shares @ self.most[rows]
+        left = np.nonzero(bound > 0)[0]
+        left = left[np.argsort(-bound[left], kind="stable")]
+        places, scores, least, width = np.zeros(0, np.int64), np.zeros(0), 0.0, FIRST_BLOCKS
+        while len(left):  # the blocks of the highest bounds, then those whose bounds still reach the k-th similarity
             chosen = left[:width]
-            found = np.round(sums[chosen] + self.long[chosen] @ query, 9)
-            own = chosen[:, None] * BLOCK + np.arange(BLOCK)
-            hit = (found > 0) & (found >= least) & (own != without)
+            found = sums[chosen]
+            for row, w in zip(rows.tolist(), shares.tolist(), strict=True):
+                found += w * self.long[row][chosen]
+            found = np.round(found, 9).ravel()
+            own = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hit = np.nonzero((found > 0) & (found >= least) & (own != without))[0]
             places, scores = np.concatenate([places, own[hit]]), np.concatenate([scores, found[hit]])
             if len(scores) > k:
-                best = np.lexsort((places, -scores))[:k]
-                places, scores = places[best], scores[best]
-            if len(scores) == k:
-                least = scores.min()
-            left, width = left[width:], 2 * width
+                least = np.partition(scores, -k)[-k]
+                some = scores >= least
+                places, scores = places[some], scores[some]
+            left, width = left[width:], len(left)
             left = left[bound[left] >= least - 1e-8]
-        best = np.lexsort((places, -scores))
+        best = np.lexsort((places, -scores))[:k]
         return places[best], scores[best]
 
 
@@ -120,11 +137,12 @@ class Model:
     base: float
     knots: tuple[np.ndarray, np.ndarray]
 
-    def vector(self, counts: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Known terms in order, and their weights, of norm 1."""
-        vocabulary = self.vocabulary
-        held = sorted((vocabulary[t], n) for t, n in counts.items() if t in vocabulary)
-        terms, times = np.array([t for t, _ in held], np.int64), np.array([n for _, n in held], float)
+        held = np.array(known_terms(text, self.vocabulary), np.int64).reshape(-1, 2)
+        return self.weigh(held[:, 0], held[:, 1])
+
+    def weigh(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = (1 + np.log(times)) * self.weight[terms]
         norm = math.sqrt(float(raw @ raw))
         return (terms, raw / norm) if norm else (terms[:0], raw[:0])
@@ -135,7 +153,7 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, float, str]:
         """Score, vote and evidence."""
-        terms, weights = self.vector(terms_of(text))
+        terms, weights = self.vector(text)
         places, cosines = self.index.nearest(terms, weights)
         if not len(places):
             return self.base, self.base, ""
@@ -190,28 +208,23 @@ def document_counts(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = held.value
-        counts: Counter[int] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
-
+        counts = np.zeros(len(held.value), np.int64)
         for batch in batches:
             for text in batch.column(0):
-                counts.update({vocabulary[w] for w in set(WORD.findall((text.as_py() or "").lower())) if w in vocabulary})
-                if len(counts) > HELD_TERMS:
-                    yield out()
-                    counts.clear()
-        yield out()
+                find = held.value.get
+                counts[[t for t in map(find, set(WORD.findall((text.as_py() or "").lower()))) if t is not None]] += 1
+        seen = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], names=["term", "n"])
 
+    found = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    held.unpersist()
     out = np.zeros(len(vocabulary))
-    for r in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
-def examples(docs: DataFrame, labels: DataFrame) -> list:
-    """(doc_id, toxic, terms, times) of at most SAMPLE_ROWS labelled rows, in order."""
+def examples(docs: DataFrame, labels: DataFrame) -> pa.Table:
+    """(doc_id, key, toxic, terms, times) of at most SAMPLE_ROWS labelled rows, in order."""
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     chosen = hashed_sample(usable.select("doc_id", "toxic"), SAMPLE_ROWS, "doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = materialise(chosen)  # at most SAMPLE_ROWS small rows, so the broadcast below is bounded
@@ -225,26 +238,32 @@ def examples(docs: DataFrame, labels: DataFrame) -> list:
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     spelt = materialise(rows.mapInArrow(spell, f"doc_id {kind}, toxic int, terms array<string>, times array<int>").withColumn("key", F.xxhash64(F.array_sort(F.arrays_zip("terms", "times")))))
-    return sorted(hashed_sample(spelt, SAMPLE_ROWS, "doc_id", "key").collect(), key=lambda r: (r["doc_id"], r["key"]))
+    return hashed_sample(spelt, SAMPLE_ROWS, "doc_id", "key").select("doc_id", "key", "toxic", "terms", "times").toArrow().sort_by([("doc_id", "ascending"), ("key", "ascending")])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows = examples(docs, labels)
-    counts = [Counter(dict(zip(r["terms"], r["times"], strict=True))) for r in rows]
-    toxic = np.array([r["toxic"] for r in rows], float)
-    vocabulary = {t: i for i, t in enumerate(sorted({t for c in counts for t in c}))}
-    size = len(vocabulary)
-    held = [np.fromiter((vocabulary[t] for t in c), np.int64, len(c)) for c in counts]
-    n = sum((np.bincount(h, minlength=size) for h in held), np.zeros(size))
-    n1 = sum((np.bincount(h, minlength=size) for h, y in zip(held, toxic, strict=True) if y), np.zeros(size))
+    ids, toxic = rows.column("doc_id").to_pylist(), rows.column("toxic").to_numpy().astype(float)
+    spoken, times = (rows.column(c).combine_chunks() if rows.num_rows else pa.array([], pa.list_(kind)) for c, kind in (("terms", pa.string()), ("times", pa.int32())))
+    words = spoken.flatten().unique().sort()
+    terms, times = pc.index_in(spoken.flatten(), words).to_numpy(zero_copy_only=False).astype(np.int64), times.flatten().to_numpy(zero_copy_only=False).astype(float)
+    first = np.concatenate([[0], np.cumsum(pc.list_value_length(spoken).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    vocabulary, size = {t: i for i, t in enumerate(words.to_pylist())}, len(words)
+    n = np.bincount(terms, minlength=size)
+    n1 = np.bincount(terms, np.repeat(toxic, np.diff(first)), minlength=size)
     idf = np.log((1 + docs.count()) / (1 + document_counts(docs, vocabulary))) + 1 if size else np.zeros(0)
     rate = float(toxic.mean()) if len(toxic) else 0.0
-    bare = [y for c, y in zip(counts, toxic, strict=True) if not c]
-    beyond = np.maximum(association(n, n1, float(len(rows)), float(toxic.sum())) - 2 * math.log(max(1, size)), 0.0)
-    model = Model(vocabulary, idf * (beyond + SMOOTH), Index([], np.zeros(0), [], size), rate, float((sum(bare) + rate) / (len(bare) + 1)), isotonic(np.zeros(0), np.zeros(0)))
-    marked = [i for i, c in enumerate(counts) if c]
-    model.index = Index([rows[i]["doc_id"] for i in marked], toxic[marked], [model.vector(counts[i]) for i in marked], size)
-    index = model.index
+    bare = toxic[np.diff(first) == 0]
+    beyond = np.maximum(association(n, n1, float(len(ids)), float(toxic.sum())) - 2 * math.log(max(1, size)), 0.0)
+    model = Model(vocabulary, idf * (beyond + SMOOTH), Index([], np.zeros(0), [], size), rate, float((bare.sum() + rate) / (len(bare) + 1)), isotonic(np.zeros(0), np.zeros(0)))
+    vectors = []
+    marked = np.nonzero(np.diff(first))[0]
+    marked = np.sort(marked[np.argsort([xxhash.xxh64_intdigest(f"{ids[i]}:{i}") for i in marked.tolist()])[:EXAMPLES]])
+    for i in marked.tolist():
+        own = np.arange(first[i], first[i + 1])
+        own = own[np.argsort(terms[own])]
+        vectors.append(model.weigh(terms[own], times[own]))
+    index = model.index = Index([ids[i] for i in marked], toxic[marked], vectors, size)
     votes = [model.vote(*index.nearest(*v, without=i)) for i, v in enumerate(index.vectors)]
     model.knots = isotonic(np.array(votes), index.labels)
     index.vectors = []

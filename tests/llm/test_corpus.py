@@ -466,7 +466,7 @@ def test_toxicity_awkward(spark):
     many = spark.range(300).selectExpr("1L AS doc_id", "concat('word', id % 3) AS text")  # one labelled id on every row
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(op09_toxicity, "SAMPLE_ROWS", 50)
-        assert len(op09_toxicity.examples(many, spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int"))) == 50
+        assert op09_toxicity.examples(many, spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")).num_rows == 50
 
 
 def test_pipeline(spark, tmp_path):
