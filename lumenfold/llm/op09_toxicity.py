@@ -52,8 +52,9 @@ BLOCK = 32
 FIRST_BLOCKS = 8
 #: A list is long that holds more than 1 / LONG of the examples.
 LONG = 4
-#: Texts whose results a worker remembers.
+#: Vectors whose results a worker remembers, and documents that a task hands on at once.
 REMEMBERED = 50_000
+HANDED = 512
 WORD = re.compile(r"\w+")
 
 
@@ -137,11 +138,6 @@ class Model:
     base: float
     knots: tuple[np.ndarray, np.ndarray]
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms in order, and their weights, of norm 1."""
-        held = np.array(known_terms(text, self.vocabulary), np.int64).reshape(-1, 2)
-        return self.weigh(held[:, 0], held[:, 1])
-
     def weigh(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = (1 + np.log(times)) * self.weight[terms]
         norm = math.sqrt(float(raw @ raw))
@@ -151,9 +147,8 @@ class Model:
         weights = 1 / (1 - np.minimum(cosines, 1.0) + SOFTEN)
         return float((self.rate + weights @ self.index.labels[places]) / (1 + weights.sum()))
 
-    def score(self, text: str | None) -> tuple[float, float, str]:
-        """Score, vote and evidence."""
-        terms, weights = self.vector(text)
+    def score(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, float, str]:
+        """Score, vote and evidence of a vector."""
         places, cosines = self.index.nearest(terms, weights)
         if not len(places):
             return self.base, self.base, ""
@@ -241,8 +236,27 @@ def examples(docs: DataFrame, labels: DataFrame) -> pa.Table:
     return hashed_sample(spelt, SAMPLE_ROWS, "doc_id", "key").select("doc_id", "key", "toxic", "terms", "times").toArrow().sort_by([("doc_id", "ascending"), ("key", "ascending")])
 
 
+def vectors_of(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """(doc_id, terms, times): the known terms of every document, written once."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, max(1, batch.num_rows), HANDED):
+                some = [np.array(known_terms(t.as_py(), held.value), np.int32).reshape(-1, 2) for t in batch.column(1)[k : k + HANDED]]
+                first = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int32))
+                both = np.concatenate(some) if some else np.zeros((0, 2), np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + HANDED], *(pa.ListArray.from_arrays(first, pa.array(np.ascontiguousarray(both[:, c]))) for c in (0, 1))], names=["doc_id", "terms", "times"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return materialise(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, terms array<int>, times array<int>"))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = examples(docs, labels)
+    return _model(examples(docs, labels), lambda vocabulary: document_counts(docs, vocabulary), docs.count())
+
+
+def _model(rows: pa.Table, document_frequency, documents: int) -> Model:
     ids, toxic = rows.column("doc_id").to_pylist(), rows.column("toxic").to_numpy().astype(float)
     spoken, times = (rows.column(c).combine_chunks() if rows.num_rows else pa.array([], pa.list_(kind)) for c, kind in (("terms", pa.string()), ("times", pa.int32())))
     words = spoken.flatten().unique().sort()
@@ -251,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     vocabulary, size = {t: i for i, t in enumerate(words.to_pylist())}, len(words)
     n = np.bincount(terms, minlength=size)
     n1 = np.bincount(terms, np.repeat(toxic, np.diff(first)), minlength=size)
-    idf = np.log((1 + docs.count()) / (1 + document_counts(docs, vocabulary))) + 1 if size else np.zeros(0)
+    idf = np.log((1 + documents) / (1 + document_frequency(vocabulary))) + 1
     rate = float(toxic.mean()) if len(toxic) else 0.0
     bare = toxic[np.diff(first) == 0]
     beyond = np.maximum(association(n, n1, float(len(ids)), float(toxic.sum())) - 2 * math.log(max(1, size)), 0.0)
@@ -271,32 +285,51 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score, predicted, vote, evidence) of every row; evidence names the three nearest examples."""
-    held = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    """(doc_id, score, predicted, vote, evidence) of every row; evidence names the three nearest examples. Every text is
+    read once, for its terms."""
+    written: list[DataFrame] = []
+
+    def frequency(vocabulary: dict[str, int]) -> np.ndarray:
+        written.append(vectors_of(docs, vocabulary))
+        found = written[0].select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()
+        out = np.zeros(len(vocabulary))
+        out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+        return out
+
+    model = _model(examples(docs, labels), frequency, docs.count())
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(held.value)
         for batch in batches:
-            out = [known(t.as_py()) for t in batch.column(1)]
+            out = []
+            terms, times = batch.column(1), batch.column(2)
+            first, all_terms, all_times = terms.offsets.to_numpy().tolist(), terms.values.to_numpy(), times.values.to_numpy()
+            for a, z in zip(first, first[1:], strict=False):
+                out.append(known.of_vector(all_terms[a:z], all_times[a:z]))
             scores = [s for s, _, _ in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([v for _, v, _ in out], pa.float64()), pa.array([e for _, _, e in out], pa.string())], names=["doc_id", "score", "predicted", "vote", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, vote double, evidence string")
+    return written[0].mapInArrow(run, f"doc_id {kind}, score double, predicted int, vote double, evidence string")
 
 
 class Known:
-    """A model that remembers the results of up to REMEMBERED texts, so that copies cost little."""
+    """A model that remembers the results of up to REMEMBERED vectors, so that copies cost little."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.held = model, {}
 
     def __call__(self, text: str | None) -> tuple[float, float, str]:
-        key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+        held = np.array(known_terms(text, self.model.vocabulary), np.int32).reshape(-1, 2)
+        return self.of_vector(held[:, 0], held[:, 1])
+
+    def of_vector(self, terms: np.ndarray, times: np.ndarray) -> tuple[float, float, str]:
+        key = xxhash.xxh3_128_digest(np.concatenate([terms, times]).tobytes())
         if key not in self.held:
             if len(self.held) >= REMEMBERED:
                 self.held.clear()
-            self.held[key] = self.model.score(text)
+            self.held[key] = self.model.score(*self.model.weigh(terms.astype(np.int64), times.astype(float)))
         return self.held[key]
 
 
