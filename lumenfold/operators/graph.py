@@ -20,40 +20,45 @@ def node_set(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
-    """(node, pagerank) after a fixed number of rounds; the mass of nodes without edges is spread evenly."""
+def pagerank(edges: DataFrame, rounds: int = 100, alpha: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(node, pagerank): rounds go on until ranks change by less than `tolerance` a node in sum,
+    or `rounds` are done; the mass of nodes without edges is spread evenly. (G2)"""
     edges = edges.select("src", "dst").distinct()
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     shares = materialise(edges.join(out, "src"))
     every = materialise(node_set(edges).join(out, F.col("node") == F.col("src"), "left").select("node", F.col("out").isNull().alias("dangling")))
     n = every.count()
-    ranks = every.select("node", "dangling", F.lit(1.0 / n).alias("r")) if n else every.select("node", "dangling", F.lit(0.0).alias("r"))
-    for k in range(rounds):
+    ranks = every.select("node", "dangling", F.lit(1.0 / max(n, 1)).alias("r"), F.lit(1.0).alias("before"))
+    for _ in range(rounds):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0)).alias("lost"))
         given = shares.join(ranks, shares.src == ranks.node).groupBy("dst").agg(F.sum(F.col("r") / F.col("out")).alias("got"))
-        ranks = every.join(given, every.node == given.dst, "left").crossJoin(F.broadcast(lost))  # one row
-        ranks = ranks.select("node", "dangling", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("r"))
-        if k % CUT_EVERY == CUT_EVERY - 1:
-            ranks = materialise(ranks)
+        old = ranks.select("node", "dangling", F.col("r").alias("before"))
+        ranks = old.join(given, old.node == given.dst, "left").crossJoin(F.broadcast(lost))  # one row
+        ranks = ranks.select("node", "dangling", ((1 - alpha) / max(n, 1) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("r"), "before")
+        ranks = materialise(ranks)  # three plans hang on it
+        if (ranks.agg(F.sum(F.abs(F.col("r") - F.col("before")))).first()[0] or 0.0) < tolerance * n:
+            break
     return ranks.select("node", F.col("r").alias("pagerank"))
 
 
-def hits(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, hub, authority) after a fixed number of rounds, each normed to a sum of 1; without edges 1/n."""
+def hits(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
+    """(node, hub, authority), each normed to a sum of 1: rounds go on until the hubs change by less than `tolerance` in sum,
+    or `rounds` are done. (G3)"""
     edges = materialise(edges.select("src", "dst").distinct())
     every = materialise(node_set(edges))
     hub = every.select("node", F.lit(1.0).alias("h"))
-    scores = None
-    for k in range(rounds):
-        authority = edges.join(hub, edges.src == hub.node).groupBy(F.col("dst").alias("node")).agg(F.sum("h").alias("a"))
-        hub = edges.join(authority, edges.dst == authority.node).groupBy(F.col("src").alias("node")).agg(F.sum("a").alias("h"))
-        total = hub.agg(F.sum("h").alias("total"))
-        hub = hub.crossJoin(F.broadcast(total)).select("node", (F.col("h") / F.col("total")).alias("h"))  # one row
-        if k % CUT_EVERY == CUT_EVERY - 1:
-            authority, hub = materialise(authority), materialise(hub)
-        scores = authority
-    whole = scores.agg(F.sum("a").alias("whole"))
-    scores = scores.crossJoin(F.broadcast(whole)).select("node", (F.col("a") / F.col("whole")).alias("a"))  # one row
+    authority = hub.select("node", F.col("h").alias("a"))
+    for _ in range(rounds):
+        authority = materialise(edges.join(hub, edges.src == hub.node).groupBy(F.col("dst").alias("node")).agg(F.sum("h").alias("a")))
+        new = materialise(edges.join(authority, edges.dst == authority.node).groupBy(F.col("src").alias("node")).agg(F.sum("a").alias("h")))
+        total = new.agg(F.sum("h").alias("total"))
+        before = hub.select("node", F.col("h").alias("before"))
+        new = materialise(new.crossJoin(F.broadcast(total)).select("node", (F.col("h") / F.col("total")).alias("h")).join(before, "node"))  # one row
+        hub = new.select("node", "h")
+        if (new.agg(F.sum(F.abs(F.col("h") - F.col("before")))).first()[0] or 0.0) < tolerance:
+            break
+    whole = authority.agg(F.sum("a").alias("whole"))
+    scores = authority.crossJoin(F.broadcast(whole)).select("node", (F.col("a") / F.col("whole")).alias("a"))  # one row
     return every.join(hub, "node", "left").join(scores, "node", "left").select("node", F.coalesce("h", F.lit(0.0)).alias("hub"), F.coalesce("a", F.lit(0.0)).alias("authority"))
 
 
@@ -127,37 +132,37 @@ def simple_paths(edges: DataFrame, source, target, longest: int = 5) -> DataFram
     return out
 
 
-def distances_from(edges: DataFrame, source, longest: int = 10) -> DataFrame:
-    """(node, distance) by breadth-first search."""
+def distances_from(edges: DataFrame, source, longest: int | None = None) -> DataFrame:
+    """(node, distance) by breadth-first search, as far as there are nodes, or up to `longest` steps."""
     edges = materialise(edges.select("src", "dst").distinct())
-    front = edges.sparkSession.range(1).select(F.lit(source).alias("node"), F.lit(0).alias("distance"))
-    seen = front
-    for k in range(1, longest + 1):
+    seen = front = edges.sparkSession.range(1).select(F.lit(source).alias("node"), F.lit(0).alias("distance"))
+    k = 0
+    while longest is None or k < longest:
+        k += 1
         step = edges.join(front, edges.src == front.node).select(F.col("dst").alias("node")).distinct()
         front = materialise(step.join(seen, "node", "left_anti").withColumn("distance", F.lit(k)))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = materialise(seen.unionByName(front)) if k % CUT_EVERY == 0 else seen.unionByName(front)
     return seen
 
 
-def shortest_path(edges: DataFrame, source, target, longest: int = 10) -> DataFrame:
-    """(path, length): the lexicographically least shortest path, or no row.
+def shortest_path(edges: DataFrame, source, target) -> DataFrame:
+    """(path, length): the lexicographically least shortest path, of whatever length, or no row.
 
-    Each node keeps its least predecessor path while layers are walked, so a layer has one row a node.
+    Layers are walked until the target or nothing new is met; each node keeps the least path to it, so a layer has one row
+    a node.
     """
     edges = materialise(edges.select("src", "dst").distinct())
     front = edges.sparkSession.range(1).select(F.lit(source).alias("node"), F.array(F.lit(source)).alias("path"))
-    seen = front.select("node")
-    for k in range(longest + 1):
+    seen, k = materialise(front.select("node")), 0
+    while not front.isEmpty():
         hit = front.where(F.col("node") == target)
         if not hit.isEmpty():
             return hit.select(F.array_join("path", ">").alias("path"), F.lit(k).alias("length"))
+        k += 1
         step = edges.join(front, edges.src == front.node).groupBy("dst").agg(F.min("path").alias("path"))
-        front = step.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")).join(seen, "node", "left_anti")
-        front = materialise(front)
-        if front.isEmpty():
-            break
+        front = materialise(step.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")).join(seen, "node", "left_anti"))
         seen = materialise(seen.union(front.select("node")))
     return edges.sparkSession.createDataFrame([], "path string, length int")
 
@@ -178,28 +183,86 @@ def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").unionByName(edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select(*edges.columns)).distinct()
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5, weighted: bool = True) -> DataFrame:
-    """(node, community) by synchronous label propagation: the heaviest label among neighbours and the node's own (which
-    counts the node's mean edge weight once), ties to the smaller; rounds are fixed, so the result is deterministic. It
-    stands in for Leiden and Louvain. (G12, G14)
-    """
+def _best(gains: DataFrame, by: str, gain: str) -> DataFrame:
+    """(by, community, gain): of each node the community of the largest gain, ties to the smaller."""
+    best = gains.groupBy(by).agg(F.min(F.struct((-F.col(gain)).alias("loss"), "community")).alias("m"))
+    return best.select(by, "m.community", (-F.col("m.loss")).alias(gain))
+
+
+def both_ways(edges: DataFrame, weighted: bool = True) -> DataFrame:
+    """(src, dst, w): every edge in both directions, parallel ones summed, without loops."""
     weight = F.col("weight").cast("double") if weighted and "weight" in edges.columns else F.lit(1.0)
     one = edges.select("src", "dst", weight.alias("w")).where("src <> dst")
-    both = materialise(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    return materialise(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
+
+
+def label_propagation(edges: DataFrame, rounds: int = 5, weighted: bool = True) -> DataFrame:
+    """(node, community) by synchronous label propagation: the heaviest label among neighbours and the node's own (which
+    counts the node's mean edge weight once), ties to the smaller; rounds are fixed, so the result is deterministic."""
+    both = both_ways(edges, weighted)
     own = both.groupBy("src").agg(F.avg("w").alias("w"))
     votes = materialise(both.unionByName(own.select("src", F.col("src").alias("dst"), "w")))
     labels = node_set(both).select("node", F.col("node").alias("community"))
     for _ in range(rounds):
         tally = votes.join(labels, votes.dst == labels.node).groupBy("src", "community").agg(F.round(F.sum("w"), 9).alias("w"))
-        best = tally.groupBy("src").agg(F.max_by("community", F.struct("w", _descending("community"))).alias("community"))
-        labels = materialise(best.select(F.col("src").alias("node"), "community"))
+        labels = materialise(_best(tally, "src", "w").select(F.col("src").alias("node"), "community"))
     return labels
 
 
-def _descending(column: str):
-    """An order in which smaller values are larger: for numbers the negative, for strings the complement of their hash's
-    order is of no use, so labels are numbers here."""
-    return -F.col(column)
+def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 2, weighted: bool = True) -> DataFrame:
+    """(level, node, community): modularity communities, level 1 the finest. Nodes may be of any ordered type.
+
+    In a round every node looks for the neighbouring community of the largest gain
+    k_in - resolution * k * total / 2m, ties to the smaller name, and goes there if that beats its own; in turns only to
+    smaller names and only to larger ones, which keeps neighbours from changing places.
+    A level has `rounds` rounds, or fewer when a pair of them moves nothing; then communities become the
+    nodes of the next level. A community is named by its smallest node.
+    """
+    graph = both_ways(edges, weighted)
+    names = materialise(node_set(graph).select("node", F.col("node").alias("at")))
+    whole = graph.agg(F.sum("w")).first()[0] or 0.0
+    out = None
+    for level in range(1, levels + 1):
+        labels = _local_moves(graph, whole, resolution, rounds)
+        least = labels.join(names.groupBy("at").agg(F.min("node").alias("least")), labels.node == F.col("at")).groupBy("community").agg(F.min("least").alias("name"))
+        named = materialise(labels.join(least, "community").select(F.col("node").alias("at"), F.col("name").alias("community")))
+        names = materialise(names.join(named, "at").select("node", F.col("community").alias("at")))
+        rows = names.select(F.lit(level).alias("level"), "node", F.col("at").alias("community"))
+        out = rows if out is None else out.unionByName(rows)
+        ends = graph.join(named.select(F.col("at").alias("src"), F.col("community").alias("a")), "src").join(named.select(F.col("at").alias("dst"), F.col("community").alias("b")), "dst")
+        graph = materialise(ends.groupBy("a", "b").agg(F.sum("w").alias("w")).select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"))
+    return out
+
+
+def _local_moves(graph: DataFrame, whole: float, resolution: float, rounds: int) -> DataFrame:
+    degree = graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+    state = materialise(degree.select("node", "k", F.col("node").alias("community")))
+    links = graph.where("src <> dst")
+    still = 0
+    for r in range(rounds):
+        total = state.groupBy("community").agg(F.sum("k").alias("total"))
+        to = state.select(F.col("node").alias("dst"), "community")
+        inside = links.join(to, "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("k_in"))
+        offers = inside.unionByName(state.select("node", "community", F.lit(0.0).alias("k_in"))).groupBy("node", "community").agg(F.sum("k_in").alias("k_in"))
+        here = state.select("node", "k", F.col("community").alias("own"))
+        offers = offers.join(here, "node").join(total, "community")
+        rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+        valued = offers.select("node", "community", "own", F.round(F.col("k_in") - resolution * F.col("k") * rest / whole, 9).alias("gain"))
+        mine = F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("mine")
+        best = valued.groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "community")).alias("m"), mine)
+        there = F.col("m.community")
+        moves = (there > F.col("community") if r % 2 else there < F.col("community")) & (-F.col("m.loss") > F.col("mine"))
+        state = materialise(state.join(best, "node").select("node", "k", F.when(moves, there).otherwise(F.col("community")).alias("community"), moves.alias("moved")))
+        still = 0 if not state.where("moved").isEmpty() else still + 1
+        if still == 2:
+            break
+    return state.select("node", "community")
+
+
+def top_level(levels: DataFrame) -> DataFrame:
+    """(node, community) of the coarsest level of `louvain`."""
+    last = levels.agg(F.max("level").alias("level"))
+    return levels.join(F.broadcast(last), "level").select("node", "community")  # one row
 
 
 def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0, weighted: bool = False) -> DataFrame:
@@ -230,16 +293,19 @@ def parents(child: DataFrame, parent: DataFrame) -> DataFrame:
     return both.withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
-def hierarchy(edges: DataFrame, rounds: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """(level, node, community, parent): levels from fine (few rounds) to coarse, with parents on the level above."""
-    levels = [label_propagation(edges, r) for r in rounds]
+def hierarchy(levels: DataFrame) -> DataFrame:
+    """(level, node, community, parent): levels (level, node, community) from fine to coarse with parents on the level above,
+    the community there that shares most members. (G13, G15)"""
+    numbers = sorted(r["level"] for r in levels.select("level").distinct().collect())  # a few levels
+    kind = levels.schema["community"].dataType
     out = None
-    for k, labels in enumerate(levels):
-        rows = labels.select(F.lit(k + 1).alias("level"), "node", "community")
-        if k + 1 < len(levels):
-            rows = rows.join(parents(labels, levels[k + 1]).select("community", "parent"), "community", "left").select("level", "node", "community", "parent")
+    for k in numbers:
+        rows = levels.where(F.col("level") == k)
+        if k == numbers[-1]:
+            rows = rows.select("level", "node", "community", F.lit(None).cast(kind).alias("parent"))
         else:
-            rows = rows.withColumn("parent", F.lit(None).cast(labels.schema["community"].dataType))
+            above = parents(rows, levels.where(F.col("level") == numbers[numbers.index(k) + 1]))
+            rows = rows.join(above.select("community", "parent"), "community", "left").select("level", "node", "community", "parent")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -251,6 +317,18 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(top.select("component")), "component", "left_semi").select("node")
 
 
-def report_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
+def report_communities(edges: DataFrame, rounds: int = 6, levels: int = 2) -> DataFrame:
     """Communities of the largest component."""
-    return label_propagation(induced(edges, largest_component(edges)), rounds)
+    return top_level(louvain(induced(edges, largest_component(edges)), rounds=rounds, levels=levels))
+
+
+def community_reports(edges: DataFrame, members: DataFrame, k: int = 5, write=None) -> DataFrame:
+    """(community, title, summary, size, internal_edges) by a template over the `k` most frequent members, or the summary by
+    `write`, a function of the columns names, size and internal_edges. members: (node, community, frequency)."""
+    top = Window.partitionBy("community").orderBy(F.desc("frequency"), "node")
+    first = members.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k)
+    names = first.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "node"))), lambda x: x["node"].cast("string")), ", ").alias("names"))
+    found = community_sizes(edges, members.select("node", "community")).join(names, "community")
+    template = F.concat(F.col("size").cast("string"), F.lit(" members and "), F.col("internal_edges").cast("string"), F.lit(" relations about "), F.col("names"))
+    summary = write(F.col("names"), F.col("size"), F.col("internal_edges")) if write else template
+    return found.select("community", F.concat(F.lit("Community of "), "names").alias("title"), summary.alias("summary"), "size", "internal_edges")

@@ -53,10 +53,25 @@ def filled(chosen: DataFrame, extra: DataFrame, most: int = 20) -> DataFrame:
     return chosen.unionByName(more.select("chunk_id", (have + F.row_number().over(Window.orderBy("chunk_id"))).alias("place")))
 
 
-def within_budget(rows: DataFrame, budget: int, order: list, tokens: str = "tokens", by: list | None = None) -> DataFrame:
-    """Rows in order until the first one that overflows the budget. Sums only grow, so a prefix test suffices."""
-    window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_sum", F.sum(tokens).over(window)).where(F.col("_sum") <= budget).drop("_sum")
+def within_budget(rows: DataFrame, budget: int, order: list[str], tokens: str = "tokens") -> DataFrame:
+    """Rows in order until the first one that overflows the budget. Names in `order` that begin with `-` descend; together
+    they tell rows apart. (V16)
+
+    A row with tokens takes one at least, so the first budget + 1 of those settle where the budget ends; everything before
+    that row is taken, however much without tokens there is.
+    """
+    names, down = [c.lstrip("-") for c in order], [c.startswith("-") for c in order]
+    ordered = [F.desc(c) if d else F.asc(c) for c, d in zip(names, down, strict=True)]
+    counted = rows.where(F.col(tokens) > 0).orderBy(*ordered).limit(budget + 1)
+    upto = counted.withColumn("_sum", F.sum(tokens).over(Window.orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0)))  # at most budget + 1 rows
+    over = upto.where(F.col("_sum") > budget).orderBy(*ordered).limit(1).select(*[F.col(c).alias(f"_{c}") for c in names]).collect()
+    if not over:
+        return rows
+    before = F.lit(False)
+    for c, d in reversed(list(zip(names, down, strict=True))):
+        edge = F.lit(over[0][f"_{c}"])
+        before = (F.col(c) > edge if d else F.col(c) < edge) | ((F.col(c) == edge) & before)
+    return rows.where(before)
 
 
 def context_lines(rows: DataFrame, line: Column, order: str) -> DataFrame:

@@ -189,14 +189,14 @@ def j19(spark, sf_dir):
     return rows.join(hits.select("source").distinct(), "source", "left_semi").join(hits.select("id"), "id", "left_anti").select("id")
 
 
-CLAIMS = "cl AS (SELECT doc_id AS claim_id, trim(substr(text, 1, 60)) AS claim FROM documents), cw AS (SELECT claim_id, claim, list_distinct(string_split_regex(lower(trim(claim)), '\\s+')) AS w FROM cl)"
+CLAIMS = "cl AS (SELECT doc_id AS claim_id, trim(text) AS claim FROM documents), cw AS (SELECT claim_id, claim, list_distinct(string_split_regex(lower(trim(claim)), '\\s+')) AS w FROM cl)"
 
 
 def claim_rows(spark, sf_dir):
-    return docs(spark, sf_dir).select(F.col("doc_id").alias("claim_id"), F.trim(F.substring("text", 1, 60)).alias("claim"), F.col("source"))
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("claim_id"), F.trim("text").alias("claim"), F.col("source"))
 
 
-@query("v25_similar_claims", f"WITH {CLAIMS} SELECT a.claim_id AS kept, b.claim_id AS dropped FROM cw a JOIN cw b ON a.claim_id < b.claim_id AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.85")
+@query("v25_similar_claims", f"WITH {CLAIMS} SELECT a.claim_id AS kept, b.claim_id AS dropped FROM cw a JOIN cw b ON a.claim_id < b.claim_id AND least(len(a.w), len(b.w)) >= 0.85 * greatest(len(a.w), len(b.w)) AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.85")
 def v25(spark, sf_dir):
     return lazy.similar_claims(claim_rows(spark, sf_dir))
 
@@ -224,18 +224,18 @@ def v26n(spark, sf_dir):
     return subgraph(spark, sf_dir)[0].select("title", "frequency")
 
 
-SENT = f"""st AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1)::INT - 1 AS pos FROM documents WHERE doc_id < 60), sc AS (SELECT doc_id, pos, text, round({SHARE}, 6)::DOUBLE AS score FROM st)"""
+SENT = f"""st AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1)::INT - 1 AS pos FROM documents), sc AS (SELECT doc_id, pos, text, round({SHARE}, 6)::DOUBLE AS score FROM st)"""
 
 
 def scored_sentences(spark, sf_dir):
-    lines = docs(spark, sf_dir).where("doc_id < 60").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return lines.withColumn("score", F.round(lexical.overlap(QUESTION, F.col("text")), 6))
 
 
 @query("v27_context_fit", f"WITH {SENT}, t AS (SELECT *, sum(floor(length(text) * 0.25)::BIGINT) OVER (ORDER BY score DESC, doc_id, pos ROWS UNBOUNDED PRECEDING) AS upto FROM sc) SELECT doc_id, pos, score FROM t WHERE upto <= 4000")
 def v27(spark, sf_dir):
-    best = scored_sentences(spark, sf_dir).orderBy(F.desc("score"), "doc_id", "pos").limit(2000)
-    fit = retrieval.within_budget(best.withColumn("tokens", X.estimated_tokens(F.col("text"))), 4000, [F.desc("score"), "doc_id", "pos"])
+    lines = scored_sentences(spark, sf_dir).withColumn("tokens", X.estimated_tokens(F.col("text")))
+    fit = retrieval.within_budget(lines, 4000, ["-score", "doc_id", "pos"])
     return fit.select("doc_id", "pos", "score")
 
 
@@ -275,11 +275,11 @@ def w3(spark, sf_dir):
 
 
 MENTIONS = """mt AS (SELECT event_id AS pos, 'e' || event_id AS id, CASE user_id % 3 WHEN 0 THEN upper(event_type) WHEN 1 THEN event_type || '!' ELSE event_type END || ' ' || user_id % 40 AS name, event_type AS type,
-  'd' || repeat('x', (event_id % 17)::INT) AS description, 'c' || event_id % 9 AS chunk, CASE WHEN event_id % 4 = 0 THEN (2000 + event_id % 20)::INT END AS year FROM events WHERE event_id % 5 = 0)"""
+  'd' || repeat('x', (event_id % 17)::INT) AS description, 'c' || event_id % 9 AS chunk, CASE WHEN event_id % 4 = 0 THEN (2000 + event_id % 20)::INT END AS year FROM events)"""
 
 
 def mentions(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    e = table(spark, sf_dir, "events")
     name = F.when(F.col("user_id") % 3 == 0, F.upper("event_type")).when(F.col("user_id") % 3 == 1, F.concat("event_type", F.lit("!"))).otherwise(F.col("event_type"))
     return e.select(
         F.col("event_id").alias("pos"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.concat(name, F.lit(" "), (F.col("user_id") % 40).cast("string")).alias("name"), F.col("event_type").alias("type"),
@@ -309,9 +309,9 @@ def a9m(spark, sf_dir):
     return merging.merge_maps(maps, "user_id", "properties", "event_id").select("user_id", F.explode("properties").alias("name", "value"))
 
 
-@query("relation_seam", "WITH m AS (SELECT DISTINCT l_orderkey AS chunk, l_suppkey AS entity FROM lineitem WHERE l_orderkey % 50 = 0) SELECT a.entity AS source, b.entity AS target, a.chunk FROM m a JOIN m b ON a.chunk = b.chunk AND a.entity < b.entity")
+@query("relation_seam", "WITH m AS (SELECT DISTINCT l_orderkey AS chunk, l_suppkey AS entity FROM lineitem) SELECT a.entity AS source, b.entity AS target, a.chunk FROM m a JOIN m b ON a.chunk = b.chunk AND a.entity < b.entity")
 def relation_seam(spark, sf_dir):
-    found = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("chunk"), F.col("l_suppkey").alias("entity")).distinct()
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_suppkey").alias("entity")).distinct()
     return merging.extract_relations(found)
 
 

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators import citation, cooccurrence, graph, keywords
 from lumenfold.plans.catalog import query, table
-from lumenfold.plans.search_queries import PHRASES, english
+from lumenfold.plans.search_queries import PHRASES, documents
 from lumenfold.plans.text_queries import REFERENCES_SQL, references
 
 PARTS_SQL = """e AS (SELECT DISTINCT src, dst FROM (SELECT lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS src, l_partkey AS dst FROM lineitem)
   WHERE src IS NOT NULL AND src <> dst)"""
-SMALL_SQL = PARTS_SQL + ", s AS (SELECT * FROM e WHERE (src * 31 + dst) % 40 = 0)"
 
 
 def parts(spark, sf_dir):
@@ -22,10 +21,6 @@ def parts(spark, sf_dir):
     return pairs.where("src IS NOT NULL AND src <> dst").distinct()
 
 
-def sparse(spark, sf_dir):
-    return parts(spark, sf_dir).where("(src * 31 + dst) % 40 = 0")
-
-
 FREQUENT = PHRASES + """, u AS (SELECT doc_id AS unit, doc_id // 3 AS doc_id, pos, phrase FROM phrases), f AS (SELECT phrase FROM u GROUP BY phrase HAVING count(*) >= 2), o AS (SELECT u.* FROM u JOIN f USING (phrase))"""
 PAIRS = FREQUENT + """, n AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY pos, phrase) AS rn FROM o),
 prs AS (SELECT x.unit, x.doc_id, least(x.phrase, y.phrase) AS a, greatest(x.phrase, y.phrase) AS b FROM n x JOIN n y ON x.unit = y.unit AND y.rn > x.rn AND y.rn <= x.rn + 5 WHERE x.phrase <> y.phrase),
@@ -33,7 +28,7 @@ ed AS (SELECT a AS source, b AS target, count(*) AS weight, count(DISTINCT doc_i
 
 
 def placed(spark, sf_dir):
-    found = keywords.candidates(english(spark, sf_dir))
+    found = keywords.candidates(documents(spark, sf_dir))
     return found.select(F.col("doc_id").alias("unit"), F.floor(F.col("doc_id") / 3).alias("doc_id"), "pos", "phrase")
 
 
@@ -90,12 +85,12 @@ def _pagerank_sql(rounds: int) -> str:
     for k in range(rounds):
         ctes.append(f"""r{k + 1} AS MATERIALIZED (SELECT v.node, 0.15::DOUBLE / (SELECT count(*) FROM v) + 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(r), 0) FROM r{k} WHERE node NOT IN (SELECT src FROM o)) / (SELECT count(*) FROM v)) AS r
           FROM v LEFT JOIN (SELECT e.dst, sum(r / n) AS got FROM e JOIN o USING (src) JOIN r{k} ON r{k}.node = e.src GROUP BY e.dst) g ON g.dst = v.node)""")
-    return "WITH " + ",\n".join(ctes) + f" SELECT node, round(r, 9) AS pagerank FROM r{rounds}"
+    return "WITH " + ",\n".join(ctes) + f" SELECT node, round(r, 8) AS pagerank FROM r{rounds}"
 
 
-@query("g2_pagerank", _pagerank_sql(10))
+@query("g2_pagerank", _pagerank_sql(20))
 def g2(spark, sf_dir):
-    return graph.pagerank(parts(spark, sf_dir), 10).withColumn("pagerank", F.round("pagerank", 9))
+    return graph.pagerank(parts(spark, sf_dir), tolerance=1e-13).withColumn("pagerank", F.round("pagerank", 8))
 
 
 def _hits_sql(rounds: int) -> str:
@@ -103,19 +98,19 @@ def _hits_sql(rounds: int) -> str:
     for k in range(rounds):
         ctes += [f"a{k} AS MATERIALIZED (SELECT e.dst AS node, sum(h) AS a FROM e JOIN h{k} ON node = src GROUP BY e.dst)", f"g{k} AS MATERIALIZED (SELECT e.src AS node, sum(a) AS h FROM e JOIN a{k} ON node = dst GROUP BY e.src)", f"h{k + 1} AS MATERIALIZED (SELECT node, h / (SELECT sum(h) FROM g{k}) AS h FROM g{k})"]
     k = rounds
-    return "WITH " + ",\n".join(ctes) + f" SELECT v.node, round(coalesce(h, 0), 9)::DOUBLE AS hub, round(coalesce(a / (SELECT sum(a) FROM a{k - 1}), 0), 9)::DOUBLE AS authority FROM v LEFT JOIN h{k} USING (node) LEFT JOIN a{k - 1} USING (node)"
+    return "WITH " + ",\n".join(ctes) + f" SELECT v.node, round(coalesce(h, 0), 8)::DOUBLE AS hub, round(coalesce(a / (SELECT sum(a) FROM a{k - 1}), 0), 8)::DOUBLE AS authority FROM v LEFT JOIN h{k} USING (node) LEFT JOIN a{k - 1} USING (node)"
 
 
-@query("g3_hits", _hits_sql(10))
+@query("g3_hits", _hits_sql(20))
 def g3(spark, sf_dir):
-    return graph.hits(parts(spark, sf_dir), 10).select("node", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
+    return graph.hits(parts(spark, sf_dir), tolerance=1e-12).select("node", F.round("hub", 8).alias("hub"), F.round("authority", 8).alias("authority"))
 
 
-@query("g4_simple_paths", f"""WITH RECURSIVE {SMALL_SQL}, q AS (SELECT min(src) AS a FROM s), t AS (SELECT max(dst) AS z FROM s WHERE src = (SELECT a FROM q)),
+@query("g4_simple_paths", f"""WITH RECURSIVE {PARTS_SQL}, s AS (SELECT * FROM e), q AS (SELECT min(src) AS a FROM s), t AS (SELECT max(dst) AS z FROM s WHERE src = (SELECT a FROM q)),
 p AS (SELECT [src, dst] AS path, dst AS last FROM s, q WHERE src = a UNION ALL SELECT list_append(path, s.dst), s.dst FROM p JOIN s ON s.src = last, t WHERE last <> z AND len(path) < 5 AND NOT list_contains(path, s.dst))
 SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INT AS length FROM p, t WHERE last = z""")
 def g4(spark, sf_dir):
-    e = sparse(spark, sf_dir)
+    e = parts(spark, sf_dir)
     source = e.agg(F.min("src")).first()[0]
     target = e.where(F.col("src") == source).agg(F.max("dst")).first()[0]
     return graph.simple_paths(e, source, target, 4)
@@ -130,20 +125,26 @@ def g5(spark, sf_dir):
     return graph.shortest_path(e, ends["a"], ends["z"])
 
 
-COMPONENTS = f"""WITH RECURSIVE {SMALL_SQL}, b AS (SELECT src, dst FROM s UNION SELECT dst, src FROM s), r AS (SELECT src AS node, src AS root FROM b UNION SELECT b.dst, root FROM r JOIN b ON b.src = r.node WHERE root < b.dst),
-c AS (SELECT node, least(min(root), node) AS component FROM r GROUP BY node)"""
+def _components_sql(rounds: int = 10) -> str:
+    """Least labels spread over so many steps, more than these graphs are wide."""
+    ctes = ["b AS MATERIALIZED (SELECT src, dst FROM s UNION SELECT dst, src FROM s)", "c0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS component FROM b)"]
+    ctes += [f"c{k + 1} AS MATERIALIZED (SELECT node, least(component, got) AS component FROM c{k} JOIN (SELECT b.src AS node, min(component) AS got FROM b JOIN c{k} ON c{k}.node = b.dst GROUP BY b.src) USING (node))" for k in range(rounds)]
+    return ", ".join([*ctes, f"c AS (SELECT * FROM c{rounds})"])
+
+
+COMPONENTS = f"WITH {PARTS_SQL}, s AS (SELECT * FROM e), {_components_sql()}"
 
 
 @query("g6_weak_components", COMPONENTS + " SELECT node, component FROM c")
 def g6(spark, sf_dir):
-    return graph.weak_components(sparse(spark, sf_dir))
+    return graph.weak_components(parts(spark, sf_dir))
 
 
-@query("g7_strong_components", f"""WITH RECURSIVE {SMALL_SQL}, r AS (SELECT src AS node, dst AS reach FROM s UNION SELECT r.node, s.dst FROM r JOIN s ON s.src = r.reach),
+@query("g7_strong_components", f"""WITH RECURSIVE {PARTS_SQL}, s AS (SELECT * FROM e), r AS (SELECT src AS node, dst AS reach FROM s UNION SELECT r.node, s.dst FROM r JOIN s ON s.src = r.reach),
 v AS (SELECT src AS node FROM s UNION SELECT dst FROM s), m AS (SELECT a.node, a.reach FROM r a JOIN r b ON a.node = b.reach AND a.reach = b.node)
 SELECT v.node, least(v.node, coalesce(min(m.reach), v.node)) AS component FROM v LEFT JOIN m ON m.node = v.node GROUP BY v.node""")
 def g7(spark, sf_dir):
-    return graph.strong_components(sparse(spark, sf_dir))
+    return graph.strong_components(parts(spark, sf_dir))
 
 
 @query("g8_ego_network", f"""WITH {PARTS_SQL}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT 1 AS node UNION SELECT dst FROM b WHERE src = 1)
@@ -205,7 +206,7 @@ def a8(spark, sf_dir):
 SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM s) AS edges, (SELECT count(*) FROM s WHERE dst % 5 <> 0) AS internal_edges, (SELECT count(*) FROM s WHERE dst % 5 = 0) AS external_edges,
   round((SELECT count(*) FROM s) / ((SELECT count(*) FROM v) * ((SELECT count(*) FROM v) - 1.0)), 9)::DOUBLE AS density, (SELECT count(DISTINCT component) FROM c) AS components""")
 def a7(spark, sf_dir):
-    e = sparse(spark, sf_dir)
+    e = parts(spark, sf_dir)
     one = e.agg(F.count("*").alias("edges"), F.count_if(F.col("dst") % 5 != 0).alias("internal_edges"), F.count_if(F.col("dst") % 5 == 0).alias("external_edges"))
     groups = graph.weak_components(e).agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"))
     both = one.crossJoin(F.broadcast(groups))  # one row each
@@ -227,11 +228,9 @@ g AS (SELECT *, lower(nullif(regexp_replace(regexp_extract(reference, '(10\.\d{{
 n AS (SELECT *, {_NORMAL("coalesce(guess, '')")} AS title FROM g),
 di AS (SELECT lower(doi) AS doi, max(doc_id) AS m FROM d WHERE doi IS NOT NULL GROUP BY 1), ti AS (SELECT {_NORMAL("title")} AS title, max(doc_id) AS m FROM d GROUP BY 1),
 h AS (SELECT n.*, CASE WHEN di.m <> n.doc_id THEN di.m END AS m_doi, CASE WHEN ti.m <> n.doc_id THEN ti.m END AS m_title FROM n LEFT JOIN di USING (doi) LEFT JOIN ti ON ti.title = n.title),
-dt AS (SELECT doc_id, {_NORMAL("title")} AS t FROM d), tw AS (SELECT doc_id, t, unnest(list_distinct(string_split(t, ' '))) AS word FROM dt WHERE t <> ''), wf AS (SELECT word, count(*) AS df FROM tw GROUP BY word),
-aw AS (SELECT ref_id, doc_id, title, unnest(list_distinct(string_split(title, ' '))) AS word FROM h WHERE m_doi IS NULL AND m_title IS NULL AND title <> ''),
-rw AS (SELECT aw.* FROM aw JOIN wf USING (word) QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY df, word) <= 1),
-f AS (SELECT DISTINCT rw.ref_id, tw.doc_id AS m, 1 - levenshtein(rw.title, tw.t) / greatest(length(rw.title), length(tw.t)) AS similarity FROM rw JOIN tw USING (word)
-   WHERE rw.doc_id <> tw.doc_id AND 1 - levenshtein(rw.title, tw.t) / greatest(length(rw.title), length(tw.t)) >= 0.85),
+dt AS (SELECT doc_id, {_NORMAL("title")} AS t FROM d),
+f AS (SELECT h.ref_id, dt.doc_id AS m, 1 - levenshtein(h.title, dt.t) / greatest(length(h.title), length(dt.t)) AS similarity FROM h JOIN dt ON h.doc_id <> dt.doc_id AND dt.t <> ''
+   WHERE m_doi IS NULL AND m_title IS NULL AND h.title <> '' AND 1 - levenshtein(h.title, dt.t) / greatest(length(h.title), length(dt.t)) >= 0.85),
 b AS (SELECT ref_id, first(m ORDER BY similarity DESC, m) AS m, round(max(similarity), 6)::DOUBLE AS similarity FROM f GROUP BY ref_id),
 x AS (SELECT h.ref_id, h.doc_id, reference, coalesce(m_doi, m_title, b.m) AS match, CASE WHEN m_doi IS NOT NULL THEN 'matched_doi' WHEN m_title IS NOT NULL THEN 'matched_title' WHEN b.m IS NOT NULL THEN 'matched_fuzzy' ELSE 'unresolved' END AS status,
   CASE WHEN m_doi IS NOT NULL OR m_title IS NOT NULL THEN 1.0 ELSE coalesce(b.similarity, 0) END::DOUBLE AS confidence FROM h LEFT JOIN b USING (ref_id))"""
@@ -259,7 +258,7 @@ def j8(spark, sf_dir):
 
 @query("j8_fuzzy_match_sequence")
 def j8s(spark, sf_dir):
-    refs = references(spark, sf_dir).where("doc_id % 4 = 2").select(F.col("doc_id").alias("ref_id"), "doc_id", F.concat(F.lit("Text of document "), (F.col("doc_id") + 5).cast("string")).alias("title"))
+    refs = references(spark, sf_dir).select(F.col("doc_id").alias("ref_id"), "doc_id", F.concat(F.lit("Text of document "), (F.col("doc_id") + 5).cast("string")).alias("title"))
     return citation.fuzzy_matches(refs, titled(spark, sf_dir), measure="sequence")
 
 
@@ -273,18 +272,40 @@ def g1(spark, sf_dir):
     return citation.citation_edges(resolved(spark, sf_dir))
 
 
-def communities(spark, sf_dir, rounds: int = 5):
-    return graph.label_propagation(sparse(spark, sf_dir), rounds)
+ROUNDS, LEVELS = 4, 2
 
 
-def _labels_sql(rounds: int, name: str = "l") -> str:
-    ctes = ["bo AS MATERIALIZED (SELECT src, dst, sum(w)::DOUBLE AS w FROM (SELECT src, dst, 1.0 AS w FROM s UNION ALL SELECT dst, src, 1.0 FROM s) GROUP BY src, dst)", "vo AS MATERIALIZED (SELECT * FROM bo UNION ALL SELECT src, src, avg(w) FROM bo GROUP BY src)", f"{name}0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS community FROM bo)"]
-    for k in range(rounds):
-        ctes.append(f"{name}{k + 1} AS MATERIALIZED (SELECT src AS node, first(community ORDER BY w DESC, community) AS community FROM (SELECT vo.src, community, round(sum(w), 9) AS w FROM vo JOIN {name}{k} ON node = dst GROUP BY vo.src, community) GROUP BY src)")
-    return ", ".join(ctes)
+def communities(spark, sf_dir):
+    return graph.top_level(levels(spark, sf_dir))
 
 
-LABELS = f"WITH {SMALL_SQL}, {_labels_sql(5)}"
+def levels(spark, sf_dir, weighted: bool = False):
+    e = parts(spark, sf_dir)
+    return graph.louvain(e.withColumn("weight", 1 + F.col("src") % 3) if weighted else e, rounds=ROUNDS, levels=LEVELS)
+
+
+def _louvain_sql(source: str = "s", weight: str = "1.0") -> str:
+    """Local moves of both levels, round by round; n1 and n2 hold (node, home)."""
+    one = f"SELECT src, dst, {weight} AS w FROM {source} WHERE src <> dst"
+    ctes = [f"g1 AS MATERIALIZED (SELECT src, dst, sum(w)::DOUBLE AS w FROM ({one} UNION ALL SELECT dst, src, w FROM ({one})) GROUP BY src, dst)", "whole AS MATERIALIZED (SELECT sum(w) AS whole FROM g1)"]
+    for level in range(1, LEVELS + 1):
+        g, x = f"g{level}", f"x{level}_"
+        ctes.append(f"{x}0 AS MATERIALIZED (SELECT src AS node, sum(w) AS k, src AS community FROM {g} GROUP BY src)")
+        for r in range(ROUNDS):
+            ctes.append(f"""{x}{r + 1} AS MATERIALIZED (SELECT x.node, x.k, CASE WHEN b.community {'<>'[r % 2]} x.community AND b.gain > b.mine THEN b.community ELSE x.community END AS community FROM {x}{r} x JOIN (
+  SELECT node, first(community ORDER BY gain DESC, community) AS community, max(gain) AS gain, max(gain) FILTER (WHERE community = own) AS mine FROM (
+    SELECT o.node, o.community, x.community AS own, round(k_in - 1.0::DOUBLE * x.k * (total - CASE WHEN o.community = x.community THEN x.k ELSE 0 END) / whole, 9) AS gain
+    FROM (SELECT node, community, sum(k_in) AS k_in FROM (SELECT l.src AS node, x.community, l.w AS k_in FROM {g} l JOIN {x}{r} x ON x.node = l.dst WHERE l.src <> l.dst UNION ALL SELECT node, community, 0::DOUBLE FROM {x}{r}) GROUP BY 1, 2) o
+    JOIN {x}{r} x ON x.node = o.node JOIN (SELECT community, sum(k) AS total FROM {x}{r} GROUP BY 1) t ON t.community = o.community, whole) GROUP BY node) b ON b.node = x.node)""")
+        named = f"SELECT node, min(node) OVER (PARTITION BY community) AS home FROM {x}{ROUNDS}"
+        ctes.append(f"n1 AS MATERIALIZED ({named})" if level == 1 else f"n{level} AS MATERIALIZED (SELECT n{level - 1}.node, m.home FROM n{level - 1} JOIN ({named}) m ON m.node = n{level - 1}.home)")
+        if level < LEVELS:
+            ctes.append(f"g{level + 1} AS MATERIALIZED (SELECT a.home AS src, b.home AS dst, sum(w) AS w FROM {g} JOIN n{level} a ON a.node = src JOIN n{level} b ON b.node = dst GROUP BY 1, 2)")
+    return ", ".join([*ctes, "l1 AS (SELECT node, home AS community FROM n1)", f"l5 AS (SELECT node, home AS community FROM n{LEVELS})"])
+
+
+LABELS = f"WITH {PARTS_SQL}, s AS (SELECT * FROM e), {_louvain_sql()}"
+HIERARCHY = " SELECT 1 AS level, node, l1.community, l5.community AS parent FROM l1 JOIN l5 USING (node) UNION ALL SELECT 2, node, community, NULL FROM l5"
 
 
 @query("g12_communities", LABELS + " SELECT node, community FROM l5")
@@ -292,11 +313,15 @@ def g12(spark, sf_dir):
     return communities(spark, sf_dir)
 
 
-@query("g13_hierarchy", LABELS + """, h1 AS (SELECT a.community, first(b.community ORDER BY n DESC, b.community) AS parent FROM (SELECT a.community, b.community AS bc, count(*) AS n FROM l1 a JOIN l3 b USING (node) GROUP BY 1, 2) a JOIN (SELECT DISTINCT community FROM l3) b ON b.community = a.bc GROUP BY 1),
-h2 AS (SELECT a.community, first(bc ORDER BY n DESC, bc) AS parent FROM (SELECT a.community, b.community AS bc, count(*) AS n FROM l3 a JOIN l5 b USING (node) GROUP BY 1, 2) a GROUP BY 1)
-SELECT 1 AS level, node, l1.community, parent FROM l1 JOIN h1 USING (community) UNION ALL SELECT 2, node, l3.community, parent FROM l3 JOIN h2 USING (community) UNION ALL SELECT 3, node, community, NULL FROM l5""")
+@query("g12_phrase_communities")
+def g12p(spark, sf_dir):
+    e = phrase_edges(spark, sf_dir)
+    return graph.louvain(e.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight"), rounds=ROUNDS, levels=LEVELS)
+
+
+@query("g13_hierarchy", LABELS + HIERARCHY)
 def g13(spark, sf_dir):
-    return graph.hierarchy(sparse(spark, sf_dir))
+    return graph.hierarchy(levels(spark, sf_dir))
 
 
 @query("g14_entity_communities", LABELS + " SELECT community, count(*) AS size FROM l5 GROUP BY community HAVING count(*) >= 2")
@@ -304,21 +329,20 @@ def g14(spark, sf_dir):
     return communities(spark, sf_dir).groupBy("community").agg(F.count("*").alias("size")).where("size >= 2")
 
 
-@query("g15_entity_hierarchy")
+@query("g15_entity_hierarchy", f"WITH {PARTS_SQL}, s AS (SELECT * FROM e), {_louvain_sql('s', '1 + src % 3')}" + HIERARCHY)
 def g15(spark, sf_dir):
-    weighted = sparse(spark, sf_dir).withColumn("weight", 1 + F.col("src") % 3)
-    return graph.hierarchy(weighted, (2, 4))
+    return graph.hierarchy(levels(spark, sf_dir, weighted=True))
 
 
-@query("g16_report_communities")
+@query("g16_report_communities", f"WITH {PARTS_SQL}, s AS (SELECT * FROM e), {_components_sql()}, top AS (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), z AS (SELECT * FROM s WHERE src IN (SELECT node FROM c JOIN top USING (component))), {_louvain_sql('z')} SELECT node, community FROM l5")
 def g16(spark, sf_dir):
-    return graph.report_communities(sparse(spark, sf_dir))
+    return graph.report_communities(parts(spark, sf_dir), rounds=ROUNDS, levels=LEVELS)
 
 
 @query("g18_modularity", LABELS + """, x AS (SELECT a.community AS a, b.community AS b FROM s JOIN l5 a ON a.node = src JOIN l5 b ON b.node = dst), d AS (SELECT community, count(*) AS d FROM (SELECT a AS community FROM x UNION ALL SELECT b FROM x) GROUP BY community),
 i AS (SELECT a AS community, count(*) AS l FROM x WHERE a = b GROUP BY a) SELECT round(sum(coalesce(l, 0) / (SELECT count(*) FROM x) - pow(d / (2.0 * (SELECT count(*) FROM x)), 2)), 6)::DOUBLE AS modularity FROM d LEFT JOIN i USING (community)""")
 def g18(spark, sf_dir):
-    return graph.modularity(sparse(spark, sf_dir), communities(spark, sf_dir))
+    return graph.modularity(parts(spark, sf_dir), communities(spark, sf_dir))
 
 
 SIZES = LABELS + """, z AS (SELECT community, count(*) AS size FROM l5 GROUP BY community), i AS (SELECT a.community, count(*) AS internal_edges FROM s JOIN l5 a ON a.node = src JOIN l5 b ON b.node = dst WHERE a.community = b.community GROUP BY 1)
@@ -327,19 +351,19 @@ SELECT community, size, coalesce(internal_edges, 0) AS internal_edges, round(CAS
 
 @query("a5_community_sizes", SIZES)
 def a5(spark, sf_dir):
-    return graph.community_sizes(sparse(spark, sf_dir), communities(spark, sf_dir))
+    return graph.community_sizes(parts(spark, sf_dir), communities(spark, sf_dir))
 
 
 @query("f9_large_communities", SIZES + " WHERE size >= 3")
 def f9(spark, sf_dir):
-    return graph.community_sizes(sparse(spark, sf_dir), communities(spark, sf_dir), 3)
+    return graph.community_sizes(parts(spark, sf_dir), communities(spark, sf_dir), 3)
 
 
 DEGREE = ", dg AS (SELECT node, count(*) AS frequency FROM (SELECT src AS node FROM s UNION ALL SELECT dst FROM s) GROUP BY node), mb AS (SELECT l5.*, frequency FROM l5 JOIN dg USING (node))"
 
 
 def members(spark, sf_dir):
-    e = sparse(spark, sf_dir)
+    e = parts(spark, sf_dir)
     degree = e.select(F.col("src").alias("node")).unionAll(e.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count("*").alias("frequency"))
     return communities(spark, sf_dir).join(degree, "node")
 
@@ -352,7 +376,16 @@ def a4(spark, sf_dir):
 
 @query("j15_parents", LABELS + """, n AS (SELECT a.community, b.community AS parent, count(*) AS shared FROM l1 a JOIN l5 b USING (node) GROUP BY 1, 2) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY community ORDER BY shared DESC, parent) = 1""")
 def j15(spark, sf_dir):
-    return graph.parents(communities(spark, sf_dir, 1), communities(spark, sf_dir, 5))
+    found = levels(spark, sf_dir)
+    return graph.parents(found.where("level = 1"), found.where(f"level = {LEVELS}"))
+
+
+@query("community_reports", LABELS + DEGREE + """, i AS (SELECT a.community, count(*) AS internal_edges FROM s JOIN l5 a ON a.node = src JOIN l5 b ON b.node = dst WHERE a.community = b.community GROUP BY 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY frequency DESC, node) AS nth, count(*) OVER (PARTITION BY community) AS size FROM mb),
+t AS (SELECT community, any_value(size) AS size, string_agg(node::VARCHAR, ', ' ORDER BY nth) AS names FROM k WHERE nth <= 5 GROUP BY community)
+SELECT community, 'Community of ' || names AS title, size || ' members and ' || coalesce(internal_edges, 0) || ' relations about ' || names AS summary, size, coalesce(internal_edges, 0) AS internal_edges FROM t LEFT JOIN i USING (community)""")
+def reports(spark, sf_dir):
+    return graph.community_reports(parts(spark, sf_dir), members(spark, sf_dir))
 
 
 @query("j5_community_units", LABELS + """ SELECT DISTINCT l_orderkey FROM lineitem JOIN l5 ON node = l_partkey WHERE community = (SELECT min(community) FROM l5)""")

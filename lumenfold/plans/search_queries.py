@@ -9,8 +9,8 @@ from lumenfold.operators import fusion, keywords, lexical, vectors
 from lumenfold.plans.catalog import query, table
 
 _STOPS = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in keywords.STOP_WORDS) + ")"
-ENGLISH = "SELECT * FROM documents WHERE lang = 'en'"
-PHRASES = rf"""WITH p AS (SELECT doc_id, list_transform(string_split_regex(lower(text), '[.!?,;:\n\t()\[\]{{}}"'']+'), lambda s: list_concat(regexp_extract_all(s, '[\p{{L}}\p{{N}}_\-]+'), [''])) AS parts FROM ({ENGLISH})),
+DOCUMENTS = "SELECT * FROM documents"
+PHRASES = rf"""WITH p AS (SELECT doc_id, list_transform(string_split_regex(lower(text), '[.!?,;:\n\t()\[\]{{}}"'']+'), lambda s: list_concat(regexp_extract_all(s, '[\p{{L}}\p{{N}}_\-]+'), [''])) AS parts FROM ({DOCUMENTS})),
 w AS (SELECT doc_id, unnest(flatten(parts)) AS word, generate_subscripts(flatten(parts), 1) - 1 AS at_ FROM p),
 e AS (SELECT *, word = '' OR word IN {_STOPS} OR regexp_matches(word, '^\d+$') AS ends FROM w),
 r AS (SELECT *, sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY at_) AS run FROM e),
@@ -18,13 +18,13 @@ phrases AS (SELECT doc_id, run::INT AS pos, string_agg(word, ' ' ORDER BY at_) A
             GROUP BY doc_id, run HAVING count(*) <= 4 AND length(string_agg(word, ' ' ORDER BY at_)) >= 2)"""
 
 
-def english(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'")
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
 
 
 @query("t12_rake_candidates", PHRASES + "SELECT * FROM phrases")
 def t12(spark, sf_dir):
-    return keywords.candidates(english(spark, sf_dir))
+    return keywords.candidates(documents(spark, sf_dir))
 
 
 WORD_SCORES = PHRASES + """, words AS (SELECT doc_id, unnest(string_split(phrase, ' ')) AS word, n_words - 1 AS others FROM phrases),
@@ -33,37 +33,37 @@ scores AS (SELECT doc_id, word, count(*) AS freq, sum(others)::BIGINT AS degree,
 
 @query("t13_rake_words", WORD_SCORES + "SELECT doc_id, word, freq, degree, round(score, 6)::DOUBLE AS score FROM scores")
 def t13(spark, sf_dir):
-    return keywords.word_scores(keywords.candidates(english(spark, sf_dir))).withColumn("score", F.round("score", 6))
+    return keywords.word_scores(keywords.candidates(documents(spark, sf_dir))).withColumn("score", F.round("score", 6))
 
 
 @query("t14_rake_top", WORD_SCORES + """, d AS (SELECT DISTINCT doc_id, phrase FROM phrases), x AS (SELECT doc_id, phrase, unnest(string_split(phrase, ' ')) AS word FROM d),
 s AS (SELECT x.doc_id, phrase, round(sum(score), 6)::DOUBLE AS score FROM x JOIN scores USING (doc_id, word) GROUP BY x.doc_id, phrase)
 SELECT doc_id, phrase, score, (row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase))::INT AS rank FROM s QUALIFY rank <= 10""")
 def t14(spark, sf_dir):
-    return keywords.rake(english(spark, sf_dir))
+    return keywords.rake(documents(spark, sf_dir))
 
 
-@query("t15_tf_idf", rf"""WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 2 AND w NOT IN {_STOPS}) AS w FROM ({ENGLISH})),
+@query("t15_tf_idf", rf"""WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 2 AND w NOT IN {_STOPS}) AS w FROM ({DOCUMENTS})),
 g AS (SELECT doc_id, unnest(w) AS term FROM l UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM l
       UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM l),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term), n AS (SELECT count(*) AS total FROM ({ENGLISH})), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term), n AS (SELECT count(*) AS total FROM ({DOCUMENTS})), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (SELECT doc_id, term, tf * (ln((1 + total) / (1 + df)) + 1) AS weight FROM tf JOIN df USING (term), n WHERE df <= 0.95 * total),
 s AS (SELECT doc_id, term, round(weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)), 6)::DOUBLE AS score FROM w)
 SELECT doc_id, term, score, (row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term))::INT AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""")
 def t15(spark, sf_dir):
-    return keywords.tf_idf(english(spark, sf_dir))
+    return keywords.tf_idf(documents(spark, sf_dir))
 
 
 @query("t16_noun_phrases", PHRASES + "SELECT doc_id, phrase, min(pos) AS pos FROM phrases WHERE length(phrase) >= 3 GROUP BY doc_id, phrase")
 def t16(spark, sf_dir):
-    return keywords.phrases_of_units(english(spark, sf_dir))
+    return keywords.phrases_of_units(documents(spark, sf_dir))
 
 
-@query("t19_frequent_words", rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM ({ENGLISH})),
+@query("t19_frequent_words", rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM ({DOCUMENTS})),
 c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) >= 3 AND word NOT IN {_STOPS} GROUP BY doc_id, word)
 SELECT doc_id, word, n, (row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word))::INT AS rank FROM c QUALIFY rank <= 10""")
 def t19(spark, sf_dir):
-    return keywords.frequent_words(english(spark, sf_dir))
+    return keywords.frequent_words(documents(spark, sf_dir))
 
 
 def embeddings(spark, sf_dir):

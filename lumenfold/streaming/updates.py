@@ -12,12 +12,16 @@ from lumenfold.functions.text import content_hash
 from lumenfold.operators import incremental
 from lumenfold.operators.chunking import token_chunks
 from lumenfold.sources.store import Store
+from lumenfold.storage import materialise
 
 
-def update_index(store: Store, arrived: DataFrame) -> None:
+def update_index(store: Store, arrived: DataFrame, order: str = "version") -> None:
     """Take documents (document_id, text) into the store: changed ones replace their units, others are added. The last row
-    of a document in the batch counts. Running a batch twice leaves the same index. (R7)"""
-    rows = arrived.groupBy("document_id").agg(F.max("text").alias("text"))
+    of a document in the batch counts: the one of the largest `order` column, if there is one, then the one that comes
+    last in the batch. Units go before the state that names them, so a batch that breaks off between is taken again.
+    Running a batch twice leaves the same index. (R7)"""
+    place = F.struct(*([order] if order in arrived.columns else []), "_at")
+    rows = materialise(arrived.withColumn("_at", F.monotonically_increasing_id()).groupBy("document_id").agg(F.max_by("text", place).alias("text")))
     units = token_chunks(rows, key="document_id").select(F.col("chunk_id").alias("id"), "document_id", F.col("chunk").alias("text"))
     names = units.groupBy("document_id").agg(F.array_sort(F.collect_list("id")).alias("units"))
     none = F.array().cast("array<string>")

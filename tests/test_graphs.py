@@ -1,5 +1,9 @@
 """Graphs small enough to work out by hand."""
 
+import collections
+import random
+from difflib import SequenceMatcher
+
 import pytest
 
 from lumenfold.operators import citation, cooccurrence, graph
@@ -69,6 +73,48 @@ def test_two_triangles(spark):
     assert graph.modularity(e, split).first()["modularity"] == 0.5
 
 
+def test_long_paths(spark):
+    chain = edges(spark, [(i, i + 1) for i in range(30)], "long")
+    assert graph.shortest_path(chain, 0, 30).first()["length"] == 30
+    assert graph.shortest_path(chain, 0, 99).count() == 0
+    assert {r["node"]: r["distance"] for r in graph.distances_from(chain, 3).collect()} == {i: i - 3 for i in range(3, 31)}
+
+
+def plain_modularity(pairs, labels):
+    m = len(pairs)
+    inner, degree = collections.Counter(), collections.Counter()
+    for a, b in pairs:
+        inner[labels[a]] += labels[a] == labels[b]
+        degree[labels[a]] += 1
+        degree[labels[b]] += 1
+    return sum(inner[c] / m - (degree[c] / (2 * m)) ** 2 for c in degree)
+
+
+def test_louvain(spark):
+    names = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x")]
+    labels = {r["node"]: r["community"] for r in graph.top_level(graph.louvain(edges(spark, names))).collect()}
+    assert labels == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x"}
+    alone = {r["community"] for r in graph.top_level(graph.louvain(edges(spark, names), resolution=50.0)).collect()}
+    assert len(alone) == 6
+    heavy = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 9.0), ("c", "d", 1.0)], "src string, dst string, weight double")
+    held = {r["node"]: r["community"] for r in graph.top_level(graph.louvain(heavy)).collect()}
+    assert held["b"] == held["c"]
+    assert graph.louvain(edges(spark, [])).count() == 0
+
+
+def test_louvain_beats_label_propagation(spark):
+    rng = random.Random(8)
+    pairs = sorted({tuple(sorted((rng.randrange(15) + 15 * g, rng.randrange(15) + 15 * g))) for g in range(6) for _ in range(45)} | {tuple(sorted(rng.sample(range(90), 2))) for _ in range(40)})
+    pairs = [(a, b) for a, b in pairs if a != b]
+    e = edges(spark, pairs, "long")
+    found = {r["node"]: r["community"] for r in graph.top_level(graph.louvain(e)).collect()}
+    spread = {r["node"]: r["community"] for r in graph.label_propagation(e).collect()}
+    assert plain_modularity(pairs, found) >= plain_modularity(pairs, spread)
+    assert plain_modularity(pairs, found) > 0.5
+    labels = spark.createDataFrame(list(found.items()), "node long, community long")
+    assert graph.modularity(e, labels).first()["modularity"] == pytest.approx(plain_modularity(pairs, found), abs=1e-6)
+
+
 def test_densities(spark):
     split = spark.createDataFrame([(n, 1 if n < 4 else 4) for n in range(1, 7)], "node long, community long")
     assert {r["density"] for r in graph.community_sizes(edges(spark, TRIANGLES, "long"), split).collect()} == {1.0}
@@ -101,3 +147,44 @@ def test_resolution(spark):
     assert found == {0: (2, "matched_doi"), 1: (3, "matched_title"), 2: (3, "matched_fuzzy"), 3: (None, "unresolved"), 4: (None, "unresolved")}
     graph_edges = citation.citation_edges(citation.resolve(refs, docs))
     assert {r["is_internal"] for r in graph_edges.collect()} == {True, False}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("measure", ["levenshtein", "sequence"])
+def test_fuzzy_titles_lose_nothing(spark, measure):
+    rng = random.Random(3)
+    words = ["attention", "graphs", "learning", "deep", "of", "notes", "a", "large", "corpora"]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 7))) for _ in range(120)] + ["attenton notes", "deep learning for graph", "x", "ab"]
+    wanted = []
+    for t in rng.sample(titles, 70):
+        letters = list(t)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(letters) + 1)
+            letters[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "e", "s"])
+        wanted.append("".join(letters))
+    wanted += ["very large corpora of notes with attenton", "deep learning for graphs", "x"]
+    docs = spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string")
+    refs = spark.createDataFrame([(i, i % 50, t) for i, t in enumerate(wanted)], "ref_id long, doc_id long, title string")
+    found = {r["ref_id"]: (r["match"], r["similarity"]) for r in citation.fuzzy_matches(refs, docs, measure=measure).collect()}
+    normal = lambda t: " ".join(t.split())
+    expected = {}
+    for i, t in enumerate(wanted):
+        a, best = normal(t), None
+        for k, title in enumerate(titles):
+            b = normal(title)
+            if not a or not b or k == i % 50:
+                continue
+            s = 1 - edits(a, b) / max(len(a), len(b)) if measure == "levenshtein" else SequenceMatcher(None, a, b).ratio()
+            if s >= 0.85 and (best is None or s > best[1]):
+                best = (k, s)
+        if best:
+            expected[i] = (best[0], round(best[1], 6))
+    assert found == expected
