@@ -26,11 +26,12 @@ class Bitmap:
 
 
 def bitmap_of(keys: DataFrame, column: str) -> Bitmap:
-    """Built on the executors; what reaches the driver is the bitmap, at most MOST_BITS."""
+    """Built on the executors; what reaches the driver is the bitmap, at most MOST_BITS, in one job."""
     size = min(MOST_BITS, max(BUCKET_BITS, 1 << (BITS_A_KEY * keys.count()).bit_length()))
     bit = F.pmod(F.col(column), F.lit(size)) + 1  # Spark counts bitmap buckets from 1
     rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     data = np.zeros((size // BUCKET_BITS, BUCKET_BITS // 8), np.uint8)
-    for r in rows.toLocalIterator():
-        data[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    found = rows.toArrow()
+    for bucket, bits in zip(found.column("bucket").to_pylist(), found.column("bits"), strict=True):
+        data[bucket - 1] = np.frombuffer(bits.as_buffer(), np.uint8)
     return Bitmap(data.tobytes(), size)
