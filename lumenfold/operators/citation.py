@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import external_key, normalise_title, reference_doi, title_guess
+from lumenfold.operators.fuzzy import most_similar
 from lumenfold.storage import materialise
 
 SIMILAR = 0.85
@@ -25,51 +23,18 @@ def title_index(docs: DataFrame) -> DataFrame:
 
 
 def fuzzy_matches(wanted: DataFrame, docs: DataFrame, least: float = SIMILAR, measure: str = "levenshtein") -> DataFrame:
-    """(ref_id, match, similarity): the most similar title at or above `least`; ties to the smaller document.
-
-    `measure` is `levenshtein` (1 - edits / longer length, inside the JVM) or `sequence` (difflib's ratio, in an Arrow
-    function). No pair is lost and no nested loop made: a title of n characters is cut into t + 1 segments, t being the
-    most edits that any title as similar can be away, so one segment stands unchanged in that title, at most t places
-    from its own. Both sides meet on (length, segment number, segment). Titles are compared once each, however many
-    documents have them.
-    """
-    # edits: at most (1 - least) of the longer length, which is at most n / least; or of both lengths, at most 2n / least
-    reach = (1 - least) / least if measure == "levenshtein" else (1 - least) * 2 / least
-    stretch = 1 / least if measure == "levenshtein" else 2 / least - 1
+    """(ref_id, match, similarity): the most similar title at or above `least`; ties to the smaller document."""
     left = wanted.select("ref_id", "doc_id", normalise_title(F.col("title")).alias("a")).where("a <> ''")
     right = docs.select(F.col("doc_id").alias("match"), normalise_title(F.col("title")).alias("b")).where("b <> ''")
-    edits = lambda n: F.floor(n * F.lit(reach) + 1e-9).cast("int")
-    begin = lambda n, i: F.floor(n * i / (edits(n) + 1)).cast("int")  # noqa: E731  where segment i of a title of n characters begins
-
-    held = right.select("b").distinct().withColumn("n", F.length("b")).withColumn("i", F.explode(F.sequence(F.lit(0), F.least(edits(F.col("n")), F.col("n") - 1))))
-    held = held.select("b", "n", "i", begin(F.col("n"), F.col("i")).alias("at"), begin(F.col("n"), F.col("i") + 1).alias("end"))
-    held = held.select("b", "n", "i", F.col("b").substr(F.col("at") + 1, F.col("end") - F.col("at")).alias("segment"))
-    asked = left.select("a").distinct().withColumn("m", F.length("a"))
-    asked = asked.withColumn("n", F.explode(F.sequence(F.ceil(F.col("m") / F.lit(stretch) - 1e-9).cast("int"), F.floor(F.col("m") * F.lit(stretch) + 1e-9).cast("int")))).where("n > 0")
-    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.least(edits(F.col("n")), F.col("n") - 1))))
-    size = begin(F.col("n"), F.col("i") + 1) - begin(F.col("n"), F.col("i"))
-    first = F.greatest(F.lit(0), begin(F.col("n"), F.col("i")) - edits(F.col("n")))
-    last = F.least(F.col("m") - size, begin(F.col("n"), F.col("i")) + edits(F.col("n")))
-    asked = asked.select("a", "m", "n", "i", size.alias("size"), first.alias("first"), last.alias("last")).where("last >= first")
-    probes = asked.select("a", "n", "i", F.explode(F.array_distinct(F.transform(F.sequence("first", "last"), lambda at: F.col("a").substr(at + 1, F.col("size"))))).alias("segment"))
-    pairs = probes.join(held, ["n", "i", "segment"]).select("a", "b").distinct()
-    longest = F.greatest(F.length("a"), F.length("b"))
-    if measure == "levenshtein":
-        scored = pairs.withColumn("similarity", 1 - F.levenshtein("a", "b") / longest)
-    else:
+    return most_similar(left, right, least, measure)
 
-        @F.pandas_udf("double")
-        def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
-        scored = pairs.withColumn("similarity", ratio("a", "b"))
-    good = materialise(scored.where(F.col("similarity") >= least))
-    # a title's two smallest documents are enough: a reference never means its own document
-    nth = F.row_number().over(Window.partitionBy("b").orderBy("match"))
-    few = right.groupBy("b", "match").count().withColumn("nth", nth).where("nth <= 2").select("b", "match")
-    met = left.join(good, "a").join(few, "b").where(F.col("doc_id") != F.col("match"))
-    best = met.groupBy("ref_id").agg(F.max(F.struct("similarity", (-F.col("match")).alias("order"), "match")).alias("m"))
-    return best.select("ref_id", "m.match", F.round("m.similarity", 6).alias("similarity"))
+def _looked_up(rows: DataFrame, index: DataFrame, key: str, name: str) -> DataFrame:
+    """`rows` with the match of `index` as `name`, other than the row's own document; rows without a key take no part in
+    the join, where they would all meet."""
+    hit = rows.where(F.coalesce(key, F.lit("")) != "").join(index.withColumnRenamed("match", name), key, "left")
+    hit = hit.withColumn(name, F.when(F.col(name) != F.col("doc_id"), F.col(name)))
+    return hit.unionByName(rows.where(F.coalesce(key, F.lit("")) == "").withColumn(name, F.lit(None).cast(index.schema["match"].dataType)))
 
 
 def resolve(references: DataFrame, docs: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -77,12 +42,9 @@ def resolve(references: DataFrame, docs: DataFrame, fuzzy: bool = True) -> DataF
     document never resolves to itself. (J9)"""
     asked = references.select("ref_id", "doc_id", "reference", F.lower(reference_doi(F.col("reference"))).alias("doi"), title_guess(F.col("reference")).alias("guess"))
     asked = asked.withColumn("title", normalise_title(F.coalesce("guess", F.lit(""))))
-    by_doi = doi_index(docs).withColumnRenamed("match", "m_doi")
-    by_title = title_index(docs).withColumnRenamed("match", "m_title")
-    out = asked.join(by_doi, "doi", "left").join(by_title, "title", "left")
-    other = lambda c: F.when(F.col(c) != F.col("doc_id"), F.col(c))
-    out = out.withColumn("m_doi", other("m_doi")).withColumn("m_title", other("m_title"))
+    out = _looked_up(_looked_up(asked, doi_index(docs), "doi", "m_doi"), title_index(docs), "title", "m_title")
     if fuzzy:
+        out = materialise(out)
         open_ = out.where("m_doi IS NULL AND m_title IS NULL").select("ref_id", "doc_id", F.col("guess").alias("title"))
         out = out.join(fuzzy_matches(open_, docs).select("ref_id", F.col("match").alias("m_fuzzy"), "similarity"), "ref_id", "left")
     else:

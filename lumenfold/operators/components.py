@@ -27,9 +27,12 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
             return total
         either = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
         parent = materialise(either.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("root")))
-        while True:  # pointers only fall, so they end at roots; each turn doubles the stride
-            up = parent.select(F.col("node").alias("at"), F.col("root").alias("next"))
-            jumped = materialise(parent.join(up, parent.root == up.at).select("node", F.col("next").alias("root"), (F.col("next") < F.col("root")).alias("moved")))
+        while True:  # pointers only fall, so they end at roots; a turn follows four of them and sees whether a fifth is left
+            at = parent
+            for step in range(3):
+                up = parent.select(F.col("node").alias("at"), F.col("root").alias("next"))
+                at = at.join(up, F.col("root") == F.col("at")).select("node", F.col("next").alias("root"), *([(F.col("next") < F.col("root")).alias("moved")] if step == 2 else []))
+            jumped = materialise(at)
             parent = jumped.select("node", "root")
             if jumped.where("moved").isEmpty():
                 break

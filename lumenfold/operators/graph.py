@@ -6,7 +6,10 @@ reach the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.operators.components import components
@@ -20,9 +23,14 @@ def node_set(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
 
 
-def pagerank(edges: DataFrame, rounds: int = 100, alpha: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
-    """(node, pagerank): rounds go on until ranks change by less than `tolerance` a node in sum,
-    or `rounds` are done; the mass of nodes without edges is spread evenly. (G2)"""
+def pagerank(edges: DataFrame, rounds: int | None = None, alpha: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(node, pagerank): rounds go on until the ranks, which sum to 1, change by less than `tolerance` in sum, whatever the number
+    of nodes; the mass of nodes without edges is spread evenly. (G2)
+
+    A change shrinks at least by `alpha` a round and is at most 2 at first, so the tolerance is reached within
+    log(tolerance / 2) / log(alpha) rounds; `rounds` may set an earlier end."""
+    enough = math.ceil(math.log(tolerance / 2) / math.log(alpha)) + 1
+    rounds = enough if rounds is None else min(rounds, enough)
     edges = edges.select("src", "dst").distinct()
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     shares = materialise(edges.join(out, "src"))
@@ -36,7 +44,7 @@ def pagerank(edges: DataFrame, rounds: int = 100, alpha: float = 0.85, tolerance
         ranks = old.join(given, old.node == given.dst, "left").crossJoin(F.broadcast(lost))  # one row
         ranks = ranks.select("node", "dangling", ((1 - alpha) / max(n, 1) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("r"), "before")
         ranks = materialise(ranks)  # three plans hang on it
-        if (ranks.agg(F.sum(F.abs(F.col("r") - F.col("before")))).first()[0] or 0.0) < tolerance * n:
+        if (ranks.agg(F.sum(F.abs(F.col("r") - F.col("before")))).first()[0] or 0.0) < tolerance:
             break
     return ranks.select("node", F.col("r").alias("pagerank"))
 
@@ -223,7 +231,7 @@ def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels:
     whole = graph.agg(F.sum("w")).first()[0] or 0.0
     out = None
     for level in range(1, levels + 1):
-        labels = _local_moves(graph, whole, resolution, rounds)
+        labels = _local_moves(graph, whole, lambda _: F.lit(float(resolution)), rounds)
         least = labels.join(names.groupBy("at").agg(F.min("node").alias("least")), labels.node == F.col("at")).groupBy("community").agg(F.min("least").alias("name"))
         named = materialise(labels.join(least, "community").select(F.col("node").alias("at"), F.col("name").alias("community")))
         names = materialise(names.join(named, "at").select("node", F.col("community").alias("at")))
@@ -234,9 +242,11 @@ def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels:
     return out
 
 
-def _local_moves(graph: DataFrame, whole: float, resolution: float, rounds: int) -> DataFrame:
+def _local_moves(graph: DataFrame, whole: float, resolution: Rate, rounds: int, start: DataFrame | None = None) -> DataFrame:
+    """(node, community) after `rounds` rounds of moves from `start`, or from every node on its own."""
     degree = graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
-    state = materialise(degree.select("node", "k", F.col("node").alias("community")))
+    state = degree.select("node", "k", F.col("node").alias("community")) if start is None else degree.join(start, "node").select("node", "k", "community")
+    state = materialise(state)
     links = graph.where("src <> dst")
     still = 0
     for r in range(rounds):
@@ -247,7 +257,7 @@ def _local_moves(graph: DataFrame, whole: float, resolution: float, rounds: int)
         here = state.select("node", "k", F.col("community").alias("own"))
         offers = offers.join(here, "node").join(total, "community")
         rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        valued = offers.select("node", "community", "own", F.round(F.col("k_in") - resolution * F.col("k") * rest / whole, 9).alias("gain"))
+        valued = offers.select("node", "community", "own", F.round(F.col("k_in") - resolution("node") * F.col("k") * rest / whole, 9).alias("gain"))
         mine = F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("mine")
         best = valued.groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "community")).alias("m"), mine)
         there = F.col("m.community")
@@ -259,6 +269,114 @@ def _local_moves(graph: DataFrame, whole: float, resolution: float, rounds: int)
     return state.select("node", "community")
 
 
+def leiden(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 2, weighted: bool = True) -> DataFrame:
+    """(level, node, community): modularity communities that are connected, level 1 the finest.
+
+    A level has three phases. Local moves as in `louvain`, from the communities of the level before. Then every community is
+    split into its connected parts, which can only raise the modularity. Then it is refined: its nodes start alone again
+    and merge, only with parts of the same community that they have an edge to and gain by, and only where both sides are
+    well connected to the rest of the community, that is by at least resolution * k * (K - k) / 2m. Refined parts are the
+    nodes of the next level, which starts from the communities they came from, so later moves can take a community apart
+    along its refined parts but never along anything less connected. Communities of a level are connected, since its nodes
+    are and the split comes last. A community is named by its smallest node.
+    """
+    graph = both_ways(edges, weighted)
+    return _leiden(graph, graph.agg(F.sum("w")).first()[0] or 0.0, lambda _: F.lit(float(resolution)), rounds, levels)
+
+
+#: From the name of a column of nodes to their resolution.
+Rate = Callable[[str], Column]
+
+
+def _leiden(graph: DataFrame, whole: float, resolution: Rate, rounds: int, levels: int) -> DataFrame:
+    names = materialise(node_set(graph).select("node", F.col("node").alias("at")))
+    out = start = None
+    for level in range(1, levels + 1):
+        homes = _connected_parts(graph, _local_moves(graph, whole, resolution, rounds, start))
+        labels = names.join(homes.withColumnRenamed("node", "at"), "at").select("node", "community")
+        least = labels.groupBy("community").agg(F.min("node").alias("name"))
+        rows = materialise(labels.join(least, "community").select(F.lit(level).alias("level"), "node", F.col("name").alias("community")))
+        out = rows if out is None else out.unionByName(rows)
+        if level < levels:
+            parts = _refined(graph, homes, whole, resolution, rounds)
+            names = materialise(names.join(parts.select(F.col("node").alias("at"), "part"), "at").select("node", F.col("part").alias("at")))
+            start = parts.select(F.col("part").alias("node"), "community").distinct()
+            ends = graph.join(parts.select(F.col("node").alias("src"), F.col("part").alias("a")), "src").join(parts.select(F.col("node").alias("dst"), F.col("part").alias("b")), "dst")
+            graph = materialise(ends.groupBy("a", "b").agg(F.sum("w").alias("w")).select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"))
+    return out
+
+
+def _within(graph: DataFrame, homes: DataFrame) -> DataFrame:
+    """(src, dst, w, community): edges between two nodes of one community."""
+    ends = graph.where("src <> dst").join(homes.select(F.col("node").alias("src"), "community"), "src").join(homes.select(F.col("node").alias("dst"), F.col("community").alias("other")), "dst")
+    return ends.where("community = other").select("src", "dst", "w", "community")
+
+
+def _connected_parts(graph: DataFrame, homes: DataFrame) -> DataFrame:
+    """(node, community): the connected parts of communities, each named by its smallest node."""
+    parts = components(_within(graph, homes).where("src < dst"))
+    return materialise(homes.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("community")))
+
+
+def _refined(graph: DataFrame, homes: DataFrame, whole: float, resolution: Rate, rounds: int) -> DataFrame:
+    """(node, community, part): communities refined into well-connected parts, each named by a node of it.
+
+    In a round, half of the parts (by a hash of name and round) stay, and nodes that are parts of their own in the other half
+    may join one of those; so whatever joins a part has an edge to nodes that stay in it."""
+    inside = materialise(_within(graph, homes))
+    degree = graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+    linked = inside.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("linked"))
+    nodes = homes.join(degree, "node").join(linked, "node", "left").withColumn("linked", F.coalesce("linked", F.lit(0.0)))
+    volume = nodes.groupBy("community").agg(F.sum("k").alias("volume"))
+    nodes = nodes.join(volume, "community")
+    enough = lambda name, cut, k: F.col(cut) >= F.round(resolution(name) * F.col(k) * (F.col("volume") - F.col(k)) / whole, 9)
+    state = materialise(nodes.select("node", "community", "volume", "k", enough("node", "linked", "k").alias("well"), F.col("node").alias("part")))
+    still = 0
+    for r in range(rounds):
+        stays = F.substring(F.md5(F.concat(F.lit(f"{r}:"), F.col("part").cast("string"))), 1, 1) < "8"
+        to = inside.join(state.select(F.col("node").alias("dst"), F.col("part").alias("to")), "dst")
+        ties = to.groupBy(F.col("src").alias("node"), "to").agg(F.round(F.sum("w"), 9).alias("k_in"))  # from a node to the parts of its community
+        own = state.select("node", "part")
+        cut = ties.join(own, "node").where(F.col("to") != F.col("part")).groupBy("part").agg(F.sum("k_in").alias("cut"))
+        sums = state.groupBy("part").agg(F.sum("k").alias("part_k"), F.first("volume").alias("volume"), F.count("*").alias("size"))
+        parts = sums.join(cut, "part", "left").withColumn("cut", F.coalesce("cut", F.lit(0.0)))
+        parts = parts.select("part", "part_k", "size", stays.alias("stays"), enough("part", "cut", "part_k").alias("open"))
+        movers = state.where("well").join(parts.where("size = 1 AND NOT stays").select("part"), "part", "left_semi").select("node", "k")
+        targets = parts.where("stays AND open").select(F.col("part").alias("to"), "part_k")
+        gain = F.round(F.col("k_in") - resolution("node") * F.col("k") * F.col("part_k") / whole, 9)
+        offers = movers.join(ties, "node").join(targets, "to").select("node", F.col("to").alias("community"), gain.alias("gain")).where("gain > 0")
+        best = _best(offers, "node", "gain").select("node", F.col("community").alias("to"))
+        state = materialise(state.join(best, "node", "left").select("node", "community", "volume", "k", "well", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved")))
+        still = 0 if not state.where("moved").isEmpty() else still + 1
+        if still == 2:
+            break
+    return state.select("node", "community", "part")
+
+
+def resolution_levels(edges: DataFrame, resolutions: Sequence[float], rounds: int = 6, levels: int = 2, weighted: bool = True) -> DataFrame:
+    """(level, node, community): one level for each resolution, in the order given, each the coarsest communities of `leiden`;
+    `hierarchy` adds the parents. (G13, G15)
+
+    All resolutions are worked on at once: the graph is taken as often as there are resolutions, with nodes (level, node),
+    and each copy has its own resolution."""
+    one = both_ways(edges, weighted)
+    whole = one.agg(F.sum("w")).first()[0] or 0.0
+    run = F.explode(F.array(*[F.lit(i) for i in range(1, len(resolutions) + 1)])).alias("run")
+    copies = one.select(run, "src", "dst", "w").select(*[F.struct("run", F.col(c).alias("node")).alias(c) for c in ("src", "dst")], "w")
+    rate = lambda name: F.element_at(F.array(*[F.lit(float(r)) for r in resolutions]), F.col(name)["run"])
+    return top_level(_leiden(materialise(copies), whole, rate, rounds, levels)).select(F.col("node.run").alias("level"), "node.node", F.col("community.node").alias("community"))
+
+
+def entity_communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 2, least: int = 2) -> DataFrame:
+    """(community, size, internal_edges, density, modularity): communities of at least `least` nodes, and the modularity of all.
+    Nodes without an edge are communities of their own. nodes: (node). (G14)"""
+    linked = materialise(top_level(leiden(edges, resolution, rounds, levels)))
+    alone = nodes.select("node").distinct().join(linked, "node", "left_anti")
+    labels = linked.unionByName(alone.select("node", F.col("node").alias("community")))
+    whole = modularity(edges, linked, resolution, weighted="weight" in edges.columns)
+    return community_sizes(edges, labels, least).crossJoin(F.broadcast(whole))  # one row
+
+
 def top_level(levels: DataFrame) -> DataFrame:
     """(node, community) of the coarsest level of `louvain`."""
     last = levels.agg(F.max("level").alias("level"))

@@ -90,7 +90,7 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query("g2_pagerank", _pagerank_sql(20))
 def g2(spark, sf_dir):
-    return graph.pagerank(parts(spark, sf_dir), tolerance=1e-13).withColumn("pagerank", F.round("pagerank", 8))
+    return graph.pagerank(parts(spark, sf_dir), tolerance=1e-9).withColumn("pagerank", F.round("pagerank", 8))
 
 
 def _hits_sql(rounds: int) -> str:
@@ -236,19 +236,19 @@ x AS (SELECT h.ref_id, h.doc_id, reference, coalesce(m_doi, m_title, b.m) AS mat
   CASE WHEN m_doi IS NOT NULL OR m_title IS NOT NULL THEN 1.0 ELSE coalesce(b.similarity, 0) END::DOUBLE AS confidence FROM h LEFT JOIN b USING (ref_id))"""
 
 
-def resolved(spark, sf_dir):
+def resolved(spark, sf_dir, fuzzy: bool = True):
     refs = references(spark, sf_dir).select(F.col("doc_id").alias("ref_id"), "doc_id", "reference")
-    return citation.resolve(refs, titled(spark, sf_dir))
+    return citation.resolve(refs, titled(spark, sf_dir), fuzzy)
 
 
 @query("j6_doi_match", RESOLVED + " SELECT ref_id, m_doi AS match FROM h WHERE m_doi IS NOT NULL")
 def j6(spark, sf_dir):
-    return resolved(spark, sf_dir).where("status = 'matched_doi'").select("ref_id", "match")
+    return resolved(spark, sf_dir, fuzzy=False).where("status = 'matched_doi'").select("ref_id", "match")
 
 
 @query("j7_title_match", RESOLVED + " SELECT ref_id, match FROM x WHERE status = 'matched_title'")
 def j7(spark, sf_dir):
-    return resolved(spark, sf_dir).where("status = 'matched_title'").select("ref_id", "match")
+    return resolved(spark, sf_dir, fuzzy=False).where("status = 'matched_title'").select("ref_id", "match")
 
 
 @query("j8_fuzzy_match", RESOLVED + " SELECT ref_id, match, confidence FROM x WHERE status = 'matched_fuzzy'")
@@ -315,8 +315,34 @@ def g12(spark, sf_dir):
 
 @query("g12_phrase_communities")
 def g12p(spark, sf_dir):
-    e = phrase_edges(spark, sf_dir)
-    return graph.louvain(e.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight"), rounds=ROUNDS, levels=LEVELS)
+    return graph.louvain(weighted_phrases(spark, sf_dir), rounds=ROUNDS, levels=LEVELS)
+
+
+def weighted_phrases(spark, sf_dir):
+    return phrase_edges(spark, sf_dir).select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight")
+
+
+@query("g12_leiden")
+def g12l(spark, sf_dir):
+    return graph.top_level(graph.leiden(parts(spark, sf_dir), rounds=ROUNDS, levels=LEVELS))
+
+
+@query("g12_phrase_leiden")
+def g12pl(spark, sf_dir):
+    return graph.leiden(weighted_phrases(spark, sf_dir), rounds=ROUNDS, levels=LEVELS)
+
+
+@query("g13_resolution_hierarchy")
+def g13r(spark, sf_dir):
+    """Three resolutions, each twice the one before: the coarser level is the parent."""
+    return graph.hierarchy(graph.resolution_levels(parts(spark, sf_dir), (4.0, 2.0, 1.0), ROUNDS, LEVELS))
+
+
+@query("g14_entity_leiden")
+def g14l(spark, sf_dir):
+    e = parts(spark, sf_dir)
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
+    return graph.entity_communities(e.withColumn("weight", 1 + F.col("src") % 3), nodes, rounds=ROUNDS, levels=LEVELS, least=1)
 
 
 @query("g13_hierarchy", LABELS + HIERARCHY)
