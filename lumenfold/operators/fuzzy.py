@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from lumenfold.storage import materialise
 
 GRAM_SIZES = (1, 2, 3, 5)
-#: Single characters are looked up for shorter titles only; two fit wherever a longer title may differ.
+#: Single characters are looked up for shorter titles only; two fit wherever a longer title may differ. What is similar to a
+#: shorter title has less than twice as many characters.
 SHORT = 12
 
 
@@ -38,15 +39,15 @@ def best_beyond(n: Column, d: Column, least: float, measure: str) -> Column:
     return 1 - (d + 1) / (n + d + 1) if measure == "levenshtein" else 1 - (d + 1) / (n * 2 / F.lit(least))
 
 
-def _places(text: Column, sizes: tuple[int, ...]) -> Column:
-    """(q, at, gram) of all grams of a text, sizes and places ascending."""
+def _places(text: Column, sizes: tuple[int, ...], short: int = SHORT) -> Column:
+    """(q, at, gram) of all grams of a text, sizes and places ascending; single characters of texts below `short` only."""
     n = F.length(text)
 
     def of(q: int) -> Column:
         return F.transform(F.sequence(F.lit(0), n - q), lambda at: F.struct(F.lit(q).alias("q"), at.alias("at"), F.substr(text, at + 1, F.lit(q)).alias("gram")))
 
     none = F.array().cast("array<struct<q:int,at:int,gram:string>>")
-    return F.flatten(F.array(*[F.when((n >= q) & ((n < SHORT) | F.lit(q > 1)), of(q)).otherwise(none) for q in sizes]))
+    return F.flatten(F.array(*[F.when((n >= q) & ((n < short) | F.lit(q > 1)), of(q)).otherwise(none) for q in sizes]))
 
 
 def cheapest(counts: np.ndarray, size: int, wanted: int) -> tuple[float, list[int]]:
@@ -100,7 +101,7 @@ def candidate_pairs(open_: DataFrame, held: DataFrame) -> DataFrame:
     size = F.get("chosen", F.lit(0))
     probes = chosen.select("a_id", "a", "n", "d", size.alias("q"), F.explode(F.slice("chosen", 2, F.size("chosen"))).alias("place"))
     probes = probes.select("a_id", "n", "d", "q", "place", F.substr("a", F.col("place") + 1, F.col("q")).alias("gram"))
-    index = held.select("b_id", F.length("b").alias("m"), F.explode(_places(F.col("b"), sizes)).alias("g")).select("b_id", "m", "g.q", "g.at", "g.gram")
+    index = held.select("b_id", F.length("b").alias("m"), F.explode(_places(F.col("b"), sizes, 2 * SHORT)).alias("g")).select("b_id", "m", "g.q", "g.at", "g.gram")
     near = (F.abs(F.col("at") - F.col("place")) <= F.col("d")) & (F.abs(F.col("m") - F.col("n")) <= F.col("d"))
     return probes.join(index, ["q", "gram"]).where(near).select("a_id", "b_id").distinct()
 
@@ -116,7 +117,7 @@ def most_similar(wanted: DataFrame, titles: DataFrame, least: float, measure: st
     few = titles.withColumn("nth", nth).where("nth <= 2").select("b", "match")
     held = materialise(titles.select("b").distinct().select(F.monotonically_increasing_id().alias("b_id"), "b"))
     asked = materialise(wanted.select("a").distinct().select(F.monotonically_increasing_id().alias("a_id"), "a", F.length("a").alias("n")))
-    counts = held.select(F.explode(_places(F.col("b"), GRAM_SIZES)).alias("g")).groupBy("g.q", "g.gram").agg(F.count("*").alias("count"))
+    counts = held.select(F.explode(_places(F.col("b"), GRAM_SIZES, 2 * SHORT)).alias("g")).groupBy("g.q", "g.gram").agg(F.count("*").alias("count"))
     own = asked.select("a_id", "a", "n", F.explode(_places(F.col("a"), GRAM_SIZES)).alias("g")).select("a_id", "a", "n", "g.*")
     counted = own.join(counts, ["q", "gram"], "left").groupBy("a_id", "a", "n").agg(F.array_sort(F.collect_list(F.struct("q", "at", F.coalesce("count", F.lit(0)).alias("count")))).alias("x"))
     counted = materialise(counted.select("a_id", "a", "n", edit_bound(F.col("n"), least, measure).alias("most"), F.transform("x", lambda x: x["count"]).alias("counts")))

@@ -1,12 +1,14 @@
 """Graphs small enough to work out by hand."""
 
 import collections
+import itertools
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
-from lumenfold.operators import citation, cooccurrence, graph
+from lumenfold.operators import citation, cooccurrence, fuzzy, graph
 from lumenfold.operators.components import components
 
 
@@ -188,3 +190,26 @@ def test_fuzzy_titles_lose_nothing(spark, measure):
         if best:
             expected[i] = (best[0], round(best[1], 6))
     assert found == expected
+
+
+def test_fuzzy_candidates_stay_few(spark):
+    """Titles that share nearly all of their text: the shared part is no key."""
+    titles = [f"text of documents {i}" for i in range(1000, 3000)]
+    held = spark.createDataFrame(list(enumerate(titles)), "b_id long, b string")
+    asked = [f"text of document {i}" for i in range(1000, 3000, 40)]
+    counts = collections.Counter(g for t in titles for q in fuzzy.GRAM_SIZES for g in [t[i : i + q] for i in range(len(t) - q + 1)])
+    rows = [(k, a, len(a), 1, [counts[a[i : i + q]] for q in fuzzy.GRAM_SIZES if q > 1 for i in range(len(a) - q + 1)]) for k, a in enumerate(asked)]
+    open_ = spark.createDataFrame(rows, "a_id long, a string, n int, d int, counts array<long>")
+    found = {(r["a_id"], r["b_id"]) for r in fuzzy.candidate_pairs(open_, held).collect()}
+    matches = {(k, i) for k, a in enumerate(asked) for i, t in enumerate(titles) if edits(a, t) <= 1}
+    assert matches <= found
+    assert len(found) <= 20 * len(matches) + len(titles)
+    assert len(found) < 0.05 * len(asked) * len(titles)
+
+
+def test_probes_grow_with_the_edits_only():
+    for n in (40, 80, 150):
+        total, places = fuzzy.cheapest(np.arange(n - 2) % 17, 3, n // 8)
+        assert len(places) == n // 8 and all(b - a >= 3 for a, b in itertools.pairwise(places))
+    assert fuzzy.cheapest(np.array([9, 1, 9, 9, 0, 9]), 2, 2) == (1.0, [1, 4])
+    assert fuzzy.cheapest(np.array([5, 0, 5]), 2, 2) == (10.0, [0, 2])
