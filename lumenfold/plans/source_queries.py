@@ -6,6 +6,7 @@ import io
 import uuid
 import zipfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as X
@@ -15,9 +16,10 @@ from lumenfold.plans.graph_queries import PARTS_SQL, parts
 from lumenfold.plans.search_queries import LISTS, lists
 from lumenfold.plans.text_queries import _chunks_sql
 from lumenfold.sources import files
+from lumenfold.sources.buckets import BucketedIndex
 from lumenfold.sources.store import Store, export_documents, export_graph, graphml, read_graphml
-from lumenfold.storage import scratch
-from lumenfold.streaming import updates
+from lumenfold.storage import materialise, scratch
+from lumenfold.streaming import answers, updates
 
 
 def docs(spark, sf_dir):
@@ -257,6 +259,21 @@ def r7(spark, sf_dir):
     return store.read("state").select("document_id", "content_hash")
 
 
+@query("r7_bucketed_stream", """WITH n AS (SELECT doc_id AS document_id, text || CASE WHEN doc_id % 3 = 0 THEN ' again' ELSE '' END AS text FROM documents WHERE doc_id IS NOT NULL)
+SELECT document_id, substr(sha256(text), 1, 16) AS content_hash, length(text)::BIGINT AS n_chars FROM n""")
+def r7b(spark, sf_dir):
+    """Documents arrive in two rounds of files, the second changing a third of them; the state and the units' characters."""
+    folder = scratch(spark)
+    rows = docs(spark, sf_dir).where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("document_id"), "text")
+    index = BucketedIndex(spark, f"{folder}/index", 32, lambda d: d.select(F.col("document_id").cast("string").alias("id"), "document_id", "text"))
+    rows.write.parquet(f"{folder}/in")
+    updates.follow_buckets(spark, f"{folder}/in", "document_id long, text string", index, f"{folder}/checkpoint").awaitTermination()
+    rows.where("document_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" again"))).write.mode("append").parquet(f"{folder}/in")
+    updates.follow_buckets(spark, f"{folder}/in", "document_id long, text string", index, f"{folder}/checkpoint").awaitTermination()
+    units = index.read("units").groupBy("document_id").agg(F.sum(F.length("text")).alias("n_chars"))
+    return index.read("state").join(units, "document_id").select("document_id", "content_hash", "n_chars")
+
+
 @query("r2_stream_merge", LISTS + "SELECT id, max(score)::DOUBLE AS score FROM lists GROUP BY id ORDER BY score DESC, id LIMIT 10")
 def r2(spark, sf_dir):
     from lumenfold.operators.fusion import stream_merge
@@ -275,6 +292,72 @@ def r5(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(X.tokens(F.col("text"))).alias("pos", "word"))
 
 
+ENGINES, BEST = 5, 5
+ANSWERS = f"""WITH a AS (SELECT user_id AS question, event_type AS engine, event_id AS id, value AS score, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1 AS done FROM events WHERE user_id IS NOT NULL),
+f AS (SELECT question, engine, row_number() OVER (PARTITION BY question ORDER BY ts, engine) AS place FROM a WHERE done),
+t AS (SELECT * FROM (SELECT question, id, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS rank FROM a) WHERE rank <= {BEST}),
+q AS (SELECT question, count(*) FILTER (WHERE done) AS m FROM a GROUP BY 1),
+b AS (SELECT question, m, m + (m < {ENGINES})::INT AS base, (SELECT count(*) FROM t WHERE t.question = q.question) AS n FROM q),
+p AS (SELECT question, 0 AS seq, 'start' AS kind, '' AS content, NULL AS id, NULL AS score FROM b
+UNION ALL SELECT question, place, 'progress', engine || ' ' || place || '/{ENGINES}', NULL, NULL FROM f
+UNION ALL SELECT question, base, 'error', 'timeout ' || m || '/{ENGINES}', NULL, NULL FROM b WHERE m < {ENGINES}
+UNION ALL SELECT question, base + rank, 'result', rank::VARCHAR, id, score FROM t JOIN b USING (question)
+UNION ALL SELECT question, base + n + 1, 'complete', n::VARCHAR, NULL, NULL FROM b
+UNION ALL SELECT question, base + n + 1 + rank, 'text', id || '[' || rank || ']', NULL, NULL FROM t JOIN b USING (question)
+UNION ALL SELECT question, base + 2 * n + 2, 'end', '', NULL, NULL FROM b) """
+
+
+def arrivals(spark, sf_dir):
+    """Events as what engines find: a user's question, answered by an engine a kind of event, done with its last one."""
+    events = table(spark, sf_dir, "events").where("user_id IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))) == 1
+    return events.select(F.col("user_id").alias("question"), F.col("event_type").alias("engine"), F.col("event_id").alias("id"), F.col("value").alias("score"), last.alias("done"), "ts")
+
+
+def streamed_answers(spark, sf_dir):
+    folder = scratch(spark)
+    rows = materialise(arrivals(spark, sf_dir))
+    cuts = rows.agg(F.percentile_approx("ts", [0.33, 0.66]).alias("at")).first()["at"]
+    parts = [F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]]
+    for part in parts:
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    closing = rows.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("question"), F.lit("").alias("engine"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("done"), (F.col("ts") + F.expr("INTERVAL 3000 days")).alias("ts"))
+    closing.write.mode("append").parquet(f"{folder}/in")
+    answers.follow_engines(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", ENGINES, BEST, "1000 days").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").where("question >= 0")
+
+
+@query("r1_engine_answers", ANSWERS + "SELECT question, seq::INT AS seq, kind, content, id::BIGINT AS id, score::DOUBLE AS score FROM p")
+def r1e(spark, sf_dir):
+    """Three micro-batches and one that lets every question's time run out."""
+    return streamed_answers(spark, sf_dir)
+
+
+@query("r2_engine_answers_batch", ANSWERS + "SELECT question, seq::INT AS seq, kind, content, id::BIGINT AS id, score::DOUBLE AS score FROM p")
+def r2b(spark, sf_dir):
+    return answers.merged_answers(arrivals(spark, sf_dir), ENGINES, BEST)
+
+
+@query("r5_collected_answers", ANSWERS + "SELECT question, coalesce(string_agg(content, ' ' ORDER BY seq) FILTER (WHERE kind = 'text'), '') AS answer, arg_max(kind, seq) AS status FROM p GROUP BY question")
+def r5c(spark, sf_dir):
+    return answers.collected(answers.merged_answers(arrivals(spark, sf_dir), ENGINES, BEST))
+
+
+@query("r3_token_stream", r"""WITH RECURSIVE w AS (SELECT conv_id * 10000 + turn AS answer_id, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS t FROM conversations WHERE text IS NOT NULL),
+r AS (SELECT answer_id, t, 0 AS i, '' AS held, 0 AS flush, NULL::VARCHAR AS chunk FROM w
+UNION ALL SELECT answer_id, t, i + 1, CASE WHEN full_ THEN '' ELSE text END, flush + full_::INT, CASE WHEN full_ THEN text END FROM (SELECT *, held || t[i + 1] AS text, length(held || t[i + 1]) >= 10 OR i + 1 = len(t) AS full_ FROM r WHERE i < len(t)))
+SELECT answer_id, (flush - 1)::INT AS flush, chunk FROM r WHERE chunk IS NOT NULL""")
+def r3s(spark, sf_dir):
+    """Tokens of all turns in three micro-batches, those of every third place coming last."""
+    folder = scratch(spark)
+    words = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 10000 + F.col("turn")).alias("answer_id"), X.tokens(F.col("text")).alias("t"))
+    tokens = words.select("answer_id", F.size("t").alias("n"), F.posexplode("t").alias("pos", "token")).select("answer_id", "pos", "token", (F.col("pos") == F.col("n") - 1).alias("last"))
+    for part in ("pos % 3 = 0 AND pos < 60", "pos % 3 = 1 AND pos < 60", "pos % 3 = 2 OR pos >= 60"):
+        tokens.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    answers.follow_tokens(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query("r6_completion_order", "SELECT event_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id))::INT AS nth FROM events")
 def r6(spark, sf_dir):
     return updates.first_answers(table(spark, sf_dir, "events"), "event_type", "event_id").select("event_id", "nth")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lumenfold.functions.text import content_hash
 from lumenfold.operators import incremental
 from lumenfold.operators.chunking import token_chunks
+from lumenfold.sources.buckets import BucketedIndex
 from lumenfold.sources.store import Store
 from lumenfold.storage import materialise
 
@@ -43,6 +45,16 @@ def follow(spark: SparkSession, source: str, schema: str, store: Store, checkpoi
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def follow_buckets(spark: SparkSession, source: str, schema: str, index: BucketedIndex, checkpoint: str, files_a_batch: int = 100) -> StreamingQuery:
+    """Feed Parquet files of (document_id, text) to a bucketed index. The last row of a document is that of the newest file,
+    then of the later path, then of the later row in it. (R7)"""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+    version = F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("version")
+    stream = stream.select("document_id", "text", version)
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    return stream.writeStream.foreachBatch(lambda rows, batch: index.update(rows, batch=(name, batch)) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_usage(events: DataFrame, width: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """(start, event_type, n, total) of event-time windows; works on batches and, with the watermark, on streams."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
