@@ -116,27 +116,69 @@ def gather(rows: DataFrame, query: str, threshold: float = 0.3, budget: int = 20
     return found
 
 
-def similar_claims(found: DataFrame, least: float = 0.85, key: str = "claim_id", body: str = "claim") -> DataFrame:
-    """(kept, dropped): pairs of claims whose words are similar, the earlier one first. Pairs meet on a word, so nothing is
-    lost and no cross join is made. (V25)"""
-    words = found.select(key, F.array_distinct(F.split(F.lower(F.trim(body)), r"\s+")).alias("w"))
-    # a claim of n words shares at least least * n of them with a similar one, so its rarest n - ceil(least * n) + 1 do
-    df = words.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    rare = words.select(key, F.size("w").alias("n"), F.explode("w").alias("t")).join(df, "t")
-    prefix = rare.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("df", "t"))).where(F.col("nth") <= F.col("n") - F.ceil(least * F.col("n")) + 1)
-    a, b = prefix.select(F.col(key).alias("kept"), "t"), prefix.select(F.col(key).alias("dropped"), "t")
-    pairs = a.join(b, "t").where("kept < dropped").select("kept", "dropped").distinct()
-    both = pairs.join(words.select(F.col(key).alias("kept"), F.col("w").alias("x")), "kept").join(words.select(F.col(key).alias("dropped"), F.col("w").alias("y")), "dropped")
+def _worded(found: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, w, n): the distinct words of each claim, in order, and their number."""
+    words = F.array_sort(F.array_distinct(F.split(F.lower(F.trim(body)), r"\s+")))
+    return found.select(key, words.alias("w")).withColumn("n", F.size("w"))
+
+
+def _similar_pairs(worded: DataFrame, least: float, key: str) -> DataFrame:
+    """(kept, dropped): pairs of word sets (key, w, n) as similar as `least`, the smaller key first.
+
+    A claim of n words shares at least least * n of them with a similar one, so its rarest n - ceil(least * n) + 1 hold one of
+    them; pairs meet on such a word, and only where their sizes allow it. Word sets join the pairs once they are few."""
+    df = worded.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    placed = worded.select(key, "n", F.explode("w").alias("t")).join(df, "t")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("df", "t"))
+    prefix = placed.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(least * F.col("n")) + 1)
+    a, b = prefix.select(F.col(key).alias("kept"), "t", F.col("n").alias("n_kept")), prefix.select(F.col(key).alias("dropped"), "t", F.col("n").alias("n_dropped"))
+    sized = F.least("n_kept", "n_dropped") >= least * F.greatest("n_kept", "n_dropped")
+    pairs = a.join(b, "t").where((F.col("kept") < F.col("dropped")) & sized).select("kept", "dropped").distinct()
+    both = pairs.join(worded.select(F.col(key).alias("kept"), F.col("w").alias("x")), "kept").join(worded.select(F.col(key).alias("dropped"), F.col("w").alias("y")), "dropped")
     return both.where(jaccard(F.col("x"), F.col("y")) >= least).select("kept", "dropped")
 
 
+def similar_claims(found: DataFrame, least: float = 0.85, key: str = "claim_id", body: str = "claim") -> DataFrame:
+    """(kept, dropped): all pairs of claims whose words are similar, the earlier one first. Pairs meet on a word, so nothing is
+    lost and no cross join is made. `first_claims` has a row a claim where pairs would be too many. (V25)"""
+    return _similar_pairs(_worded(found, key, body), least, key)
+
+
+def first_claims(found: DataFrame, least: float = 0.85) -> DataFrame:
+    """(claim_id, kept, into): whether a claim stays when claims are gone through in order and each that is similar to one that
+    stayed is dropped, and the earliest such one. found: (claim_id, claim); a null claim or id is passed over. (V25)
+
+    Claims of the same words are one class under the earliest of them. Among classes the sequential result is found in
+    rounds: a class stays once every earlier one that it is similar to is dropped, and is dropped once one of them stays.
+    A round decides at least the first open class of every connected group, in practice nearly all."""
+    worded = _worded(found.where("claim IS NOT NULL AND claim_id IS NOT NULL").dropDuplicates(["claim_id"]), "claim_id", "claim")
+    worded = materialise(worded.withColumn("words", F.sha2(F.array_join("w", " "), 256)))
+    firsts = worded.groupBy("words").agg(F.min("claim_id").alias("first"))
+    member = materialise(worded.select("claim_id", "words").join(firsts, "words").select("claim_id", "first"))
+    classes = worded.join(member.where("claim_id = first").select("claim_id"), "claim_id", "left_semi").select("claim_id", "w", "n")
+    pairs = materialise(_similar_pairs(classes, least, "claim_id"))
+    open_ = materialise(classes.select("claim_id"))
+    stays, left = open_.join(pairs.select(F.col("dropped").alias("claim_id")).distinct(), "claim_id", "left_anti"), pairs
+    open_ = open_.join(pairs.select(F.col("dropped").alias("claim_id")).distinct(), "claim_id", "left_semi")
+    decided = materialise(stays.select("claim_id", F.lit(True).alias("kept")))
+    while not left.isEmpty():
+        told = left.join(decided.select(F.col("claim_id").alias("kept"), F.col("kept").alias("stays")), "kept", "left")
+        state = told.groupBy("dropped").agg(F.bool_or(F.coalesce("stays", F.lit(False))).alias("hit"), F.bool_and(F.coalesce(~F.col("stays"), F.lit(False))).alias("free"))
+        new = state.where("hit OR free").select(F.col("dropped").alias("claim_id"), (~F.col("hit")).alias("kept"))
+        decided = materialise(decided.unionByName(new))
+        left = materialise(left.join(decided.select(F.col("claim_id").alias("dropped")), "dropped", "left_anti"))
+    hit = pairs.join(decided.where("kept").select(F.col("claim_id").alias("kept")), "kept", "left_semi").groupBy("dropped").agg(F.min("kept").alias("into"))
+    named = decided.join(hit, F.col("claim_id") == F.col("dropped"), "left").select(F.col("claim_id").alias("first"), "kept", F.when(~F.col("kept"), F.col("into")).alias("into"))
+    all_ = member.join(named, "first")
+    own = F.col("claim_id") == F.col("first")
+    return all_.select("claim_id", (F.col("kept") & own).alias("kept"), F.when(own, F.col("into")).otherwise(F.coalesce("into", "first")).alias("into"))
+
+
 def merged_claims(found: DataFrame, least: float = 0.85) -> DataFrame:
-    """(claim, sources) of each group of similar claims, by its first claim; groups are connected through similar pairs.
+    """(claim, sources) of each claim that stays in order, with the sources of those that were dropped for it.
     found: (claim_id, claim, source). (V25)"""
-    from lumenfold.operators.components import components
-
-    group = components(similar_claims(found, least), "kept", "dropped")
-    named = found.join(group, found.claim_id == group.node, "left").withColumn("first", F.coalesce("component", "claim_id"))
+    at = first_claims(found, least)
+    named = found.join(at, "claim_id").withColumn("first", F.coalesce("into", "claim_id"))
     return named.groupBy("first").agg(F.min_by("claim", "claim_id").alias("claim"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")).select("claim", "sources")
 
 

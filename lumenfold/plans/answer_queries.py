@@ -201,6 +201,11 @@ def v25(spark, sf_dir):
     return lazy.similar_claims(claim_rows(spark, sf_dir))
 
 
+@query("v25_first_claims")
+def v25f(spark, sf_dir):
+    return lazy.first_claims(claim_rows(spark, sf_dir))
+
+
 @query("v25_merged_claims")
 def v25m(spark, sf_dir):
     return lazy.merged_claims(claim_rows(spark, sf_dir))
