@@ -1,9 +1,9 @@
 """Language of a text: a bidirectional gated recurrent network over its bytes.
 
 The network reads bytes in both directions, labels every position, and a document's probabilities are the mean over
-its positions. It is trained here, in numpy, by backpropagation through time, on windows of a bounded sample of
-labelled rows (SAMPLE_ROWS rows in the order of a hash of their id, one window of SAMPLE_BYTES bytes from each at a
-hashed place). Prediction reads every byte of every text, in windows of WINDOW bytes that are run side by side.
+its positions. It is trained here, in numpy, by backpropagation through time, on every byte of a bounded sample of
+labelled rows (SAMPLE_ROWS rows in the order of a hash). Prediction reads every byte of every text, in windows of WINDOW
+bytes that are run side by side.
 
 Defined results: `und` with score 0 for a text that is null or has no letter; a null lang is not learned from; a null
 doc_id counts as not held out and is not learned from; equal rows give equal results; with nothing to learn from,
@@ -24,8 +24,7 @@ from lumenfold.llm.sampling import hashed_sample
 
 HIDDEN = 12
 WINDOW = 128
-SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 256
+SAMPLE_ROWS = 256
 EPOCHS = 6
 BATCH = 64
 RATE = 0.01
@@ -233,13 +232,11 @@ def remainder(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, bytes]]:
-    """At most SAMPLE_ROWS rows reach the driver, each with SAMPLE_BYTES bytes."""
-    raw = F.col("text").cast("binary")
-    place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.greatest(F.length(raw) - SAMPLE_BYTES, F.lit(1))).cast("int")
+    """At most SAMPLE_ROWS rows reach the driver, with their whole texts."""
     rows = docs.where((remainder(F.col("doc_id")) != 2) & F.col("lang").isNotNull())
     total = rows.count()
-    pieces = rows.where(F.length("text") > 0).select("doc_id", "lang", F.substring(raw, place + 1, F.lit(SAMPLE_BYTES)).alias("piece"))
-    return [(r["lang"], bytes(r["piece"])) for r in hashed_sample(pieces, SAMPLE_ROWS, "doc_id", "lang", "piece", total=total).collect()]
+    whole = rows.where(F.length("text") > 0).select("doc_id", "lang", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
+    return [(r["lang"], bytes(r["text"])) for r in hashed_sample(whole, SAMPLE_ROWS, "doc_id", "lang", "hash", total=total).collect()]
 
 
 def label_documents(docs: DataFrame, net: Network | None) -> DataFrame:
