@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_passing: contextvars.ContextVar[list[tuple[SparkSession, str]] | None] = contextvars.ContextVar("passing", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,34 +32,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 def drop_table(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        fs, target = _located(spark, path)
+        folder = target.getParent() if target.getName() == _INSIDE else target
+        fs.delete(folder, True)
+        fs.cancelDeleteOnExit(folder)
 
 
-@atexit.register
-def _drop_all() -> None:
-    for spark, path in _written:
-        drop_table(spark, path)
+def _located(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+#: A table's folder is made, and marked to go, before Spark writes into it.
+_INSIDE = "rows"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The path of a new folder that all executors share; it goes when the session's process ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    """The path of a new folder that all executors share. It goes when the driver's process ends, stopped sessions or
+    not, or with the `passing_tables` it is made in."""
+    fs, folder = _located(spark, f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}")
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    path = f"{folder.toString()}/{_INSIDE}"
+    passing = _passing.get()
+    if passing is not None:
+        passing.append((spark, path))
     return path
 
 
 @contextlib.contextmanager
 def passing_tables() -> Iterator[None]:
-    """Tables that are materialised inside go when it ends, so what is computed from them must have been written by then."""
-    before = len(_written)
+    """Tables that this thread materialises inside go when it ends, so what is computed from them must have been written
+    by then. Other threads' tables stay."""
+    mine: list[tuple[SparkSession, str]] = []
+    token = _passing.set(mine)
     try:
         yield
     finally:
-        for spark, path in _written[before:]:
+        _passing.reset(token)
+        for spark, path in mine:
             drop_table(spark, path)
-        del _written[before:]
 
 
 def materialise(df: DataFrame) -> DataFrame:
