@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as X
-from lumenfold.operators import fusion, incremental, lazy, lexical, merging, metrics, retrieval, routing
+from lumenfold.operators import fusion, incremental, lazy, lexical, merging, metrics, questions, retrieval, routing
 from lumenfold.plans.catalog import query, table
 from lumenfold.plans.graph_queries import PAIRS, cooccurrence, phrase_edges, placed
 from lumenfold.plans.search_queries import DWORDS
@@ -163,6 +164,30 @@ def v21(spark, sf_dir):
     return lazy.search(queue, QUESTION, enough=40)
 
 
+def many_questions(spark, sf_dir):
+    """Every conversation's first question over all documents, with sources as communities: reported by their first document,
+    with their ten first as members."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
+    asked = turns.groupBy(F.col("conv_id").alias("question_id")).agg(F.min_by("text", "turn").alias("question"))
+    d = docs(spark, sf_dir).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    chunks = d.select(F.col("doc_id").alias("id"), "text")
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    first = d.where("source IS NOT NULL").withColumn("nth", nth).where("nth <= 10")
+    heads = first.where("nth = 1").select("source", F.col("doc_id").alias("community"), "text")
+    members = heads.select("source", "community").join(first.select("source", F.col("doc_id").alias("chunk")), "source").select("community", "chunk")
+    return questions.search_all(asked, chunks, heads.select(F.col("community").alias("id"), "text"), members, enough=6)
+
+
+@query("v21_many_questions")
+def v21m(spark, sf_dir):
+    return many_questions(spark, sf_dir)[0]
+
+
+@query("v21_question_states")
+def v21s(spark, sf_dir):
+    return many_questions(spark, sf_dir)[1]
+
+
 @query("v23_lazy_gather")
 def v23(spark, sf_dir):
     rows = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), "text")
