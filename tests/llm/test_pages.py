@@ -129,7 +129,9 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
 
 
-def test_many_rules_against_plain_version(spark):
+@pytest.mark.parametrize("inline", [op10_urls.INLINE_RULES, 0])
+def test_many_rules_against_plain_version(spark, monkeypatch, inline):
+    monkeypatch.setattr(op10_urls, "INLINE_RULES", inline)
     rng = random.Random(0)
     name = lambda: rng.choice(["a", "bb", "net", "org", "x1"])
     pairs = list({(f"{name()}.{name()}", f"/{name()}/", rng.choice(["block", "allow"])) for _ in range(12)})
@@ -142,6 +144,24 @@ def test_many_rules_against_plain_version(spark):
         assert found[i] == max(fits, key=lambda x: (len(x), x), default=None)
 
 
+@pytest.mark.parametrize("inline", [op10_urls.INLINE_RULES, 0])
+def test_awkward_urls(spark, monkeypatch, inline):
+    """Repeated rows, null ids, very long urls and columns with the operator's own names; alike however rules are held."""
+    monkeypatch.setattr(op10_urls, "INLINE_RULES", inline)
+    long = "http://a.net/" + "x/" * 200_000 + "casino/"
+    rows = [(1, "http://a.net/", "p", "q", "v"), (1, "http://a.net/", "p", "q", "v"), (None, None, None, None, None), (None, long, "p", "q", "v"), (2, "http://b.com/casino/?http://c.net/", "p", "q", "v"), (3, "", "p", "q", "v")]
+    found = op10_urls.judge(spark.createDataFrame(rows, "page_id long, url string, path string, place string, verdict string")).collect()
+    told = sorted(((r["page_id"] or 0, len(r["path"]), r["rule"] or "", r["verdict"]) for r in found))
+    assert told == [(0, 0, "", "allow"), (0, 400_008, "net/", "block"), (1, 1, "net/", "block"), (1, 1, "net/", "block"), (2, 8, "", "block"), (3, 0, "", "allow")]
+
+
+def test_twenty_thousand_rules_and_more(spark):
+    pairs = [(f"h{i}.example", "/", "block") for i in range(25_000)]
+    urls = [(i, f"http://www.h{i}.example/x") for i in range(24_990, 25_010)]
+    found = {r["page_id"]: r["verdict"] for r in op10_urls.judge(spark.createDataFrame(urls, "page_id long, url string"), pairs, ()).collect()}
+    assert found == {i: "block" if i < 25_000 else "allow" for i, _ in urls}
+
+
 def test_rules_need_a_token():
     with pytest.raises(ValueError):
         op10_urls.compile_rules((), ("spam*",))
