@@ -10,7 +10,8 @@ do). Three things decide what stays:
    and are never deleted as templates, however often a site quotes them.
 2. Elements that never hold article text by their tag (FIXED sets below) go: scripts, styles, navigation, footers, side
    columns, forms, and headers of the page; and containers that name themselves so: every part of one word of their
-   class, id or role is an aside word (`cookie-notice`) or a neutral one (`main-nav`); `social-science` is not.
+   class, id or role, numbers aside, is an aside word (`cookie-notice`, `advert-1`), a neutral one (`main-nav`) or two such
+   written together (`cookiebar`); `social-science` is not.
 3. Where a page has `article` or `main` elements that hold text, and no less than a quarter of what stands outside, only what
    stands in them stays.
 
@@ -53,7 +54,9 @@ CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td
 CLOSE_LIMIT = frozenset("ul ol dl table menu dir div section article main body".split())
 CELLS = frozenset("li dt dd td th tr tbody thead tfoot caption br".split())
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login menu menus modal nav navbar navigation newsletter notice notices pagination popup promo promos promoted related responses search share sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets".split())
-NEUTRAL_WORDS = frozenset("area bar block bottom box center column container content foot global head holder inner item items left link links list main outer page panel primary region right row secondary section site sticky strip text top wrap wrapper".split())
+NEUTRAL_WORDS = frozenset("area bar block bottom box center column container content foot global head holder inner item items left link links list main outer page panel primary region right row secondary section site slot sticky strip text thread top unit user users wrap wrapper zone".split())
+#: Neutral beside an aside word only, since articles have them as well.
+BESIDE_WORDS = frozenset("form list post reply replies".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<[!?][^>]*+(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -77,9 +80,19 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", place, maxsplit=1)[0].translate(_LOWER)
 
 
+def _known(part: str) -> list[str]:
+    """The listed words that a part of a name is made of: itself, or two of them written together."""
+    listed = ASIDE_WORDS | NEUTRAL_WORDS | BESIDE_WORDS
+    if part in listed:
+        return [part]
+    cuts = [[part[:k], part[k:]] for k in range(2, len(part) - 1) if part[:k] in listed and part[k:] in listed]
+    return cuts[0] if cuts else []
+
+
 def _aside_name(name: str) -> bool:
-    parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
-    return any(p in ASIDE_WORDS for p in parts) and all(p in ASIDE_WORDS or p in NEUTRAL_WORDS for p in parts)
+    """Numbers aside, whether a name is made of aside words and neutral ones, one aside word at least."""
+    parts = [_known(p) for p in re.split(r"[^a-z]+", name) if p]
+    return all(parts) and any(w in ASIDE_WORDS for words in parts for w in words)
 
 
 def _judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:

@@ -36,6 +36,9 @@ def text_of(page):
         ("<article><section class='search-theory'>a</section><p id='comment'>b</p><div class='comments'>c</div></article>", "a b"),
         ("<article><p>teaser</p></article><p>the long text of the page stands outside of it</p>", "teaser the long text of the page stands outside of it"),
         ("<b><i>x</b></i><p>y</i>z</p></table>w", "x yz w"),
+        ('<article><p>a</p><div class="ad-slot">Buy</div><div class="user-comments">lol</div><section id="comment-thread">first!</section><p>b</p></article>', "a b"),
+        ('<article><p>a</p><div class="advert-1">x</div><div id="cookiebar">x</div><div class="comment-42">x</div><div class="newsletter-signup-form">x</div><p>b</p></article>', "a b"),
+        ('<article><div class="adaptation">a</div><div class="commentary-3">b</div><div class="post">c</div><div class="2024">d</div></article>', "a b c d"),
     ],
 )
 def test_reading(page, text):
