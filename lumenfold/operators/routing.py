@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,9 +68,16 @@ def parameters(mode: Column, kind: Column) -> Column:
     )
 
 
-def route(queries: DataFrame, level: int = 1, minimal: bool = False, preference: str | None = None) -> DataFrame:
-    """queries (…, query) with type, confidence, mode and parameters; a preference other than `auto` decides alone."""
+def route(queries: DataFrame, level: int = 1, minimal: bool = False, preference: str | None = None, override: Callable[[Column], Column] | None = None, unsure: float = 0.65) -> DataFrame:
+    """queries (…, query) with type, confidence, mode and parameters; a preference other than `auto` decides alone.
+
+    `override`, a model's say in the form of struct<type, confidence> of the query, replaces the rules' type where they are
+    less sure than `unsure` and the model gives a type and is surer. (seam)"""
     typed = queries.withColumn("c", classify(F.col("query"))).select(*queries.columns, F.col("c.type").alias("query_type"), F.col("c.confidence").alias("confidence"))
+    if override:
+        told = typed.withColumn("c", override(F.col("query")))
+        taken = F.coalesce((F.col("confidence") < unsure) & F.col("c.type").isin(*MODES) & (F.col("c.confidence") > F.col("confidence")), F.lit(False))
+        typed = told.select(*queries.columns, F.when(taken, F.col("c.type")).otherwise(F.col("query_type")).alias("query_type"), F.when(taken, F.col("c.confidence")).otherwise(F.col("confidence")).alias("confidence"))
     if preference and preference != "auto":
         moded = typed.withColumn("mode", F.lit(preference)).withColumn("confidence", F.lit(1.0))
     else:

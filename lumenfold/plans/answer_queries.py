@@ -292,9 +292,13 @@ def v31(spark, sf_dir):
     return lazy.last_user_turns(table(spark, sf_dir, "conversations"), 2).select("conv_id", "turn", "nth")
 
 
-@query("v32_expansion", "SELECT 'one' AS subquery UNION ALL SELECT 'two'")
+@query("v32_expansion", r"""WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+p AS (SELECT conv_id, turn, text AS subquery, -1 AS pos FROM u UNION ALL SELECT conv_id, turn, trim(unnest(string_split_regex(text, '[,.;?!]+|\band\b')), ' '), generate_subscripts(string_split_regex(text, '[,.;?!]+|\band\b'), 1) FROM u),
+k AS (SELECT conv_id, turn, subquery, min(pos) AS pos FROM p WHERE pos = -1 OR len(list_distinct(list_filter(string_split_regex(lower(subquery), '\s+'), lambda w: w <> ''))) >= 2 GROUP BY ALL)
+SELECT conv_id, turn, subquery FROM k QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) <= 5""")
 def v32(spark, sf_dir):
-    return spark.createDataFrame([(q,) for q in lazy.expanded("one two", ["one", " ", "two", "one"])], "subquery string")
+    turns = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
+    return turns.select("conv_id", "turn", F.explode(questions.subqueries(F.col("text"))).alias("subquery"))
 
 
 @query("w3_zero_runs", """WITH t AS (SELECT event_id, user_id, value > 50 AS hit FROM events), g AS (SELECT *, sum(hit::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM t)
@@ -423,7 +427,8 @@ def r8(spark, sf_dir):
 
 ROUTED = ["What is the main trend in graph retrieval?", "Survey of approaches", "How to implement attention?", "Compare BERT vs GPT", "difference between RAG and fine-tuning", "How many parameters does it have?", "Who first proposed it? the original paper", "benchmark ranking and leaderboard", "研究動向の概要", "手法の比較", "引用と先行研究", "ベンチマークの評価指標", "精度はいくつ", "tell me a story", "what is the accuracy of it", "95 accuracy", "where can I find it", "better or worse methods"]
 _LOOK = [(k, p) for k, ps in routing.PATTERNS.items() for p in ps if "(?!" not in p]
-_QUERIES_SQL = "q AS (SELECT i::BIGINT AS id, q AS query FROM (SELECT unnest(range(0, %d)) AS i, unnest([%s]) AS q))" % (len(ROUTED), ", ".join("'" + q.replace("'", "''") + "'" for q in ROUTED))
+_PHRASES = "[" + ", ".join("'" + q.replace("'", "''") + "'" for q in ROUTED) + "]"
+_QUERIES_SQL = f"q AS (SELECT conv_id * 10000 + turn AS id, {_PHRASES}[(conv_id * 31 + turn) % {len(ROUTED)} + 1] || ' ' || text AS query FROM conversations WHERE text IS NOT NULL)"
 _COUNTS = ", ".join(f"({' + '.join(f'regexp_matches(query, $r${p}$r$)::INT' for kk, p in _LOOK if kk == k)}{' + (regexp_matches(lower(query), $r$what\\s+is\\s+$r$) AND NOT regexp_matches(lower(query), $r$what\\s+is\\s+the\\s+(?:difference|accuracy)$r$))::INT' if k == 'exploration' else ''}) AS {k}" for k in routing.PATTERNS)
 _KINDS = list(routing.PATTERNS)
 ROUTE_SQL = f"""WITH {_QUERIES_SQL}, c AS (SELECT id, query, {_COUNTS} FROM q), g AS (SELECT *, greatest({', '.join(_KINDS)}) AS n FROM c),
@@ -431,37 +436,40 @@ ty AS (SELECT id, query, n, CASE WHEN n = 0 THEN 'unknown' {' '.join(f"WHEN {k}
 mo AS (SELECT *, CASE query_type WHEN 'survey' THEN 'graphrag' WHEN 'comparison' THEN 'hybrid' WHEN 'benchmark' THEN 'hybrid' WHEN 'factoid' THEN 'vector' ELSE 'lazy' END AS mode FROM ty)"""
 
 
-def routed(spark):
-    return spark.createDataFrame(list(enumerate(ROUTED)), "id long, query string")
+def routed(spark, sf_dir):
+    """The turns of all conversations as a log of queries, each opened by one of the phrases above."""
+    phrase = F.element_at(F.array(*map(F.lit, ROUTED)), ((F.col("conv_id") * 31 + F.col("turn")) % len(ROUTED) + 1).cast("int"))
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    return turns.select((F.col("conv_id") * 10000 + F.col("turn")).alias("id"), F.concat(phrase, F.lit(" "), "text").alias("query"))
 
 
 @query("o1_classify", ROUTE_SQL + " SELECT id, query_type, n::INT AS n, round(confidence, 6)::DOUBLE AS confidence FROM ty")
 def o1(spark, sf_dir):
     c = routing.classify(F.col("query"))
-    return routed(spark).select("id", c["type"].alias("query_type"), c["n"].alias("n"), F.round(c["confidence"], 6).alias("confidence"))
+    return routed(spark, sf_dir).select("id", c["type"].alias("query_type"), c["n"].alias("n"), F.round(c["confidence"], 6).alias("confidence"))
 
 
 @query("o2_mode", ROUTE_SQL + " SELECT id, mode, CASE WHEN mode IN ('graphrag', 'hybrid') THEN 'lazy' ELSE mode END AS minimal_mode FROM mo")
 def o2(spark, sf_dir):
     kind = routing.classify(F.col("query"))["type"]
-    return routed(spark).select("id", routing.mode_of(kind).alias("mode"), routing.mode_of(kind, F.lit(True)).alias("minimal_mode"))
+    return routed(spark, sf_dir).select("id", routing.mode_of(kind).alias("mode"), routing.mode_of(kind, F.lit(True)).alias("minimal_mode"))
 
 
 @query("o3_fallback", ROUTE_SQL + """ SELECT id, lv.level, CASE WHEN lv.level = 0 AND mode IN ('lazy', 'graphrag', 'hybrid') THEN 'vector' WHEN lv.level = 1 AND mode IN ('graphrag', 'hybrid') THEN 'lazy' WHEN lv.level = 2 AND mode = 'graphrag' THEN 'lazy' ELSE mode END AS mode FROM mo, (SELECT unnest(range(0, 5))::INT AS level) lv""")
 def o3(spark, sf_dir):
-    levels = routed(spark).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    levels = routed(spark, sf_dir).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(4))))
     return levels.select("id", "level", routing.fallback(routing.mode_of(routing.classify(F.col("query"))["type"]), F.col("level")).alias("mode"))
 
 
 @query("o4_parameters", ROUTE_SQL + """ SELECT id, CASE mode WHEN 'vector' THEN CASE WHEN query_type = 'factoid' THEN 5 ELSE 10 END END::INT AS top_k, CASE mode WHEN 'lazy' THEN CASE WHEN query_type = 'exploration' THEN 5 ELSE 3 END END::INT AS max_iterations,
  CASE mode WHEN 'graphrag' THEN CASE WHEN query_type = 'survey' THEN 2 ELSE 1 END END::INT AS community_level, CASE mode WHEN 'hybrid' THEN CASE WHEN query_type = 'benchmark' THEN 'vector,lazy,graphrag' ELSE 'vector,lazy' END END AS engines FROM mo""")
 def o4(spark, sf_dir):
-    return routing.route(routed(spark), 3).select("id", "top_k", "max_iterations", "community_level", "engines")
+    return routing.route(routed(spark, sf_dir), 3).select("id", "top_k", "max_iterations", "community_level", "engines")
 
 
 @query("o5_preference", ROUTE_SQL + " SELECT id, 'hybrid' AS mode, 1.0::DOUBLE AS confidence FROM q")
 def o5(spark, sf_dir):
-    return routing.route(routed(spark), preference="hybrid").select("id", "mode", "confidence")
+    return routing.route(routed(spark, sf_dir), preference="hybrid").select("id", "mode", "confidence")
 
 
 @query("o6_facade_mode", """SELECT conv_id, turn, CASE WHEN len(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) > 10 OR len(list_intersect(string_split_regex(lower(text), '\\s+'), ['why', 'how', 'explain', 'compare', 'difference', 'relationship'])) > 0 THEN 'lazy' ELSE 'vector' END AS mode FROM conversations""")
@@ -506,9 +514,12 @@ def ledger(spark, sf_dir):
     return table(spark, sf_dir, "events").select((F.col("user_id") % 5).cast("int").alias("level"), F.col("event_type").alias("operation"), F.floor("value").alias("tokens"), "ts", "event_id")
 
 
-@query("o10_budget_level", "SELECT * FROM (VALUES ('minimal', 1), ('standard', 2), ('premium', 3), ('unlimited', 4)) v(budget, level)")
+@query("o10_budget_level", "SELECT conv_id, ['minimal', 'standard', 'premium', 'unlimited'][conv_id % 4 + 1] AS budget, (conv_id % 4 + 1)::INT AS level FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)")
 def o10(spark, sf_dir):
-    return spark.createDataFrame([(b,) for b in routing.BUDGET_LEVELS], "budget string").select("budget", routing.level_of(F.col("budget")).alias("level"))
+    """Every conversation has a budget."""
+    budget = F.element_at(F.array(*map(F.lit, routing.BUDGET_LEVELS)), (F.col("conv_id") % 4 + 1).cast("int"))
+    asked = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").select("conv_id").distinct().withColumn("budget", budget)
+    return asked.withColumn("level", routing.level_of(F.col("budget")))
 
 
 @query("f13_allowed_levels", f"WITH {LEDGER} SELECT level, count(*) AS n FROM lg WHERE level <= 2 AND level IN (0, 2, 3) GROUP BY level")

@@ -176,3 +176,12 @@ def test_histories(spark):
     turns = spark.createDataFrame([(1, 0, "assistant", "hi"), (1, 1, "user", "q1"), (1, 2, "assistant", "a1"), (1, 3, "user", "q2")], "conv_id long, turn int, role string, text string")
     assert [(r["question"], r["answers"]) for r in lazy.qa_turns(turns).orderBy("qa").collect()] == [("q1", "a1"), ("q2", "")]
     assert lazy.expanded("q", []) == ["q"]
+
+
+def test_a_model_may_override_what_rules_are_unsure_of(spark):
+    rows = spark.createDataFrame([("tell me a story",), ("what is the accuracy of it",), ("compare a versus b, the difference",)], "query string")
+    say = lambda q: F.struct(F.when(q.contains("story"), "survey").when(q.contains("accuracy"), "nonsense").otherwise("factoid").alias("type"), F.lit(0.9).alias("confidence"))
+    found = [(r["query_type"], r["mode"], r["confidence"]) for r in routing.route(rows, 3, override=say).collect()]
+    plain = [(r["query_type"], r["mode"], r["confidence"]) for r in routing.route(rows, 3).collect()]
+    assert found[0] == ("survey", "graphrag", 0.9) and plain[0][0] == "unknown"
+    assert found[1:] == plain[1:]
