@@ -10,13 +10,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as X
+from lumenfold.operators import graph
 from lumenfold.operators.chunking import section_chunks, token_chunks
 from lumenfold.plans.catalog import query, table
-from lumenfold.plans.graph_queries import PARTS_SQL, parts
-from lumenfold.plans.search_queries import LISTS, lists
+from lumenfold.plans.graph_queries import FREQUENT, PARTS_SQL, parts
+from lumenfold.plans.search_queries import DOCUMENTS, LISTS, lists
 from lumenfold.plans.text_queries import _chunks_sql
 from lumenfold.sources import files
 from lumenfold.sources.buckets import BucketedIndex
+from lumenfold.sources.build import build_index, builders
 from lumenfold.sources.store import Store, export_documents, export_graph, graphml, read_graphml
 from lumenfold.storage import materialise, scratch
 from lumenfold.streaming import answers, updates
@@ -197,6 +199,37 @@ def s23(spark, sf_dir):
     return store.read("entities")
 
 
+def indexed(spark, sf_dir, target: int = 3):
+    store = Store(spark, scratch(spark))
+    rows = docs(spark, sf_dir).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("document_id"), "text", "lang", "source")
+    spread = lambda e: graph.label_propagation(e, 2).select(F.lit(1).alias("level"), "node", "community")
+    return store, build_index(store, rows, target, detect=spread)
+
+
+_UNIT_PHRASES = FREQUENT.replace(DOCUMENTS, f"SELECT chunk_id AS doc_id, chunk AS text FROM ({_chunks_sql(300, 100)})").replace("doc_id // 3 AS doc_id", "split_part(doc_id, '_', 1)::BIGINT AS doc_id")
+
+
+@query("s22_index_build", _UNIT_PHRASES + f""", n AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY pos, phrase) AS rn FROM o),
+prs AS (SELECT DISTINCT least(x.phrase, y.phrase) AS a, greatest(x.phrase, y.phrase) AS b FROM n x JOIN n y ON x.unit = y.unit AND y.rn > x.rn AND y.rn <= x.rn + 5 WHERE x.phrase <> y.phrase), c AS ({_chunks_sql(300, 100)})
+SELECT 'documents' AS name, count(*) AS n_rows FROM documents UNION ALL SELECT 'text_units', count(*) FROM c UNION ALL SELECT 'embeddings', count(*) FROM c UNION ALL SELECT 'nlp_features', count(*) FROM u
+UNION ALL SELECT 'noun_phrase_nodes', count(DISTINCT phrase) FROM o UNION ALL SELECT 'noun_phrase_edges', count(*) FROM prs""")
+def s22b(spark, sf_dir):
+    """Rows of the tables of levels 0 and 1 built from the documents; communities (by label propagation here) have no SQL twin."""
+    return indexed(spark, sf_dir, 1)[0].stats().where("name <> 'communities_l1'").select("name", "n_rows")
+
+
+@query("s23_index_entities", f"""WITH c AS ({_chunks_sql(300, 100)}), t AS (SELECT chunk_id, term FROM c, (SELECT unnest([{", ".join("'" + t + "'" for t in X.ACADEMIC_TERMS)}]) AS term) WHERE contains(lower(chunk), lower(term)))
+SELECT term AS name, count(*) AS n_units FROM t GROUP BY term""")
+def s23b(spark, sf_dir):
+    store = Store(spark, scratch(spark))
+    rows = docs(spark, sf_dir).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("document_id"), "text")
+    made = builders(rows)
+    store.build({0: made[0]}, 0)
+    for name, table_ in made[2](store).items():
+        store.write(name, table_)
+    return store.read("entities", ["name", "n_units"])
+
+
 @query("s24_graph_csv", f"WITH {PARTS_SQL} SELECT src, dst FROM e")
 def s24(spark, sf_dir):
     folder = scratch(spark)
@@ -236,14 +269,14 @@ def s27(spark, sf_dir):
     return cosine_top_k(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir, 5), 50)
 
 
-@query("o11_level_gate")
+@query("o11_level_gate", f"""WITH c AS ({_chunks_sql(300, 100)}), l AS (SELECT 0 AS level, 'text_units' AS name, count(*) AS n_rows FROM c UNION ALL SELECT 0, 'documents', count(*) FROM documents) SELECT level, name, n_rows FROM l""")
 def o11(spark, sf_dir):
-    store = Store(spark, scratch(spark))
-    d = docs(spark, sf_dir).select("doc_id", "lang")
-    raw = lambda s: {"documents": d, "text_units": d, "embeddings": d}
-    lazy = lambda s: {n: s.read("documents") for n in ("nlp_features", "noun_phrase_nodes", "noun_phrase_edges", "communities_l1")}
-    done = store.build({0: raw, 1: lazy}, 1)
-    return spark.createDataFrame([(k,) for k in done], "level int")
+    """Level 0 from the documents; a second build finds it there and does nothing."""
+    store, done = indexed(spark, sf_dir, 0)
+    again = build_index(store, docs(spark, sf_dir).limit(0), 0)
+    if done != [0] or again:
+        raise AssertionError(f"built {done}, then {again}")
+    return store.stats().where("name IN ('text_units', 'documents')").select(F.lit(0).alias("level"), "name", "n_rows")
 
 
 @query("r7_incremental_stream", "SELECT doc_id AS document_id, substr(sha256(text || CASE WHEN doc_id % 3 = 0 THEN ' again' ELSE '' END), 1, 16) AS content_hash FROM documents")
