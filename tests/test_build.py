@@ -6,9 +6,9 @@ from lumenfold.sources.build import build_index
 from lumenfold.sources.store import Store
 
 TEXTS = [
-    "Graph neural networks need transformer attention. Graph neural networks scale. Transformer attention helps graph neural networks.",
-    "Random forests beat deep learning on small tables. Deep learning needs data. Random forests need no data.",
-    "Graph neural networks and transformer attention again. Deep learning, random forests, graph neural networks.",
+    "Graph networks, transformer attention, graph networks, deep learning, transformer attention.",
+    "Random forests, decision trees. Random forests, small tables, decision trees, small tables.",
+    "Graph networks, transformer attention, deep learning; random forests, decision trees.",
 ]
 
 
@@ -21,9 +21,9 @@ def test_levels_in_steps(spark, tmp_path):
     assert build_index(store, documents, 3) == []
     assert store.count("text_units") == store.count("embeddings") == 3
     nodes = {r["phrase"]: r["frequency"] for r in store.read("noun_phrase_nodes").collect()}
-    assert nodes["graph neural networks"] >= 2
+    assert nodes["graph networks"] == 3
     ends = {n for r in store.read("noun_phrase_edges").collect() for n in (r["source"], r["target"])}
-    assert ends <= set(nodes)
+    assert ends and ends <= set(nodes)
     homes = {(r["level"], r["node"]) for r in store.read("communities_l1").collect()}
     assert {n for _, n in homes} == ends
     reports = store.read("community_reports").collect()
