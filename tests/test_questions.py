@@ -1,10 +1,11 @@
 """Lazy search for many questions against one question after the other in plain Python."""
 
+import hashlib
 import re
 from collections import Counter
 
 from lumenfold.operators import questions
-from lumenfold.plans import answer_queries
+from lumenfold.plans import answer_queries, registry
 from tests.twins import FOLDER
 
 SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
@@ -103,3 +104,53 @@ def test_questions_of_the_conversations(spark, monkeypatch):
     expected = plain(asked, chunks, communities, members, **given["k"])
     assert found[1] == expected[1]
     assert found[0] == expected[0]
+
+
+def normal(claim):
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", claim.lower().strip(" "))
+
+
+def part(q, t):
+    """The share of a question's words, as runs of letters, digits and underscores."""
+    of = lambda x: set(re.findall(r"\w+", x.lower()))
+    return len(of(q) & of(t)) / len(of(q))
+
+
+def test_search_of_one_question(spark):
+    """v21: batches of five by priority; the first of equal claims."""
+    docs = [(r["doc_id"], r["n_chars"], r["text"] or "") for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    queue, found = sorted(docs, key=lambda r: (-r[1], r[0])), {}
+    for k in range(1, 5):
+        new = []
+        for i, _, t in queue[5 * (k - 1) : 5 * k]:
+            if part(answer_queries.QUESTION, t) >= 0.3:
+                new += [(k, i, s) for s in [s for s in sentences(t) if part(answer_queries.QUESTION, s) > 0][:3]]
+        for row in sorted(new, key=lambda r: (r[0], r[1], r[2].encode())):
+            found.setdefault(normal(row[2]), row)
+        if len(found) >= 40:
+            break
+    got = registry.QUERIES["v21_lazy_search"](spark, FOLDER).collect()
+    assert sorted((r["round"], r["id"], r["claim"]) for r in got) == sorted(found.values())
+
+
+def test_gathering_for_one_question(spark):
+    """v23: samples by hash, deepening in the sources of hits, a budget of tested sentences."""
+    docs = {r["doc_id"]: (r["source"], r["text"] or "") for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    by_hash = lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)
+    done, hits, out, spent = set(), set(), [], 0
+    for k in range(1, 6):
+        near = {docs[i][0] for i in hits}
+        batch = sorted((i for i in docs if i not in done), key=lambda i: (k > 1 and docs[i][0] not in near, by_hash(i)))[:50]
+        if not batch:
+            break
+        done |= set(batch)
+        tested = [(-round(part(answer_queries.QUESTION, s), 6), i, s.encode()) for i in batch for s in sentences(docs[i][1])]
+        tested = sorted(tested)[: 200 - spent]
+        spent += len(tested)
+        good = [(i, k, s.decode(), -p) for p, i, s in tested if -p >= 0.3]
+        hits |= {i for i, *_ in good}
+        out += good
+        if spent >= 200 or len(out) >= 50:
+            break
+    got = registry.QUERIES["v23_lazy_gather"](spark, FOLDER).collect()
+    assert sorted((r["id"], r["round"], r["sentence"], r["score"]) for r in got) == sorted(out)
