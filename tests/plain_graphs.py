@@ -99,6 +99,8 @@ def leiden(edges, resolution=1.0, rounds=6, levels=2, refine=True, named=str):
         homes = moves(graph, whole, resolution, rounds, start)
         if refine:
             homes = {n: min(part) for ns in groups(homes).values() for part in parts_of(graph, ns) for n in part}
+        else:
+            homes = {n: min(ns) for ns in groups(homes).values() for n in ns}
         held = groups({n: homes[a] for n, a in at.items()})
         out.append({n: min(ns) for ns in held.values() for n in ns})
         part = refined(graph, homes, whole, resolution, rounds, named) if refine else homes

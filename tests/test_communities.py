@@ -33,7 +33,7 @@ def frame(spark, edges):
 
 
 #: A graph in which a node leaves and takes with it what held a community of `louvain` together.
-BRIDGE = 231
+BRIDGE = 295
 
 
 def test_bridge_that_moved_away(spark):
@@ -67,6 +67,12 @@ def test_parts_and_phrases_of_the_tables(spark):
     assert labels_by_level(registry.QUERIES["g12_phrase_leiden"](spark, FOLDER)) == plain
 
 
+def test_phrases_without_refinement(spark):
+    phrases = [(r["src"], r["dst"], float(r["weight"])) for r in graph_queries.weighted_phrases(spark, FOLDER).collect()]
+    plain = plain_graphs.leiden(phrases, rounds=graph_queries.ROUNDS, levels=graph_queries.LEVELS, refine=False)
+    assert labels_by_level(registry.QUERIES["g12_phrase_communities"](spark, FOLDER)) == plain
+
+
 def test_resolution_levels(spark):
     edges = random_edges(5)
     rows = graph.hierarchy(graph.resolution_levels(frame(spark, edges), (4.0, 2.0, 1.0), rounds=3)).collect()
