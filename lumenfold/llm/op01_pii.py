@@ -54,6 +54,8 @@ MIN_CONTEXTS = 2
 MIN_LETTERS = 3
 #: Terms that a task counts before it hands its counts on.
 HELD_TERMS = 200_000
+#: Up to so many disclosing terms go to the tasks as they are (8 MB).
+EXACT_TERMS = 1_000_000
 #: Marked texts are broadcast to `sanitise` while they hold no more spans than this; beyond it texts are shuffled.
 BROADCAST_SPANS = 200_000
 
@@ -207,19 +209,35 @@ def disclosures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, materialise(scored.where(F.col("pmi") >= DISCLOSURE * F.col("ic")).where("ic > 0").drop("wordings"))
 
 
+class Exact:
+    """Admits just the hashes it holds, 8 bytes each."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.sort(hashes.view("<u8"))
+
+    def admits(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return self.sorted[at] == hashes
+
+
 def marked(docs: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """(text_key, terms): where disclosing terms stand in each text that holds some, outside of base spans."""
+    """(text_key, terms): where disclosing terms stand in each text that holds some, outside of base spans.
+
+    Up to EXACT_TERMS terms go to the tasks as they are, and a text's row is complete there; more go as a bitmap, and the words
+    that it admits are joined with the terms."""
     terms = materialise(disclosing.select("t").distinct())
-    none = docs.sparkSession.createDataFrame([], "text_key binary, terms array<struct<start:int,end:int>>")
-    if terms.isEmpty():
-        return none
-    held = docs.sparkSession.sparkContext.broadcast(bitmap_of(terms, "t"))
-    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+    kind = "array<struct<start:int,end:int>>"
+    count = terms.count()
+    if not count:
+        return docs.sparkSession.createDataFrame([], f"text_key binary, terms {kind}")
+    exact = count <= EXACT_TERMS
+    held = docs.sparkSession.sparkContext.broadcast(Exact(terms.toArrow().column("t").to_numpy()) if exact else bitmap_of(terms, "t"))
+    place = pa.struct([("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            keys, found = [], []
             for value in batch.column(0):
                 text = value.as_py() or ""
                 words = [w for w in set(WORD.findall(text.lower())) if len(w) >= MIN_LETTERS]
@@ -227,18 +245,23 @@ def marked(docs: DataFrame, disclosing: DataFrame) -> DataFrame:
                 admitted = held.value.admits(hashes) if words else np.zeros(0, bool)
                 if admitted.any():
                     wanted = {w for w, hit in zip(words, admitted.tolist(), strict=True) if hit}
-                    base, k, reach = base_spans(text), 0, 0
+                    base, k, reach, own = base_spans(text), 0, 0, []
                     for m in WORD.finditer(text):
                         if m[0].lower() in wanted:
                             while k < len(base) and base[k][0] < m.end():
                                 reach, k = max(reach, base[k][2]), k + 1
                             if reach <= m.start():
-                                for column, v in zip(out, (text_key(text), _key(m[0].lower()), m.start(), m.end()), strict=True):
-                                    column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["text_key", "t", "start", "end"])
-
-    places = docs.select("text").mapInArrow(run, "text_key binary, t long, start int, end int").distinct()
-    return materialise(materialise(places).join(terms, "t").groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms")))
+                                own.append({"t": _key(m[0].lower()), "start": m.start(), "end": m.end()})
+                    if own:
+                        keys.append(text_key(text))
+                        found.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.list_(place))], names=["text_key", "places"])
+
+    places = docs.select("text").mapInArrow(run, "text_key binary, places array<struct<t:bigint,start:int,end:int>>").dropDuplicates(["text_key"])
+    if exact:
+        return materialise(places.select("text_key", F.transform("places", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("terms")))
+    each = materialise(places).select("text_key", F.explode("places").alias("p")).select("text_key", "p.*")
+    return materialise(each.join(terms, "t").groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms")))
 
 
 def spans(docs: DataFrame) -> DataFrame:

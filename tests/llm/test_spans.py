@@ -115,6 +115,8 @@ def test_disclosing_terms(spark, monkeypatch):
     assert "Quimby" not in first[0] and "Brandon" not in first[0]
     assert first[100] == rows[6][1]
     assert sorted((r["text"] or "-", r["base"] or "-") for r in cleaned if r["doc_id"] in (None, 7)) == [("-", "b"), ("Said [NAME]", "-"), ("Said [NAME]", "-"), ("[NAME] here", "b")]
+    monkeypatch.setattr(op01_pii, "EXACT_TERMS", 0)
+    assert sorted(map(str, op01_pii.sanitise(docs).collect())) == sorted(map(str, cleaned))
     monkeypatch.setattr(op01_pii, "BROADCAST_SPANS", -1)
     assert sorted(map(str, op01_pii.sanitise(docs).collect())) == sorted(map(str, cleaned))
     alone = spark.createDataFrame([(1, "Brandon Quimby at bq@corp.com")] * 3, "doc_id long, text string")  # one wording proves nothing
