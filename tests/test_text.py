@@ -80,6 +80,13 @@ def test_budget_stops_at_first_overflow(spark):
     assert [r["pos"] for r in retrieval.within_budget(rows, 10, ["pos"]).collect()] == [1]
 
 
+def test_asking_for_the_accuracy_explores_nothing(spark):
+    """However often else a text says `what is`, as inside of other words."""
+    rows = spark.createDataFrame([(1, "what is the accuracy of it\nerwhat is ble"), (2, "What is  the difference? what is a graph"), (3, "erwhat is\nthe main"), (4, "it is")], "id int, query string")
+    found = {r["id"]: (r["type"], r["n"]) for r in rows.select("id", routing.classify(F.col("query")).alias("c")).select("id", "c.*").collect()}
+    assert found == {1: ("factoid", 1), 2: ("comparison", 1), 3: ("exploration", 1), 4: ("unknown", 0)}
+
+
 def test_routing(spark):
     rows = spark.createDataFrame([("Compare A vs B",), ("tell me",), ("手法の比較と違い",)], "query string")
     found = routing.route(rows, 3).collect()
