@@ -105,6 +105,7 @@ def reducible(partial: DataFrame, least: float = 0.1) -> DataFrame:
 
 
 def reduce_answers(partial: DataFrame) -> DataFrame:
-    """One row: the remaining answers, most relevant first."""
+    """One row: the remaining answers, most relevant first; null where none remains."""
     listed = F.array_sort(F.collect_list(F.struct((-F.col("relevance")).alias("o"), "community_id", "answer")))
-    return reducible(partial).agg(F.array_join(F.transform(listed, lambda s: s["answer"]), "\n\n").alias("answer"))
+    joined = F.array_join(F.transform(listed, lambda s: s["answer"]), "\n\n")
+    return reducible(partial).agg(F.when(F.count("*") > 0, joined).alias("answer"))

@@ -87,6 +87,12 @@ def test_asking_for_the_accuracy_explores_nothing(spark):
     assert found == {1: ("factoid", 1), 2: ("comparison", 1), 3: ("exploration", 1), 4: ("unknown", 0)}
 
 
+def test_nothing_to_reduce_is_null(spark):
+    partial = spark.createDataFrame([(1, "No relevant information here", 0.9), (2, "short", 0.1)], "community_id long, answer string, relevance double")
+    assert retrieval.reduce_answers(partial).collect() == [(None,)]
+    assert retrieval.reduce_answers(partial.selectExpr("community_id", "'a' answer", "relevance")).collect() == [("a",)]
+
+
 def test_routing(spark):
     rows = spark.createDataFrame([("Compare A vs B",), ("tell me",), ("手法の比較と違い",)], "query string")
     found = routing.route(rows, 3).collect()
