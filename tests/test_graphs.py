@@ -213,3 +213,21 @@ def test_probes_grow_with_the_edits_only():
         assert len(places) == n // 8 and all(b - a >= 3 for a, b in itertools.pairwise(places))
     assert fuzzy.cheapest(np.array([9, 1, 9, 9, 0, 9]), 2, 2) == (1.0, [1, 4])
     assert fuzzy.cheapest(np.array([5, 0, 5]), 2, 2) == (10.0, [0, 2])
+
+
+def dealt_out(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_pairs_of_phrases_are_dealt_out_once(spark):
+    rows = [(unit, unit // 3, pos, f"p{(unit * 7 + pos * pos) % 5}") for unit in range(12) for pos in range(9)]
+    found = cooccurrence.edges(cooccurrence.neighbours(spark.createDataFrame(rows, "unit long, doc_id long, pos int, phrase string"), 2))
+    assert dealt_out(found) == 2  # the phrases by document, the pairs by pair
+    pairs = collections.defaultdict(list)
+    for unit in range(12):
+        listed = [r[3] for r in rows if r[0] == unit]
+        for i, a in enumerate(listed):
+            for b in listed[i + 1 : i + 3]:
+                if a != b:
+                    pairs[min(a, b), max(a, b)].append(unit // 3)
+    assert {(r["source"], r["target"]): (r["weight"], r["n_docs"]) for r in found.collect()} == {k: (len(v), len(set(v))) for k, v in pairs.items()}
