@@ -231,3 +231,28 @@ def test_pairs_of_phrases_are_dealt_out_once(spark):
                 if a != b:
                     pairs[min(a, b), max(a, b)].append(unit // 3)
     assert {(r["source"], r["target"]): (r["weight"], r["n_docs"]) for r in found.collect()} == {k: (len(v), len(set(v))) for k, v in pairs.items()}
+
+
+def test_links_are_dealt_out_twice_a_round(spark, monkeypatch):
+    """Once by each end; the other seven are of nodes."""
+    plans = []
+    kept = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df: plans.append((df.columns, dealt_out(df))) or kept(df))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        graph.louvain(edges(spark, [(a, b) for a in range(4) for b in range(a)], "long"), rounds=2, levels=1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert max(n for columns, n in plans if "moved" in columns) <= 9
+    assert plans[-1][0] != ["src", "dst", "w"]  # no graph for a level that does not come
+
+
+def test_numbers_are_in_the_order_of_names(spark):
+    pairs = [("b", "aa"), ("\u00e9", "b"), ("z", "\U0001f600"), ("aa", "z")]
+    numbered, names = graph.numbered(edges(spark, pairs))
+    name = {r["node"]: r["name"] for r in names.collect()}
+    assert sorted(name.values(), key=str.encode) == [name[k] for k in sorted(name)]
+    assert sorted((name[r["src"]], name[r["dst"]]) for r in numbered.collect()) == sorted(pairs)
+    plain = {(r["level"], r["node"], r["community"]) for r in graph.leiden(edges(spark, pairs)).collect()}
+    assert {(r["level"], r["node"], r["community"]) for r in graph.renamed(graph.leiden(numbered, names=names), names).collect()} == plain
