@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 import numpy as np
 import pytest
 
-from lumenfold.operators import citation, cooccurrence, fuzzy, graph
+from lumenfold.operators import chunking, citation, cooccurrence, fuzzy, graph, merging
 from lumenfold.operators.components import components
 
 
@@ -256,3 +256,13 @@ def test_numbers_are_in_the_order_of_names(spark):
     assert sorted((name[r["src"]], name[r["dst"]]) for r in numbered.collect()) == sorted(pairs)
     plain = {(r["level"], r["node"], r["community"]) for r in graph.leiden(edges(spark, pairs)).collect()}
     assert {(r["level"], r["node"], r["community"]) for r in graph.renamed(graph.leiden(numbered, names=names), names).collect()} == plain
+
+
+def test_sections_are_chunked_in_their_row(spark):
+    """Two rows of one id stay apart, as do blank sections."""
+    rows = [(1, "", [], "a b c d e f g"), (1, "", [], "h"), (2, "x y", [("intro", " \n"), ("body", "p q r s")], "never"), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "document_id long, abstract string, sections array<struct<section_type:string,content:string>>, raw_text string")
+    found = chunking.section_chunks(docs, 4, 1)
+    assert dealt_out(found) == 0
+    expected = [("1_0", 1, 0, "body", 4, "a b c d"), ("1_0", 1, 0, "body", 1, "h"), ("1_1", 1, 1, "body", 4, "d e f g"), ("2_0", 2, 0, "abstract", 2, "x y"), ("2_1", 2, 1, "body", 4, "p q r s")]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
