@@ -44,6 +44,7 @@ def merge_maps(rows: DataFrame, key: str, column: str, order: str) -> DataFrame:
 
 def extract_relations(mentions: DataFrame) -> DataFrame:
     """(source, target, chunk): entities of one chunk are related, the default of the model seam. mentions: (chunk, entity),
-    few a chunk."""
-    both = mentions.select("chunk", F.col("entity").alias("source")).join(mentions.select("chunk", F.col("entity").alias("target")), "chunk")
-    return both.where("source < target").distinct()
+    few a chunk, which are dealt out once and paired in a chunk's row."""
+    listed = mentions.where("chunk IS NOT NULL").groupBy("chunk").agg(F.array_sort(F.collect_set("entity")).alias("all"))
+    placed = listed.select("chunk", "all", F.posexplode("all").alias("place", "source"))
+    return placed.select("source", F.explode(F.slice("all", F.col("place") + 2, F.size("all"))).alias("target"), "chunk")

@@ -266,3 +266,10 @@ def test_sections_are_chunked_in_their_row(spark):
     assert dealt_out(found) == 0
     expected = [("1_0", 1, 0, "body", 4, "a b c d"), ("1_0", 1, 0, "body", 1, "h"), ("1_1", 1, 1, "body", 4, "d e f g"), ("2_0", 2, 0, "abstract", 2, "x y"), ("2_1", 2, 1, "body", 4, "p q r s")]
     assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_relations_are_dealt_out_once(spark):
+    rows = [(1, 5), (1, 3), (1, 5), (1, 9), (2, 3), (None, 1), (None, 2), (3, None), (3, 4), (3, 2)]
+    found = merging.extract_relations(spark.createDataFrame(rows, "chunk long, entity long"))
+    assert dealt_out(found) == 1
+    assert sorted((r["chunk"], r["source"], r["target"]) for r in found.collect()) == [(1, 3, 5), (1, 3, 9), (1, 5, 9), (3, 2, 4)]
