@@ -65,13 +65,22 @@ def citation_edges(resolved: DataFrame) -> DataFrame:
 def co_citation(edges: DataFrame, least: int = 2, doc=None) -> DataFrame:
     """(doc, other, shared, score): documents cited together, score by the first one's citers.
 
-    A citing node with d references makes d**2 pairs; `doc` anchors the join on one document.
+    A citing node with d references makes d**2 / 2 pairs, in its own row and in one order only, since both ways share the
+    same; `doc` anchors a join on one document instead.
     """
     edges = edges.select("src", "dst").distinct()
-    mine = edges if doc is None else edges.where(F.col("dst") == doc)
     cited = edges.groupBy("dst").agg(F.count("*").alias("n")).withColumnRenamed("dst", "doc")
-    pairs = mine.select("src", F.col("dst").alias("doc")).join(edges.select("src", F.col("dst").alias("other")), "src").where("doc <> other")
+    if doc is None:
+        listed = edges.where("src IS NOT NULL").groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("all"))
+        placed = listed.select("all", F.posexplode("all").alias("place", "doc"))
+        pairs = placed.select("doc", F.explode(F.slice("all", F.col("place") + 2, F.size("all"))).alias("other"))
+    else:
+        mine = edges.where(F.col("dst") == doc)
+        pairs = mine.select("src", F.col("dst").alias("doc")).join(edges.select("src", F.col("dst").alias("other")), "src").where("doc <> other")
     counted = pairs.groupBy("doc", "other").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    if doc is None:
+        way = F.explode(F.array(F.struct("doc", "other"), F.struct(F.col("other").alias("doc"), F.col("doc").alias("other")))).alias("way")
+        counted = counted.select(way, "shared").select("way.*", "shared")
     return counted.join(cited, "doc").select("doc", "other", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("score"))
 
 

@@ -273,3 +273,14 @@ def test_relations_are_dealt_out_once(spark):
     found = merging.extract_relations(spark.createDataFrame(rows, "chunk long, entity long"))
     assert dealt_out(found) == 1
     assert sorted((r["chunk"], r["source"], r["target"]) for r in found.collect()) == [(1, 3, 5), (1, 3, 9), (1, 5, 9), (3, 2, 4)]
+
+
+def test_co_citation_counts_one_way(spark):
+    rng = random.Random(3)
+    pairs = sorted({(rng.randrange(9), rng.randrange(7)) for _ in range(40)}) + [(0, 0), (None, 1), (None, 2), (4, None)]
+    found = citation.co_citation(edges(spark, pairs, "int"), 2)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Join") == 1  # the citers of the first one
+    cites = {d: {s for s, t in pairs if t == d and s is not None} for d in range(7)}
+    shared = {(a, b): len(cites[a] & cites[b]) for a in range(7) for b in range(7) if a != b}
+    whole = {d: sum(1 for p in set(pairs) if p[1] == d) for d in range(7)}
+    assert {(r["doc"], r["other"]): (r["shared"], r["score"]) for r in found.collect()} == {k: (n, round(n / whole[k[0]], 6)) for k, n in shared.items() if n >= 2}
