@@ -21,7 +21,9 @@ would miss most: at similarity 0.8 each bit of a fingerprint differs with probab
 fail, a forest says nothing about the pairs it left out, so the groups at failed edges are taken together as families,
 and within a family every pair within the bits, the nearest first, is verified until its groups are joined. No pair is
 missed: a pair of a shard is joined by a path of its forest, which goes from group to group by edges that failed.
-Equal fingerprints prove nothing, since the majority vote ignores lengths and minorities: only texts of the same words
+Similar texts of different groups that share no block, or lie beyond the bits, are then found exactly: all texts list their
+shingles in one order, and of two similar texts each has one of the other's among its first (prefix filter); texts that
+meet there as often as they must, and whose lengths allow the similarity, are verified word by word. Equal fingerprints prove nothing, since the majority vote ignores lengths and minorities: only texts of the same words
 are one node from the start, and pairs whose lengths alone rule the similarity out are left out.
 
 Defined results: equal texts share a fingerprint and are expanded only at the end (`keep_one`: texts of equal words); a null or wordless text has
@@ -33,7 +35,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.bitmaps import Bitmap, bitmap_of
+from lumenfold.llm.sampling import hashed_sample
 from lumenfold.operators.components import components
 from lumenfold.storage import materialise
 
@@ -65,6 +68,10 @@ WIDE_RADIUS = 62
 HELD_EDGES = 1 << 18
 #: A family is dealt out in parts of about so many texts, and every two parts meet in a task.
 FAMILY_ROWS = 512
+#: Rows whose shingles tell which are frequent, and so many of these at most; both only order the shingles of a text.
+SAMPLE_ROWS = 2048
+MOST_FREQUENT = 1 << 18
+NTH = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
@@ -90,8 +97,12 @@ def shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
 def fingerprint(text: bytes | None, width: int = SHINGLE, words: int = 1) -> np.ndarray:
     """`words` x 64 bits, each set by more than half of the shingles' hashes. Words after the first are of hashes mixed
     anew."""
+    return voted(shingle_hashes(text, width), words)
+
+
+def voted(pieces: Iterable[np.ndarray], words: int) -> np.ndarray:
     votes, n = np.zeros((words, 64), np.int64), 0
-    for hashes in shingle_hashes(text, width):
+    for hashes in pieces:
         n += len(hashes)
         for w in range(words):
             if w:
@@ -103,25 +114,74 @@ def fingerprint(text: bytes | None, width: int = SHINGLE, words: int = 1) -> np.
     return np.packbits(2 * votes > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1) -> DataFrame:
+def numbered(pieces: list[np.ndarray]) -> np.ndarray:
+    """The shingle hashes of a text, sorted, the n-th of equal ones marked by n, so that bags are compared as sets."""
+    distinct, times = np.unique(np.concatenate(pieces) if pieces else np.zeros(0, "<u8"), return_counts=True)
+    if times.sum() == len(distinct):
+        return distinct
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.sort(np.repeat(distinct, times) ^ (nth.astype("<u8") * NTH))
+
+
+def prefix(pieces: list[np.ndarray], similar: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a text's shingles in the order of all texts (frequent ones last, then by hash): a text as similar has one
+    of them among its own. frequent: hashes, sorted, and how often they were seen."""
+    own, (known, seen) = numbered(pieces), frequent
+    if not len(own):
+        return own
+    times = np.zeros(len(own), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        times = np.where(known[at] == own, seen[at], 0)
+    return own[np.lexsort((own, times))[: len(own) - math.ceil(similar * len(own) - 1e-9) + 1]]
+
+
+def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of at least three of SAMPLE_ROWS rows, as `prefix` takes them. They rule the order of shingles and so the work,
+    not the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                own = numbered(list(shingle_hashes(value.as_py(), width)))
+                for k in range(0, len(own), PIECE):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[k : k + PIECE].view("<i8"))], names=["key"])
+
+    some = hashed_sample(docs.select("doc_id", F.col("text").cast("binary").alias("text")), SAMPLE_ROWS, "doc_id").select("text")
+    counts = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("times")).where("times >= 3")
+    found = counts.orderBy(F.desc("times"), "key").limit(MOST_FREQUENT).toArrow()
+    keys = found.column("key").to_numpy().view("<u8")
+    order = np.argsort(keys)
+    return keys[order], found.column("times").to_numpy()[order]
+
+
+def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1, similar: float | None = None) -> DataFrame:
     """(doc_id, fp, text_key, node, shingles) of every row: fp as bytes, text_key a hash of the text, node a hash of its
-    words, which all texts with the same sequence of shingles share, and the number of shingles."""
+    words, which all texts with the same sequence of shingles share, and the number of shingles; with `similar` also the
+    `prefix`."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width)) if similar else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, keys, nodes, sizes = [], [], [], []
+            fp, keys, nodes, sizes, firsts = [], [], [], [], []
             for value in batch.column(1):  # one text at a time is a Python object
                 text = value.as_py()
-                fp.append(fingerprint(text, width, words).astype(">u8").tobytes())
+                pieces = shingle_hashes(text, width)
+                if frequent:
+                    pieces = list(pieces)
+                    firsts.append(prefix(pieces, similar, frequent.value).view("<i8"))
+                fp.append(voted(pieces, words).astype(">u8").tobytes())
                 keys.append(xxhash.xxh64_intdigest(b"\0" if text is None else text + b"\1", SEED))
                 spoken = (text or b"").lower().split()
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(spoken), SEED))
                 sizes.append(max(len(spoken) - width + 1, 1 if spoken else 0))
             key, node = (pa.array(np.array(x, "<u8").view("<i8")) for x in (keys, nodes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), key, node, pa.array(sizes, pa.int32())], names=["doc_id", "fp", "text_key", "node", "shingles"])
+            columns = [batch.column(0), pa.array(fp, pa.binary()), key, node, pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(firsts, pa.list_(pa.int64()))] if frequent else []), names=["doc_id", "fp", "text_key", "node", "shingles", "prefix"][: 6 if frequent else 5])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary, text_key long, node long, shingles int")
+    made = f"doc_id {kind}, fp binary, text_key long, node long, shingles int" + (", prefix array<long>" if frequent else "")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, made)
 
 
 class Forest:
@@ -430,15 +490,71 @@ def similar_groups(docs: DataFrame, nodes: DataFrame, edges: DataFrame, width: i
     return components(good.union(more))
 
 
+def prefix_pairs(prints: DataFrame, rooted: DataFrame, similar: float) -> DataFrame:
+    """(src, dst): pairs of nodes of different groups that share a shingle of their prefixes and may be similar.
+
+    prints: (node, shingles, prefix), rooted: (node, root). Shingles that only one node has stop at a bitmap. Groups meet before
+    their nodes do, so that a large group makes no pairs of its own."""
+    keys = prints.select("node", F.explode("prefix").alias("key"))
+    met = keys.groupBy("key").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one <> other").select("key")
+    met = materialise(met)
+    held = prints.sparkSession.sparkContext.broadcast(bitmap_of(met, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            key, row = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            stays = np.nonzero(held.value.admits(key.to_numpy().view("<u8")))[0]
+            for k in range(0, len(stays), PIECE):
+                at = stays[k : k + PIECE]
+                of = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(place[at].astype(np.int32)), key.take(pa.array(at))], names=["node", "n", "place", "key"])
+
+    placed = prints.select("node", "shingles", "prefix").mapInArrow(run, "node long, n int, place int, key long").distinct()
+    placed = materialise(placed.join(met, "key").join(rooted.select("node", "root"), "node"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("key")
+    placed = materialise(placed.join(apart, "key", "left_semi"))
+    roots = placed.select("key", "root").distinct()
+    groups = roots.withColumnRenamed("root", "src_root").join(roots.withColumnRenamed("root", "dst_root"), "key").where("src_root < dst_root")
+    one = placed.select("key", F.col("root").alias("src_root"), F.col("node").alias("src"), F.col("n").alias("n_src"), (F.col("n") - F.col("place")).alias("left_src"))
+    two = placed.select("key", F.col("root").alias("dst_root"), F.col("node").alias("dst"), F.col("n").alias("n_dst"), (F.col("n") - F.col("place")).alias("left_dst"))
+    pairs = groups.join(one, ["key", "src_root"]).join(two, ["key", "dst_root"])
+    few, many = F.least("n_src", "n_dst"), F.greatest("n_src", "n_dst")
+    met_in = pairs.where(few >= similar * many).groupBy("src", "dst", "n_src", "n_dst").agg(F.count("*").alias("shared"), F.least(F.max("left_src"), F.max("left_dst")).alias("room"))
+    # what similar texts have in common; the first of it leaves room for the rest, and all but the misses of one text stand
+    # in both prefixes
+    common = F.ceil(similar / (1 + similar) * (F.col("n_src") + F.col("n_dst")) - 1e-6)
+    least = common - F.ceil(similar * many - 1e-9) + 1
+    met_in = met_in.where((F.col("room") >= common) & (F.col("shared") >= least))
+    return met_in.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+
+
+def all_groups(docs: DataFrame, prints: DataFrame, rooted: DataFrame, width: int, similar: float) -> DataFrame:
+    """`rooted` (node, first, root) with the groups joined that any similar pair connects."""
+    pairs = materialise(prefix_pairs(prints, rooted, similar))
+    ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
+    texts = _texts(docs, ends.join(rooted, "node"))
+    both = pairs.join(texts.select(F.col("node").alias("dst"), F.col("text").alias("two")), "dst").join(texts.select(F.col("node").alias("src"), F.col("text").alias("one")), "src")
+    good = materialise(_similar(both.select("src", "dst", "one", "two"), width, similar))
+    if good.isEmpty():
+        return rooted
+    for c in ("src", "dst"):
+        good = good.join(rooted.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c)
+    joined = components(good, "src_root", "dst_root").select(F.col("node").alias("root"), "component")
+    return materialise(rooted.join(joined, "root", "left").select("node", "first", F.coalesce("component", "root").alias("root")))
+
+
 def keep_one(docs: DataFrame, width: int = 5, similar: float = SIMILAR) -> DataFrame:
     """`docs` without near copies: of each group the row of the smallest doc_id stays (a null doc_id comes last; among
     equal ids the text decides, and of equal rows one stays)."""
-    prints = materialise(fingerprints(docs, width, WIDE))
+    prints = materialise(fingerprints(docs, width, WIDE, similar))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     distinct = materialise(prints.groupBy("node").agg(F.min(order).alias("first"), F.min("fp").alias("fp"), F.min("shingles").alias("shingles")))
     edges = materialise(links(distinct, WIDE_RADIUS, WIDE, similar).select("src", "dst"))
     root = similar_groups(docs, distinct, edges, width, similar)
     rooted = materialise(distinct.join(root, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root")))
+    rooted = all_groups(docs, prints, rooted, width, similar)
     winners = materialise(rooted.groupBy("root").agg(F.min("first").alias("winner")))
     stays = materialise(rooted.join(winners, "root").select("node", "winner"))
     keyed = prints.select("node", "doc_id", "text_key").join(stays, "node")

@@ -252,6 +252,22 @@ def test_keep_one_about_the_bound(spark):
     assert kept == plain_kept(rows)
 
 
+def test_keep_one_of_far_fingerprints(spark):
+    """Pairs at the bound that share no block to within a bit, and pairs beyond the bits."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    blocks = lambda a: np.frombuffer(a.tobytes(), np.uint16)
+    rows = []
+    while len(rows) < 8:
+        base, one, two = ([word() for _ in range(n)] for n in (44, 5, 5))
+        a, b = " ".join(base + one), " ".join(base + two)
+        fa, fb = (op05_neardup.fingerprint(t.encode(), 5, op05_neardup.WIDE) for t in (a, b))
+        if np.bitwise_count(blocks(fa) ^ blocks(fb)).min() > 1 or np.bitwise_count(fa ^ fb).sum() > op05_neardup.WIDE_RADIUS:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    kept = {r["doc_id"] for r in op05_neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == plain_kept(rows) == {0, 2, 4, 6}
+
+
 def test_keep_one_of_equal_fingerprints(spark):
     """Repeated words and lines outvote the rest of a text; only the texts' words decide."""
     line = "one line of nine words that is said again"
