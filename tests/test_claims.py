@@ -51,3 +51,18 @@ def test_chains_of_similar_claims(spark):
 def test_whole_texts_as_claims(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect() if r["text"] is not None]
     assert found(registry.QUERIES["v25_first_claims"](spark, FOLDER)) == in_order(rows)
+
+
+def test_unlike_claims_do_not_meet(spark):
+    """Claims of one small vocabulary share rare words all over; few of them share a whole part."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.sample([f"w{i}" for i in range(100)], rng.randint(30, 60)))) for k in range(300)]
+    for k in range(0, 300, 10):
+        words = rows[k][1].split()
+        rows.append((300 + k, " ".join(words[: len(words) - rng.randint(0, 8)])))
+    df = spark.createDataFrame(rows, "claim_id long, claim string")
+    expected = {(a, b) for a, x in rows for b, y in rows if a < b and similar(words_of(x), words_of(y))}
+    assert {(r["kept"], r["dropped"]) for r in lazy.similar_claims(df).collect()} == expected
+    parts = lazy._parts(lazy._worded(df, "claim_id", "claim"), 0.85, "claim_id")
+    met = parts.withColumnRenamed("claim_id", "a").join(parts.withColumnRenamed("claim_id", "b"), "t").where("a < b").select("a", "b").distinct()
+    assert expected and met.count() < 2000  # of 54,285 pairs
