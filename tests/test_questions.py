@@ -106,6 +106,23 @@ def test_questions_of_the_conversations(spark, monkeypatch):
     assert found[0] == expected[0]
 
 
+def test_questions_look_into_few_texts(spark, monkeypatch):
+    """In blocks of growing size, with equal shares and a repeated id, the k best are those of all texts; a question whose k best have
+    all its words looks up nothing more, one that lacks a word its rarest word only."""
+    monkeypatch.setattr(questions, "FIRST", 3)
+    monkeypatch.setattr(questions, "GROWTH", 2)
+    rare = {11: "ore", 29: "ore gem", 44: "gem ore the", 57: "ore the a"}
+    bodies = {i: "the a of" if i % 3 else f"the of {rare.get(i, 'x')}" for i in range(60)} | rare
+    asked = {1: "the of", 2: "ore gem the", 3: "the a of ore", 4: "nothing", 5: "gem"}
+    texts = spark.createDataFrame([*bodies.items(), (None, "the ore"), (44, "gem")], "id long, text string")
+    rows = questions.candidates(spark.createDataFrame(list(asked.items()), "question_id long, question string"), texts, 4).collect()
+    for q, question in asked.items():
+        assert {r["id"]: r["priority"] for r in rows if r["question_id"] == q} == candidates(question, bodies, 4)
+    parts = spark.createDataFrame([(1, 1, 2, [7, 8]), (2, 2, 3, [9, 7, 8]), (3, 3, 3, [9, 7, 8])], "question_id long, part_id long, n int, wids array<long>")
+    best = spark.createDataFrame([(1, 0, 1.0), (1, 1, 1.0), (2, 0, 1.0), (2, 1, round(2 / 3, 6)), (3, 0, 1.0)], "question_id long, id long, priority double")
+    assert {r["part_id"]: r["probes"] for r in questions.probing(parts, best, 2).collect()} == {2: [9], 3: [9, 7, 8]}
+
+
 def normal(claim):
     return re.sub(r"[ \t\n\x0b\f\r]+", " ", claim.lower().strip(" "))
 
