@@ -6,14 +6,20 @@ GRAM_SIZES the cheapest d + 1 disjoint grams by their counts over all held title
 and the cheapest size. Grams that all titles share, such as a common beginning, are keys only where a title has nothing
 rarer. A title has as many probes as d + 1, and a held title one index row for each of its places and sizes.
 
-Only the best match is asked for, so distances grow in rounds (1, 3, 7, ...). A reference leaves when its match is
-better than anything farther away could be, or its own bound is reached; what most references find is a title next to them,
-and the long probes of great distances are left to those that find none.
+Where titles differ in a few characters only, such as a number behind a common beginning, the grams of a title that others lack do not
+suffice for d + 1 probes, and each further one has most titles behind it. Titles within d edits also have a text in common that both
+become by leaving out d characters at most. A title has few such texts (`variants`) as long as d and the title are small, whatever the
+number of titles; they are looked up where the grams have more titles behind them.
+
+Only the best match is asked for, so distances grow in rounds (1, 2, 5, ...). A reference leaves when its match is
+better than anything farther away could be (given the lengths of held titles), or its own bound is reached; what most references find
+is a title next to them, and the long probes of great distances are left to those that find none.
 """
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -27,6 +33,8 @@ GRAM_SIZES = (1, 2, 3, 5)
 #: Single characters are looked up for shorter titles only; two fit wherever a longer title may differ. What is similar to a
 #: shorter title has less than twice as many characters.
 SHORT = 12
+#: Variants are made for so many characters left out, of titles up to so long: 1,276 of them at most.
+OUT, LONG = 2, 50
 
 
 def edit_bound(n: Column, least: float, measure: str) -> Column:
@@ -34,9 +42,34 @@ def edit_bound(n: Column, least: float, measure: str) -> Column:
     return F.floor(n * F.lit((1 - least) / least * (1 if measure == "levenshtein" else 2)) + 1e-9).cast("int")
 
 
-def best_beyond(n: Column, d: Column, least: float, measure: str) -> Column:
-    """No title more than d edits away from one of n characters is more similar than this."""
-    return 1 - (d + 1) / (n + d + 1) if measure == "levenshtein" else 1 - (d + 1) / (n * 2 / F.lit(least))
+def best_beyond(n: Column, d: Column, lengths: Column, measure: str, out: Column) -> Column:
+    """No title of one of `lengths` that the pairs of a round lack is more similar to one of n characters than this.
+
+    They lack titles more than d edits away; by `out` (looked up by variants) also those alone which leave more than d characters of the
+    longer one without a partner. Characters in common are d + 1 fewer than the longer one's then; otherwise the others of both
+    titles together are more than d."""
+
+    def most(m: Column) -> Column:
+        longer, shorter = F.greatest(n, m), F.least(n, m)
+        if measure == "levenshtein":
+            return 1 - F.greatest(d + 1, longer - shorter) / longer
+        common = F.when(out, 2 * F.least(shorter, longer - d - 1)).otherwise(F.least(2 * shorter, n + m - d - 1))
+        return common / (n + m)
+
+    return F.array_max(F.transform(lengths, most))
+
+
+def variants(text: Column, d: int) -> Column:
+    """Hashes of what is left of a text without up to d (at most OUT) of its characters, each once."""
+    n = F.length(text)
+    without = lambda t, i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1))
+    one = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: without(text, i)))
+    left = [F.array(text), one]
+    if d > 1:
+        # the second place is before the first, so each pair is left out once
+        left.append(F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(2), n), lambda j: F.transform(F.sequence(F.lit(1), j - 1), lambda i: without(without(text, j), i))))))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.transform(F.concat(*[F.coalesce(x, none) for x in left]), lambda t: F.xxhash64(t)))
 
 
 def _places(text: Column, sizes: tuple[int, ...], short: int = SHORT) -> Column:
@@ -71,7 +104,7 @@ def cheapest(counts: np.ndarray, size: int, wanted: int) -> tuple[float, list[in
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _probes(counts: pd.Series, length: pd.Series, edits: pd.Series) -> pd.Series:
-    """The size of the grams to look up, and their places."""
+    """The size of the grams to look up, and their places; 0 where the variants of a title are fewer than the titles behind its grams."""
     out = []
     for found, n, d in zip(counts, length, edits, strict=True):
         best, at = None, 0
@@ -83,7 +116,8 @@ def _probes(counts: pd.Series, length: pd.Series, edits: pd.Series) -> pd.Series
                 total, places = cheapest(own, size, d + 1)
                 if best is None or total <= best[0]:
                     best = total, [size, *places]
-        out.append(best[1])
+        few = d <= OUT and n <= LONG and sum(comb(n, k) for k in range(d + 1)) < best[0]
+        out.append([0] if few else best[1])
     return pd.Series(out)
 
 
@@ -96,14 +130,25 @@ def candidate_pairs(open_: DataFrame, held: DataFrame) -> DataFrame:
     """(a_id, b_id): every pair of titles within the asked one's d edits, and few others.
 
     open_: (a_id, a, n, d, counts), the counts of a's grams among the held titles; held: (b_id, b)."""
-    chosen = materialise(open_.select("a_id", "a", "n", "d", _probes("counts", "n", "d").alias("chosen")))
-    sizes = tuple(sorted(r["q"] for r in chosen.select(F.get("chosen", F.lit(0)).alias("q")).distinct().collect()))  # of GRAM_SIZES
+    chosen = open_ if "chosen" in open_.columns else materialise(open_.select("a_id", "a", "n", "d", _probes("counts", "n", "d").alias("chosen")))
     size = F.get("chosen", F.lit(0))
-    probes = chosen.select("a_id", "a", "n", "d", size.alias("q"), F.explode(F.slice("chosen", 2, F.size("chosen"))).alias("place"))
+    sizes = tuple(sorted(r["q"] for r in chosen.select(size.alias("q")).distinct().collect()))  # of GRAM_SIZES, and 0
+    probes = chosen.where(size > 0).select("a_id", "a", "n", "d", size.alias("q"), F.explode(F.slice("chosen", 2, F.size("chosen"))).alias("place"))
     probes = probes.select("a_id", "n", "d", "q", "place", F.substr("a", F.col("place") + 1, F.col("q")).alias("gram"))
-    index = held.select("b_id", F.length("b").alias("m"), F.explode(_places(F.col("b"), sizes, 2 * SHORT)).alias("g")).select("b_id", "m", "g.q", "g.at", "g.gram")
-    near = (F.abs(F.col("at") - F.col("place")) <= F.col("d")) & (F.abs(F.col("m") - F.col("n")) <= F.col("d"))
-    return probes.join(index, ["q", "gram"]).where(near).select("a_id", "b_id").distinct()
+    grams = tuple(q for q in sizes if q)
+    pairs = None
+    if grams or not sizes:
+        index = held.select("b_id", F.length("b").alias("m"), F.explode(_places(F.col("b"), grams or GRAM_SIZES, 2 * SHORT)).alias("g")).select("b_id", "m", "g.q", "g.at", "g.gram")
+        near = (F.abs(F.col("at") - F.col("place")) <= F.col("d")) & (F.abs(F.col("m") - F.col("n")) <= F.col("d"))
+        pairs = probes.join(index, ["q", "gram"]).where(near).select("a_id", "b_id").distinct()
+    if 0 in sizes:
+        asked = chosen.where(size == 0)
+        for d in sorted(r["d"] for r in asked.select("d").distinct().collect()):  # OUT at most
+            left = asked.where(F.col("d") == d).select("a_id", "n", F.explode(variants(F.col("a"), d)).alias("key"))
+            right = held.where(F.length("b") <= LONG + d).select("b_id", F.length("b").alias("m"), F.explode(variants(F.col("b"), d)).alias("key"))
+            met = left.join(right, "key").where(F.abs(F.col("m") - F.col("n")) <= d).select("a_id", "b_id").distinct()
+            pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs
 
 
 def most_similar(wanted: DataFrame, titles: DataFrame, least: float, measure: str = "levenshtein") -> DataFrame:
@@ -122,20 +167,23 @@ def most_similar(wanted: DataFrame, titles: DataFrame, least: float, measure: st
     counted = own.join(counts, ["q", "gram"], "left").groupBy("a_id", "a", "n").agg(F.array_sort(F.collect_list(F.struct("q", "at", F.coalesce("count", F.lit(0)).alias("count")))).alias("x"))
     counted = materialise(counted.select("a_id", "a", "n", edit_bound(F.col("n"), least, measure).alias("most"), F.transform("x", lambda x: x["count"]).alias("counts")))
     refs = wanted.join(counted.select("a", "a_id"), "a").select("ref_id", "doc_id", "a_id")
+    lengths = held.agg(F.coalesce(F.collect_set(F.length("b")), F.array().cast("array<int>")).alias("lengths"))
     kept, reach = None, 1
     while True:
         open_ = counted.withColumn("d", F.least(F.lit(reach), F.col("most")))
-        pairs = candidate_pairs(open_, held).join(open_.select("a_id", "a", "d"), "a_id").join(held, "b_id")
+        open_ = materialise(open_.select("a_id", "a", "n", "d", "most", _probes("counts", "n", "d").alias("chosen")).withColumn("out", F.get("chosen", F.lit(0)) == 0))
+        pairs = candidate_pairs(open_, held).join(open_.select("a_id", "a", "d", "out"), "a_id").join(held, "b_id")
         apart = F.levenshtein("a", "b", reach)
-        close = pairs.withColumn("apart", apart).where((F.col("apart") >= 0) & (F.col("apart") <= F.col("d")))
+        within = (F.col("apart") >= 0) & (F.col("apart") <= F.col("d"))
+        close = pairs.withColumn("apart", apart).where(within if measure == "levenshtein" else F.col("out") | within)
         similarity = 1 - F.col("apart") / F.greatest(F.length("a"), F.length("b")) if measure == "levenshtein" else _ratio("a", "b")
         good = close.withColumn("similarity", similarity).where(F.col("similarity") >= least)
         by_document = good.join(few, "b").groupBy("a_id", "match").agg(F.max("similarity").alias("similarity"))
         place = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("similarity"), "match"))
         two = by_document.withColumn("place", place).where("place <= 2")
         met = refs.join(two, "a_id").where(F.col("doc_id") != F.col("match")).groupBy("ref_id").agg(F.min(F.struct("place", "match", "similarity")).alias("m"))
-        done = (F.col("d") >= F.col("most")) | F.coalesce(F.col("m.similarity") > best_beyond(F.col("n"), F.col("d"), least, measure), F.lit(False))
-        seen = refs.join(open_.select("a_id", "n", "d", "most"), "a_id").join(met, "ref_id", "left")
+        done = (F.col("d") >= F.col("most")) | F.coalesce(F.col("m.similarity") > best_beyond(F.col("n"), F.col("d"), F.col("lengths"), measure, F.col("out")), F.lit(False))
+        seen = refs.join(open_.select("a_id", "n", "d", "most", "out"), "a_id").join(met, "ref_id", "left").crossJoin(F.broadcast(lengths))  # one row
         seen = materialise(seen.select("ref_id", "doc_id", "a_id", "m.match", "m.similarity", done.alias("done")))
         found = seen.where("done AND match IS NOT NULL").select("ref_id", "match", F.round("similarity", 6).alias("similarity"))
         kept = found if kept is None else kept.unionByName(found)
@@ -143,4 +191,4 @@ def most_similar(wanted: DataFrame, titles: DataFrame, least: float, measure: st
         if refs.isEmpty():
             return kept
         counted = materialise(counted.join(refs.select("a_id").distinct(), "a_id", "left_semi"))
-        reach = 2 * reach + 1
+        reach = 2 if reach == 1 else 2 * reach + 1

@@ -207,6 +207,23 @@ def test_fuzzy_candidates_stay_few(spark):
     assert len(found) < 0.05 * len(asked) * len(titles)
 
 
+def test_fuzzy_numbers_are_met_by_what_is_left_of_them(spark):
+    """Two and more edits away within numbers behind a common beginning: few candidates, and the smallest of equally similar titles."""
+    titles = [f"text of documents {i}" for i in range(1001, 3000, 2)]
+    asked = [f"text of document {i}" for i in range(1000, 3000, 80)]
+    held = spark.createDataFrame(list(enumerate(titles)), "b_id long, b string")
+    counts = collections.Counter(g for t in titles for q in fuzzy.GRAM_SIZES for g in [t[i : i + q] for i in range(len(t) - q + 1)])
+    rows = [(k, a, len(a), 2, [counts[a[i : i + q]] for q in fuzzy.GRAM_SIZES if q > 1 for i in range(len(a) - q + 1)]) for k, a in enumerate(asked)]
+    pairs = fuzzy.candidate_pairs(spark.createDataFrame(rows, "a_id long, a string, n int, d int, counts array<long>"), held).count()
+    assert pairs < 0.2 * len(asked) * len(titles)
+    docs = spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string")
+    refs = spark.createDataFrame([(i, -1, t) for i, t in enumerate(asked)], "ref_id long, doc_id long, title string")
+    found = {r["ref_id"]: (r["match"], r["similarity"]) for r in citation.fuzzy_matches(refs, docs, measure="sequence").collect()}
+    for i, a in enumerate(asked):
+        best = max((SequenceMatcher(None, a, t).ratio(), -k) for k, t in enumerate(titles))
+        assert found[i] == (-best[1], round(best[0], 6))
+
+
 def test_probes_grow_with_the_edits_only():
     for n in (40, 80, 150):
         total, places = fuzzy.cheapest(np.arange(n - 2) % 17, 3, n // 8)
