@@ -198,3 +198,12 @@ def test_a_model_may_override_what_rules_are_unsure_of(spark):
     plain = [(r["query_type"], r["mode"], r["confidence"]) for r in routing.route(rows, 3).collect()]
     assert found[0] == ("survey", "graphrag", 0.9) and plain[0][0] == "unknown"
     assert found[1:] == plain[1:]
+
+
+def test_tf_idf_deals_out_word_lists(spark):
+    """Terms are counted where the words of a row are, and weighed rows are dealt out once; null and short texts have no long terms."""
+    docs = spark.createDataFrame([(1, "graphs learn graphs"), (2, None), (3, "graphs"), (4, ""), (5, "deep nets learn")], "doc_id long, text string")
+    found = keywords.tf_idf(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 5
+    assert {(r["doc_id"], r["term"]) for r in found.collect()} == {(1, "graphs"), (1, "learn"), (1, "graphs learn"), (1, "learn graphs"), (1, "graphs learn graphs"), (3, "graphs"), (5, "deep"), (5, "nets"), (5, "learn"), (5, "deep nets"), (5, "nets learn"), (5, "deep nets learn")}
