@@ -21,10 +21,12 @@ would miss most: at similarity 0.8 each bit of a fingerprint differs with probab
 fail, a forest says nothing about the pairs it left out, so the groups at failed edges are taken together as families,
 and within a family every pair within the bits, the nearest first, is verified until its groups are joined. No pair is
 missed: a pair of a shard is joined by a path of its forest, which goes from group to group by edges that failed.
-Similar texts of different groups that share no block, or lie beyond the bits, are then found exactly: all texts list their
-shingles in one order, and of two similar texts each has one of the other's among its first (prefix filter); texts that
-meet there as often as they must, and whose lengths allow the similarity, are verified word by word. Equal fingerprints prove nothing, since the majority vote ignores lengths and minorities: only texts of the same words
-are one node from the start, and pairs whose lengths alone rule the similarity out are left out.
+Similar texts of different groups that share no block, or lie beyond the bits, are then found exactly: all texts deal
+their shingles out to parts by a hash, and of two similar texts each has one of the other's parts among the first of its own
+(`part_keys`); texts that meet there, and whose lengths allow the similarity, are verified word by word. A part is several
+shingles, so texts meet on it that have a passage in common, and not by chance. Equal fingerprints prove nothing, since the
+majority vote ignores lengths and minorities: only texts of the same words are one node from the start, and pairs whose
+lengths alone rule the similarity out are left out.
 
 Defined results: equal texts share a fingerprint and are expanded only at the end (`keep_one`: texts of equal words); a null or wordless text has
 fingerprint zero and links like any other; a null doc_id keeps its row and counts for no component_id unless nothing
@@ -68,7 +70,10 @@ WIDE_RADIUS = 62
 HELD_EDGES = 1 << 18
 #: A family is dealt out in parts of about so many texts, and every two parts meet in a task.
 FAMILY_ROWS = 512
-#: Rows whose shingles tell which are frequent, and so many of these at most; both only order the shingles of a text.
+#: A class has a part for so many shingles of its smallest texts; the largest have two and a half times as many in a part.
+PART_SHINGLES = 1.5
+KEY_BYTES = 6
+#: Rows whose parts tell which are frequent, and so many of these at most; both only order the parts of a text.
 SAMPLE_ROWS = 2048
 MOST_FREQUENT = 1 << 18
 NTH = np.uint64(0xD6E8FEB86659FD93)
@@ -123,29 +128,61 @@ def numbered(pieces: list[np.ndarray]) -> np.ndarray:
     return np.sort(np.repeat(distinct, times) ^ (nth.astype("<u8") * NTH))
 
 
-def prefix(pieces: list[np.ndarray], similar: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first of a text's shingles in the order of all texts (frequent ones last, then by hash): a text as similar has one
-    of them among its own. frequent: hashes, sorted, and how often they were seen."""
-    own, (known, seen) = numbered(pieces), frequent
-    if not len(own):
-        return own
-    times = np.zeros(len(own), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        times = np.where(known[at] == own, seen[at], 0)
-    return own[np.lexsort((own, times))[: len(own) - math.ceil(similar * len(own) - 1e-9) + 1]]
-
-
-def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of at least three of SAMPLE_ROWS rows, as `prefix` takes them. They rule the order of shingles and so the work,
+def classes(n: int, similar: float) -> list[int]:
+    """Classes of sizes that a text of n shingles stands in. Class c has the sizes from 2**c up to those that can be similar to
+    less than 2**(c + 1), so two similar texts share the class of the smaller one."""
+    c = n.bit_length() - 1
+    return [c, c - 1] if c and n * similar < (1 << c) + 1e-6 else [c]
+
+
+def part_keys(own: np.ndarray, similar: float, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Keys of the parts of a text's `numbered` shingles: of two similar texts each has one of the other's.
+
+    In a class all texts deal their shingles out to the same parts by a hash. Two texts that differ in d shingles have all but d
+    parts in common, and a text whose filled parts are more than d shares a filled one. A similar text differs in at most
+    d = (n + its size) * (1 - similar) / (1 + similar) shingles; so of the filled parts, which all texts put in one order, the
+    first d + 1 do. Parts come in the order of their frequency, if known, and the larger ones, which chance fills least
+    alike, first. A text with no more filled parts than d gives all of them and also its first shingles, on which it meets
+    others of the kind. frequent: keys, sorted, and how often they were seen; without it, keys of all filled parts."""
+    n, out = len(own), []
+    for c in classes(n, similar) if n else []:
+        low, salt = 1 << c, np.uint64((c + 1) * int(NTH) & 0xFFFFFFFFFFFFFFFF)
+        parts = np.uint64(max(1, round(low / PART_SHINGLES)))
+        mixed = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        at = mixed % parts
+        order = np.argsort(at, kind="stable")
+        first = np.nonzero(np.concatenate([[True], np.diff(at[order]) > 0]))[0]
+        held = np.diff(np.concatenate([first, [n]]))
+        keys = np.add.reduceat((mixed * np.uint64(0x94D049BB133111EB))[order], first) ^ salt
+        keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
+        if frequent is None:
+            out.append(keys)
+            continue
+        known, seen = frequent
+        times = np.zeros(len(keys), np.int64)
+        if len(known):
+            near = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            times = np.where(known[near] == keys, seen[near], 0)
+        most = n / similar if n < 2 * low else 2 * low
+        d = math.floor((n + most) * (1 - similar) / (1 + similar) + 1e-6)
+        out.append(keys[np.lexsort((keys, -held, times))[: d + 1]])
+        if len(keys) <= d:
+            few = own[: n - math.ceil(similar * n - 1e-9) + 1]
+            out.append(((few ^ salt) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, "<u8")
+
+
+def frequent_parts(docs: DataFrame, width: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of at least three of SAMPLE_ROWS rows, as `part_keys` takes them. They rule the order of parts and so the work,
     not the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column(0):
-                own = numbered(list(shingle_hashes(value.as_py(), width)))
-                for k in range(0, len(own), PIECE):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[k : k + PIECE].view("<i8"))], names=["key"])
+                keys = part_keys(numbered(list(shingle_hashes(value.as_py(), width))), similar)
+                for k in range(0, len(keys), PIECE):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + PIECE].view("<i8"))], names=["key"])
 
     some = hashed_sample(docs.select("doc_id", F.col("text").cast("binary").alias("text")), SAMPLE_ROWS, "doc_id").select("text")
     counts = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("times")).where("times >= 3")
@@ -158,8 +195,8 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1, similar: float | None = None) -> DataFrame:
     """(doc_id, fp, text_key, node, shingles) of every row: fp as bytes, text_key a hash of the text, node a hash of its
     words, which all texts with the same sequence of shingles share, and the number of shingles; with `similar` also the
-    `prefix`."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width)) if similar else None
+    `parts`, six bytes each of `part_keys`."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_parts(docs, width, similar)) if similar else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +206,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1, similar:
                 pieces = shingle_hashes(text, width)
                 if frequent:
                     pieces = list(pieces)
-                    firsts.append(prefix(pieces, similar, frequent.value).view("<i8"))
+                    firsts.append(part_keys(numbered(pieces), similar, frequent.value).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes())
                 fp.append(voted(pieces, words).astype(">u8").tobytes())
                 keys.append(xxhash.xxh64_intdigest(b"\0" if text is None else text + b"\1", SEED))
                 spoken = (text or b"").lower().split()
@@ -177,10 +214,10 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, words: int = 1, similar:
                 sizes.append(max(len(spoken) - width + 1, 1 if spoken else 0))
             key, node = (pa.array(np.array(x, "<u8").view("<i8")) for x in (keys, nodes))
             columns = [batch.column(0), pa.array(fp, pa.binary()), key, node, pa.array(sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(firsts, pa.list_(pa.int64()))] if frequent else []), names=["doc_id", "fp", "text_key", "node", "shingles", "prefix"][: 6 if frequent else 5])
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(firsts, pa.binary())] if frequent else []), names=["doc_id", "fp", "text_key", "node", "shingles", "parts"][: 6 if frequent else 5])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = f"doc_id {kind}, fp binary, text_key long, node long, shingles int" + (", prefix array<long>" if frequent else "")
+    made = f"doc_id {kind}, fp binary, text_key long, node long, shingles int" + (", parts binary" if frequent else "")
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, made)
 
 
@@ -490,49 +527,51 @@ def similar_groups(docs: DataFrame, nodes: DataFrame, edges: DataFrame, width: i
     return components(good.union(more))
 
 
-def prefix_pairs(prints: DataFrame, rooted: DataFrame, similar: float) -> DataFrame:
-    """(src, dst): pairs of nodes of different groups that share a shingle of their prefixes and may be similar.
+def part_pairs(prints: DataFrame, rooted: DataFrame, similar: float) -> DataFrame:
+    """(src, dst): pairs of nodes of different groups that share a key of `part_keys` and may be similar.
+
+    prints: (node, shingles, parts), rooted: (node, root). Keys of a single row stop at a bitmap. Groups meet before their
+    nodes do, so that a large group makes no pairs of its own."""
+
+    def keys_of(rows: list[bytes]) -> np.ndarray:
+        keys = np.zeros((sum(map(len, rows)) // KEY_BYTES, 8), np.uint8)
+        keys[:, :KEY_BYTES] = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, KEY_BYTES)
+        return keys.view("<i8").ravel()
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = keys_of(batch.column(0).to_pylist())
+            for k in range(0, len(keys), PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + PIECE])], names=["key"])
 
-    prints: (node, shingles, prefix), rooted: (node, root). Shingles that only one node has stop at a bitmap. Groups meet before
-    their nodes do, so that a large group makes no pairs of its own."""
-    keys = prints.select("node", F.explode("prefix").alias("key"))
-    met = keys.groupBy("key").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one <> other").select("key")
-    met = materialise(met)
+    met = materialise(prints.select("parts").mapInArrow(every, "key long").groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"))
     held = prints.sparkSession.sparkContext.broadcast(bitmap_of(met, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            key, row = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            stays = np.nonzero(held.value.admits(key.to_numpy().view("<u8")))[0]
+            rows = batch.column(2).to_pylist()
+            keys, row = keys_of(rows), np.repeat(np.arange(len(rows)), [len(r) // KEY_BYTES for r in rows])
+            stays = np.nonzero(held.value.admits(keys))[0]
             for k in range(0, len(stays), PIECE):
                 at = stays[k : k + PIECE]
                 of = pa.array(row[at])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(place[at].astype(np.int32)), key.take(pa.array(at))], names=["node", "n", "place", "key"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(keys[at])], names=["node", "n", "key"])
 
-    placed = prints.select("node", "shingles", "prefix").mapInArrow(run, "node long, n int, place int, key long").distinct()
-    placed = materialise(placed.join(met, "key").join(rooted.select("node", "root"), "node"))
+    placed = prints.select("node", "shingles", "parts").mapInArrow(run, "node long, n int, key long").distinct()
+    placed = materialise(placed.join(rooted.select("node", "root"), "node"))
     apart = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("key")
     placed = materialise(placed.join(apart, "key", "left_semi"))
     roots = placed.select("key", "root").distinct()
     groups = roots.withColumnRenamed("root", "src_root").join(roots.withColumnRenamed("root", "dst_root"), "key").where("src_root < dst_root")
-    one = placed.select("key", F.col("root").alias("src_root"), F.col("node").alias("src"), F.col("n").alias("n_src"), (F.col("n") - F.col("place")).alias("left_src"))
-    two = placed.select("key", F.col("root").alias("dst_root"), F.col("node").alias("dst"), F.col("n").alias("n_dst"), (F.col("n") - F.col("place")).alias("left_dst"))
-    pairs = groups.join(one, ["key", "src_root"]).join(two, ["key", "dst_root"])
-    few, many = F.least("n_src", "n_dst"), F.greatest("n_src", "n_dst")
-    met_in = pairs.where(few >= similar * many).groupBy("src", "dst", "n_src", "n_dst").agg(F.count("*").alias("shared"), F.least(F.max("left_src"), F.max("left_dst")).alias("room"))
-    # what similar texts have in common; the first of it leaves room for the rest, and all but the misses of one text stand
-    # in both prefixes
-    common = F.ceil(similar / (1 + similar) * (F.col("n_src") + F.col("n_dst")) - 1e-6)
-    least = common - F.ceil(similar * many - 1e-9) + 1
-    met_in = met_in.where((F.col("room") >= common) & (F.col("shared") >= least))
-    return met_in.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    one = placed.select("key", F.col("root").alias("src_root"), F.col("node").alias("src"), F.col("n").alias("n_src"))
+    two = placed.select("key", F.col("root").alias("dst_root"), F.col("node").alias("dst"), F.col("n").alias("n_dst"))
+    pairs = groups.join(one, ["key", "src_root"]).join(two, ["key", "dst_root"]).where(F.least("n_src", "n_dst") >= similar * F.greatest("n_src", "n_dst"))
+    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 def all_groups(docs: DataFrame, prints: DataFrame, rooted: DataFrame, width: int, similar: float) -> DataFrame:
     """`rooted` (node, first, root) with the groups joined that any similar pair connects."""
-    pairs = materialise(prefix_pairs(prints, rooted, similar))
+    pairs = materialise(part_pairs(prints, rooted, similar))
     ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
     texts = _texts(docs, ends.join(rooted, "node"))
     both = pairs.join(texts.select(F.col("node").alias("dst"), F.col("text").alias("two")), "dst").join(texts.select(F.col("node").alias("src"), F.col("text").alias("one")), "src")

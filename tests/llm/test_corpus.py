@@ -236,6 +236,23 @@ def plain_kept(rows, width=5, similar=0.8):
     return {rows[g[0]][0] for g in groups(len(rows), near)}
 
 
+def test_similar_texts_share_a_part_and_others_hardly_any():
+    """Bags of shingles just similar always share a key, also where few parts are filled; texts of few words meet no more often
+    than they are many, though half of their shingles stand in others."""
+    none, rng = (np.zeros(0, "<u8"), np.zeros(0, np.int64)), random.Random(3)
+    new = lambda k: [rng.getrandbits(64) for _ in range(k)]
+    for n in (1, 2, 4, 5, 7, 8, 9, 12, 16, 20, 31, 40, 64, 79, 80, 81, 128, 200, 320):
+        for _ in range(20):
+            one, swapped, more = new(n), int(n / 9 + 1e-9), int(n / 4 + 1e-9)
+            for two in (one[: n - int(n / 5 + 1e-9)], one + new(more), one[: n - swapped] + new(swapped)):
+                keys = [op05_neardup.part_keys(np.unique(np.array(x, "<u8")), 0.8, none) for x in (one, two)]
+                assert len(np.intersect1d(*keys))
+    texts = [" ".join(rng.choice("abcdefghijkl") for _ in range(300)).encode() for _ in range(400)]
+    bags = [op05_neardup.numbered(list(op05_neardup.shingle_hashes(t, 5))) for t in texts]
+    met = lambda lists: sum(c * (c - 1) // 2 for c in collections.Counter(k for x in lists for k in x.tolist()).values())
+    assert met(bags) > 50 * len(texts) > 50 * met([op05_neardup.part_keys(b, 0.8, none) for b in bags])
+
+
 def test_keep_one_about_the_bound(spark):
     """Variants whose similarities lie about 0.8: pairs a little nearer in bits fail, others a little further hold."""
     rng = random.Random(11)
