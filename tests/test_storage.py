@@ -7,7 +7,9 @@ import textwrap
 import threading
 from pathlib import Path
 
-from lumenfold.storage import materialise, passing_tables, scratch, shared_dir
+from pyspark.sql import functions as F
+
+from lumenfold.storage import dealt, materialise, passing_tables, scratch, shared_dir
 
 
 def test_passing_tables_of_two_threads(spark):
@@ -51,3 +53,13 @@ def test_nothing_stays_after_stop(tmp_path):
             break
         threading.Event().wait(0.1)
     assert not list(tmp_path.glob("shared/table-*"))
+
+
+def test_dealt_rows_are_not_shuffled_by_a_join(spark):
+    rows = spark.range(100).select((F.col("id") % 10).alias("key"), "id")
+    table = dealt(rows, "key")
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, rows.collect()))
+    joined = table.join(spark.range(10).repartition(3).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice")).hint("shuffle_hash"), "key")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert joined.where("twice = 2 * key").count() == 100
