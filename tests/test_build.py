@@ -31,3 +31,18 @@ def test_levels_in_steps(spark, tmp_path):
     names = {r["name"]: r["n_units"] for r in store.read("entities").collect()}
     pairs = {(r["source"], r["target"]): r["weight"] for r in store.read("relationships").collect()}
     assert all(a < b and a in names and b in names and w <= min(names[a], names[b]) for (a, b), w in pairs.items())
+
+
+def test_tables_are_written_once(spark, tmp_path, monkeypatch):
+    """Units, phrases and edges go to the store and to no table beside it."""
+    from lumenfold.sources import build
+    from lumenfold.sources.store import Store
+
+    beside = []
+    monkeypatch.setattr(build, "materialise", lambda df: beside.append(df.columns) or df)
+    docs = spark.createDataFrame([(1, "red fox, red fox, blue sky, blue sky")], "document_id long, text string")
+    edges = lambda e: e.select(F.lit(1).alias("level"), F.col("src").alias("node"), F.col("src").alias("community"))
+    store = Store(spark, str(tmp_path))
+    assert build.build_index(store, docs, 1, detect=edges) == [0, 1]
+    assert len(beside) == 1 and store.built() == [0, 1]
+    assert store.versions("text_units") == store.versions("nlp_features") == store.versions("noun_phrase_edges") == [1]
