@@ -5,11 +5,14 @@ import itertools
 import random
 from difflib import SequenceMatcher
 
+import duckdb
 import numpy as np
 import pytest
 
 from lumenfold.operators import chunking, citation, cooccurrence, fuzzy, graph, merging
 from lumenfold.operators.components import components
+from lumenfold.plans import registry
+from tests.twins import rows_of, sql_rows
 
 
 def edges(spark, pairs, kind="string"):
@@ -82,6 +85,18 @@ def test_long_paths(spark):
     assert {r["node"]: r["distance"] for r in graph.distances_from(chain, 3).collect()} == {i: i - 3 for i in range(3, 31)}
 
 
+@pytest.mark.parametrize("pairs", [[(1, 2), (2, 3), (3, 4)], [(1, 2), (2, 3), (3, 4), (4, 5)], [(2, 1), (3, 2)], [(1, 2), (2, 4), (1, 3), (3, 4)]])
+def test_shortest_path_as_far_as_its_sql(spark, tmp_path, pairs):
+    lines = [(order, line, part, 1, 1.0, 1.0, "1995-01-01") for order, pair in enumerate(pairs) for line, part in enumerate(pair)]
+    names = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate string"
+    path = f"{tmp_path}/lineitem.parquet"
+    spark.createDataFrame(lines, names).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    expected = sql_rows(con, registry.ORACLES["g5_shortest_path"])[1]
+    assert rows_of(registry.QUERIES["g5_shortest_path"](spark, str(tmp_path))) == expected
+
+
 def plain_modularity(pairs, labels):
     m = len(pairs)
     inner, degree = collections.Counter(), collections.Counter()
