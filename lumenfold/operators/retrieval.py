@@ -92,11 +92,15 @@ def answer_relevance(answer: Column) -> Column:
     return F.when(F.contains(F.lower(answer), F.lit(NO_INFORMATION)), 0.0).when(n < 50, 0.2).when(n < 150, 0.5).when(n < 300, 0.7).otherwise(0.9)
 
 
-def map_communities(communities: DataFrame, answer: Column, limit: int = 8000) -> DataFrame:
-    """(community_id, answer, relevance): a partial answer of each community whose context fits. `answer` is the seam: any
+def map_communities(communities: DataFrame, answer: Column) -> DataFrame:
+    """(community_id, answer, relevance): a partial answer of each community, however long its context. `answer` is the seam: any
     Column, such as a model's Arrow function. (V19)"""
-    fit = communities.where(estimated_tokens(F.col("context")) <= limit)
-    return fit.select("community_id", answer.alias("answer")).withColumn("relevance", answer_relevance(F.col("answer")))
+    return communities.select("community_id", answer.alias("answer")).withColumn("relevance", answer_relevance(F.col("answer")))
+
+
+def fitting(communities: DataFrame, limit: int = 8000) -> DataFrame:
+    """Communities whose context has at most `limit` tokens, for a model that reads no more at once."""
+    return communities.where(estimated_tokens(F.col("context")) <= limit)
 
 
 def reducible(partial: DataFrame, least: float = 0.1) -> DataFrame:

@@ -3,14 +3,17 @@
 import io
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as X
 from lumenfold.operators import chunking, incremental, keywords, lazy, merging, metrics, retrieval, routing, vectors
+from lumenfold.plans import registry
 from lumenfold.sources import files
 from lumenfold.sources.store import Store
 from lumenfold.streaming import updates
+from tests.twins import rows_of, sql_rows
 
 
 def value(spark, column):
@@ -93,6 +96,19 @@ def test_nothing_to_reduce_is_null(spark):
     assert retrieval.reduce_answers(partial.selectExpr("community_id", "'a' answer", "relevance")).collect() == [("a",)]
 
 
+def test_answers_of_long_contexts(spark, tmp_path):
+    """A community of more than 8,000 tokens has its answer in the whole, too."""
+    customers = spark.range(2100).selectExpr("id AS c_custkey", "concat('Customer number ', id) AS c_name", "if(id < 2000, 3, 4) AS c_nationkey", "'BUILDING' AS c_mktsegment")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    for name, n in (("v20_global_reduce", 1), ("v19_global_map", 1), ("f12_reducible", 1)):
+        found = rows_of(registry.QUERIES[name](spark, str(tmp_path)))
+        assert len(found) == n
+        assert found == sql_rows(con, registry.ORACLES[name])[1]
+    assert registry.QUERIES["v20_global_reduce"](spark, str(tmp_path)).first()["answer"].count("\n\n") == 1
+
+
 def test_routing(spark):
     rows = spark.createDataFrame([("Compare A vs B",), ("tell me",), ("手法の比較と違い",)], "query string")
     found = routing.route(rows, 3).collect()
