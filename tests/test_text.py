@@ -1,6 +1,10 @@
 """Text functions, chunking, search and state on small inputs."""
 
+import collections
 import io
+import math
+import random
+import re
 import zipfile
 
 import duckdb
@@ -223,3 +227,31 @@ def test_tf_idf_deals_out_word_lists(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 5
     assert {(r["doc_id"], r["term"]) for r in found.collect()} == {(1, "graphs"), (1, "learn"), (1, "graphs learn"), (1, "learn graphs"), (1, "graphs learn graphs"), (3, "graphs"), (5, "deep"), (5, "nets"), (5, "learn"), (5, "deep nets"), (5, "nets learn"), (5, "deep nets learn")}
+
+
+def plain_tf_idf(docs, k):
+    """(key, term): (score, rank), worked out row by row."""
+    tf = collections.defaultdict(collections.Counter)
+    for key, body in docs:
+        w = [x for x in re.findall(r"\w+", (body or "").lower()) if len(x) >= 2 and x not in keywords.STOP_WORDS]
+        tf[key].update(" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    df = collections.Counter(t for terms in tf.values() for t in terms)
+    out = {}
+    for key, terms in tf.items():
+        weight = {t: c * (math.log((1 + len(docs)) / (1 + df[t])) + 1) for t, c in terms.items() if df[t] <= 0.95 * len(docs)}
+        norm = math.sqrt(sum(x * x for x in weight.values()))
+        scored = sorted((-round(x / norm, 6), t) for t, x in weight.items())[:k]
+        out |= {(key, t): (-x, rank) for rank, (x, t) in enumerate(scored, 1)}
+    return out
+
+
+def test_tf_idf_deals_out_no_terms(spark, monkeypatch):
+    """Blocks exchange hashes with buckets; the same for repeated and null keys, ties, and words of any script."""
+    monkeypatch.setattr(keywords, "BLOCK", 200)
+    rng = random.Random(5)
+    vocabulary = ["graph", "graphs", "a1", "über", "straße", "zz_top", "データ", "node", "the", "of", "x"]
+    docs = [(i // 2 if i % 5 else None, " ".join(rng.choices(vocabulary, k=rng.randrange(30))) + rng.choice(["", ".", "\n\n"])) for i in range(60)] + [(77, None), (78, "of the x")]
+    found = keywords.tf_idf(spark.createDataFrame(docs, "doc_id long, text string"), k=5)
+    assert "hashpartitioning(term" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["doc_id"], r["term"]): (r["score"], r["rank"]) for r in found.collect()} == plain_tf_idf(docs, 5)
+    assert keywords.tf_idf(spark.createDataFrame([], "doc_id long, text string")).collect() == []
