@@ -66,3 +66,26 @@ def test_unlike_claims_do_not_meet(spark):
     parts = lazy._parts(lazy._worded(df, "claim_id", "claim"), 0.85, "claim_id")
     met = parts.withColumnRenamed("claim_id", "a").join(parts.withColumnRenamed("claim_id", "b"), "t").where("a < b").select("a", "b").distinct()
     assert expected and met.count() < 2000  # of 54,285 pairs
+
+
+def test_words_do_not_travel_with_pairs(spark):
+    """Long claims of one vocabulary, some in copies, some nearly the same: pairs are told apart by parities and compared in chunks,
+    and no pair has word lists of its own."""
+    rng, rows = random.Random(4), []
+    vocabulary = [f"w{i}" for i in range(1500)]
+    for n in (10, 300, 700, 790, 810, 900):
+        for _ in range(12):
+            words = rng.sample(vocabulary, n)
+            rows.append(" ".join(words))
+            rows += [rows[-1].upper()] * rng.randrange(3)
+            for _ in range(rng.randrange(4)):
+                rows.append(" ".join(words[: n - rng.randrange(n // 5)] + rng.sample(vocabulary, n // 50)))
+    rows = [(i // 2 if i < 10 else i, claim) for i, claim in enumerate(rows)]  # some ids are repeated
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (5000, None)], "claim_id long, claim string")
+    sets = [(i, words_of(claim)) for i, claim in rows]
+    expected = sorted((a, b) for a, x in sets for b, y in sets if a < b and similar(x, y))
+    pairs = lazy.similar_claims(df)
+    assert "array_intersect" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert expected and sorted((r["kept"], r["dropped"]) for r in pairs.collect()) == expected
+    small = df.where("claim_id >= 5 AND claim IS NOT NULL")
+    assert found(lazy.first_claims(small)) == in_order([r for r in rows if r[0] >= 5])
