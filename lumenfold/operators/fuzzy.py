@@ -14,6 +14,9 @@ number of titles; they are looked up where the grams have more titles behind the
 Only the best match is asked for, so distances grow in rounds (1, 2, 5, ...). A reference leaves when its match is
 better than anything farther away could be (given the lengths of held titles), or its own bound is reached; what most references find
 is a title next to them, and the long probes of great distances are left to those that find none.
+
+Sizes are guessed from written titles, which shrink well and are far below the grams and variants made of them, so tables that grow with
+the titles are never broadcast.
 """
 
 from __future__ import annotations
@@ -140,13 +143,13 @@ def candidate_pairs(open_: DataFrame, held: DataFrame) -> DataFrame:
     if grams or not sizes:
         index = held.select("b_id", F.length("b").alias("m"), F.explode(_places(F.col("b"), grams or GRAM_SIZES, 2 * SHORT)).alias("g")).select("b_id", "m", "g.q", "g.at", "g.gram")
         near = (F.abs(F.col("at") - F.col("place")) <= F.col("d")) & (F.abs(F.col("m") - F.col("n")) <= F.col("d"))
-        pairs = probes.join(index, ["q", "gram"]).where(near).select("a_id", "b_id").distinct()
+        pairs = probes.join(index.hint("merge"), ["q", "gram"]).where(near).select("a_id", "b_id").distinct()
     if 0 in sizes:
         asked = chosen.where(size == 0)
         for d in sorted(r["d"] for r in asked.select("d").distinct().collect()):  # OUT at most
             left = asked.where(F.col("d") == d).select("a_id", "n", F.explode(variants(F.col("a"), d)).alias("key"))
             right = held.where(F.length("b") <= LONG + d).select("b_id", F.length("b").alias("m"), F.explode(variants(F.col("b"), d)).alias("key"))
-            met = left.join(right, "key").where(F.abs(F.col("m") - F.col("n")) <= d).select("a_id", "b_id").distinct()
+            met = left.join(right.hint("merge"), "key").where(F.abs(F.col("m") - F.col("n")) <= d).select("a_id", "b_id").distinct()
             pairs = met if pairs is None else pairs.unionByName(met)
     return pairs
 
@@ -164,31 +167,31 @@ def most_similar(wanted: DataFrame, titles: DataFrame, least: float, measure: st
     asked = materialise(wanted.select("a").distinct().select(F.monotonically_increasing_id().alias("a_id"), "a", F.length("a").alias("n")))
     counts = held.select(F.explode(_places(F.col("b"), GRAM_SIZES, 2 * SHORT)).alias("g")).groupBy("g.q", "g.gram").agg(F.count("*").alias("count"))
     own = asked.select("a_id", "a", "n", F.explode(_places(F.col("a"), GRAM_SIZES)).alias("g")).select("a_id", "a", "n", "g.*")
-    counted = own.join(counts, ["q", "gram"], "left").groupBy("a_id", "a", "n").agg(F.array_sort(F.collect_list(F.struct("q", "at", F.coalesce("count", F.lit(0)).alias("count")))).alias("x"))
+    counted = own.join(counts.hint("merge"), ["q", "gram"], "left").groupBy("a_id", "a", "n").agg(F.array_sort(F.collect_list(F.struct("q", "at", F.coalesce("count", F.lit(0)).alias("count")))).alias("x"))
     counted = materialise(counted.select("a_id", "a", "n", edit_bound(F.col("n"), least, measure).alias("most"), F.transform("x", lambda x: x["count"]).alias("counts")))
-    refs = wanted.join(counted.select("a", "a_id"), "a").select("ref_id", "doc_id", "a_id")
+    refs = wanted.join(counted.select("a", "a_id").hint("merge"), "a").select("ref_id", "doc_id", "a_id")
     lengths = held.agg(F.coalesce(F.collect_set(F.length("b")), F.array().cast("array<int>")).alias("lengths"))
     kept, reach = None, 1
     while True:
         open_ = counted.withColumn("d", F.least(F.lit(reach), F.col("most")))
         open_ = materialise(open_.select("a_id", "a", "n", "d", "most", _probes("counts", "n", "d").alias("chosen")).withColumn("out", F.get("chosen", F.lit(0)) == 0))
-        pairs = candidate_pairs(open_, held).join(open_.select("a_id", "a", "d", "out"), "a_id").join(held, "b_id")
+        pairs = candidate_pairs(open_, held).join(open_.select("a_id", "a", "d", "out").hint("merge"), "a_id").join(held.hint("merge"), "b_id")
         apart = F.levenshtein("a", "b", reach)
         within = (F.col("apart") >= 0) & (F.col("apart") <= F.col("d"))
         close = pairs.withColumn("apart", apart).where(within if measure == "levenshtein" else F.col("out") | within)
         similarity = 1 - F.col("apart") / F.greatest(F.length("a"), F.length("b")) if measure == "levenshtein" else _ratio("a", "b")
         good = close.withColumn("similarity", similarity).where(F.col("similarity") >= least)
-        by_document = good.join(few, "b").groupBy("a_id", "match").agg(F.max("similarity").alias("similarity"))
+        by_document = good.join(few.hint("merge"), "b").groupBy("a_id", "match").agg(F.max("similarity").alias("similarity"))
         place = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("similarity"), "match"))
         two = by_document.withColumn("place", place).where("place <= 2")
-        met = refs.join(two, "a_id").where(F.col("doc_id") != F.col("match")).groupBy("ref_id").agg(F.min(F.struct("place", "match", "similarity")).alias("m"))
+        met = refs.join(two.hint("merge"), "a_id").where(F.col("doc_id") != F.col("match")).groupBy("ref_id").agg(F.min(F.struct("place", "match", "similarity")).alias("m"))
         done = (F.col("d") >= F.col("most")) | F.coalesce(F.col("m.similarity") > best_beyond(F.col("n"), F.col("d"), F.col("lengths"), measure, F.col("out")), F.lit(False))
-        seen = refs.join(open_.select("a_id", "n", "d", "most", "out"), "a_id").join(met, "ref_id", "left").crossJoin(F.broadcast(lengths))  # one row
+        seen = refs.join(open_.select("a_id", "n", "d", "most", "out").hint("merge"), "a_id").join(met.hint("merge"), "ref_id", "left").crossJoin(F.broadcast(lengths))  # one row
         seen = materialise(seen.select("ref_id", "doc_id", "a_id", "m.match", "m.similarity", done.alias("done")))
         found = seen.where("done AND match IS NOT NULL").select("ref_id", "match", F.round("similarity", 6).alias("similarity"))
         kept = found if kept is None else kept.unionByName(found)
         refs = seen.where("NOT done").select("ref_id", "doc_id", "a_id")
         if refs.isEmpty():
             return kept
-        counted = materialise(counted.join(refs.select("a_id").distinct(), "a_id", "left_semi"))
+        counted = materialise(counted.join(refs.select("a_id").distinct().hint("merge"), "a_id", "left_semi"))
         reach = 2 if reach == 1 else 2 * reach + 1

@@ -222,6 +222,16 @@ def test_fuzzy_candidates_stay_few(spark):
     assert len(found) < 0.05 * len(asked) * len(titles)
 
 
+def test_titles_are_never_broadcast(spark, tmp_path):
+    """A small file of titles has many grams and variants; neither they nor the titles go through the driver."""
+    spark.range(1000).selectExpr("id AS b_id", "concat('text of documents ', id) AS b").write.parquet(f"{tmp_path}/held")
+    held = spark.read.parquet(f"{tmp_path}/held")
+    asked = spark.range(1000).selectExpr("id AS a_id", "concat('text of document ', id) AS a").selectExpr("*", "length(a) AS n", "2 AS d", "array(IF(a_id % 2 = 0, 0, 2), 17, 18, 3) AS chosen")
+    asked.write.parquet(f"{tmp_path}/asked")
+    plan = fuzzy.candidate_pairs(spark.read.parquet(f"{tmp_path}/asked"), held)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_fuzzy_numbers_are_met_by_what_is_left_of_them(spark):
     """Two and more edits away within numbers behind a common beginning: few candidates, and the smallest of equally similar titles."""
     titles = [f"text of documents {i}" for i in range(1001, 3000, 2)]
