@@ -46,3 +46,18 @@ def test_tables_are_written_once(spark, tmp_path, monkeypatch):
     assert build.build_index(store, docs, 1, detect=edges) == [0, 1]
     assert len(beside) == 1 and store.built() == [0, 1]
     assert store.versions("text_units") == store.versions("nlp_features") == store.versions("noun_phrase_edges") == [1]
+
+
+def test_phrases_are_numbers_to_label_propagation(spark, tmp_path, monkeypatch):
+    """Labels of the built index are those of the phrases themselves, of which none is dealt out in the rounds."""
+    from lumenfold.operators import graph
+    from lumenfold.plans import source_queries
+
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain, seen = graph.label_propagation, []
+    monkeypatch.setattr(graph, "label_propagation", lambda e, rounds: seen.append(e.schema["src"].dataType.typeName()) or plain(e, rounds))
+    store, _ = source_queries.indexed(spark, str(tmp_path), 1)
+    edges = store.read("noun_phrase_edges").selectExpr("source AS src", "target AS dst", "weight")
+    homes = {(r["node"], r["community"]) for r in store.read("communities_l1").collect()}
+    assert homes and homes == {(r["node"], r["community"]) for r in plain(edges, 2).collect()}
+    assert seen == ["long"]
