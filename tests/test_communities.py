@@ -97,3 +97,11 @@ def test_pagerank_reaches_its_tolerance_at_any_size(spark):
     single = {r["node"]: r["pagerank"] for r in rank(one.select(F.col("id").alias("src"), F.col("next").alias("dst"))).collect()}
     many = spark.range(3000).select(F.col("id").alias("copy")).crossJoin(one).select((F.col("copy") * 100 + F.col("id")).alias("src"), (F.col("copy") * 100 + F.col("next")).alias("dst"))
     assert all(abs(r["pagerank"] * 3000 - single[r["node"]]) < 1e-3 for r in rank(many).where("node < 100").collect())
+
+
+def test_phrases_are_numbered_before_they_are_paired(spark):
+    edges, names = graph_queries.numbered_phrases(spark, FOLDER)
+    name = {r["node"]: r["name"] for r in names.collect()}
+    assert [name[n] for n in sorted(name)] == sorted(name.values())
+    found = {(name[r["src"]], name[r["dst"]], r["weight"]) for r in edges.collect()}
+    assert found == {tuple(r) for r in graph_queries.weighted_phrases(spark, FOLDER).collect()}
